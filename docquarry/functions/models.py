@@ -53,21 +53,24 @@ class HashingEmbedder:
 
 
 def embed_with(model_fn: ModelFn, max_batch: int = EMBED_MAX_BATCH):
-    """Pandas UDF text -> ``array<float>``; the model sees at most ``max_batch`` texts per call."""
+    """Pandas UDF text -> ``array<float>``; the model sees at most ``max_batch`` texts per call.
+
+    Several such columns of one projection share a single exchange with the Python worker, which
+    iterator UDFs cannot.
+    """
 
     @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out: list = [None] * len(batch)
-            present = [i for i, text in enumerate(batch) if text is not None]
-            for at in range(0, len(present), max_batch):
-                part = present[at:at + max_batch]
-                vectors = model_fn([batch.iloc[i] for i in part])
-                if len(vectors) != len(part):
-                    raise ValueError("the embedding model returned a wrong number of vectors")
-                for i, vector in zip(part, vectors):
-                    out[i] = np.asarray(vector, dtype=np.float32)
-            yield pd.Series(out, dtype=object)
+    def embed(texts: pd.Series) -> pd.Series:
+        out: list = [None] * len(texts)
+        present = [i for i, text in enumerate(texts) if text is not None]
+        for at in range(0, len(present), max_batch):
+            part = present[at:at + max_batch]
+            vectors = model_fn([texts.iloc[i] for i in part])
+            if len(vectors) != len(part):
+                raise ValueError("the embedding model returned a wrong number of vectors")
+            for i, vector in zip(part, vectors):
+                out[i] = np.asarray(vector, dtype=np.float32)
+        return pd.Series(out, dtype=object)
 
     return embed
 

@@ -1,3 +1,4 @@
+import os
 from pathlib import Path
 import sys
 
@@ -6,6 +7,10 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+# Model functions defined in test modules are looked up by name in the Python workers.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    p for p in (str(Path(__file__).resolve().parent), os.environ.get("PYTHONPATH")) if p)
+
 from docquarry.session import ship_package  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
