@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,26 @@ from docquarry.functions.text import _col, keywords
 ModelFn = Callable[[list], Sequence]
 
 
-@lru_cache(maxsize=1 << 18)
-def _signed_bucket(word: str, dim: int) -> tuple[int, int]:
-    digest = hashlib.md5(word.encode("utf-8")).hexdigest()
-    return int(digest[:8], 16) % dim, -1 if digest[8] >= "8" else 1
+class _WordCodes(dict):
+    """Word -> 2 * bucket + (1 if its sign is negative), filled on demand and bounded in size."""
+
+    LIMIT = 1 << 20
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        digest = hashlib.md5(word.encode("utf-8")).hexdigest()
+        code = self[word] = int(digest[:8], 16) % self.dim * 2 + (digest[8] >= "8")
+        return code
+
+
+@lru_cache(maxsize=4)
+def _word_codes(dim: int) -> _WordCodes:
+    return _WordCodes(dim)
 
 
 class HashingEmbedder:
@@ -35,16 +52,12 @@ class HashingEmbedder:
         self.unit_length = unit_length
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        rows, buckets, signs = [], [], []
-        for i, text in enumerate(texts):
-            for word in text.split(" "):
-                if word:
-                    bucket, sign = _signed_bucket(word, self.dim)
-                    rows.append(i)
-                    buckets.append(bucket)
-                    signs.append(sign)
-        flat = np.asarray(rows, dtype=np.int64) * self.dim + np.asarray(buckets, dtype=np.int64)
-        out = np.bincount(flat, weights=np.asarray(signs, dtype=np.float64), minlength=len(texts) * self.dim)
+        split = [text.split(" ") if text else [] for text in texts]
+        lengths = np.array([len(ws) for ws in split], dtype=np.int64)
+        codes = np.fromiter(
+            map(_word_codes(self.dim).__getitem__, chain.from_iterable(split)), dtype=np.int64, count=lengths.sum())
+        rows = np.repeat(np.arange(len(texts)), lengths)
+        out = np.bincount(rows * self.dim + (codes >> 1), weights=1 - 2 * (codes & 1), minlength=len(texts) * self.dim)
         out = out.reshape(len(texts), self.dim)
         if self.unit_length:
             norms = np.sqrt((out * out).sum(axis=1, keepdims=True))

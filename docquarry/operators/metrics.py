@@ -152,21 +152,22 @@ def to_long(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Dat
 
 
 def eval_summary(long: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, population variance and 90th percentile per metric.
+    """Count, mean, population variance and 90th percentile per metric, from one pass over the rows.
 
-    The percentile needs all values of a metric. Equal scores are counted first, so that what
-    reaches a metric's task is its distinct rounded scores, not its rows.
+    Equal scores, rounded to six digits, are counted first. What reaches a metric's task is therefore
+    its distinct scores, not its rows, although a percentile needs all values.
     """
     by = [*group, "metric"]
-    moments = long.where("score is not null").groupBy(*by).agg(
-        F.count("score").alias("n"),
-        F.round(F.avg("score"), 6).alias("mean"),
-        F.round(F.var_pop("score"), 6).alias("variance"),
-    )
     counted = long.where("score is not null").groupBy(*by, F.round("score", 6).alias("score")).agg(
         F.count(F.lit(1)).alias("freq"))
-    tail = counted.groupBy(*by).agg(F.round(F.percentile("score", 0.9, F.col("freq")), 6).alias("p90"))
-    return moments.join(tail, by)
+    score, freq = F.col("score"), F.col("freq")
+    n, total, squares = F.sum(freq), F.sum(score * freq), F.sum(score * score * freq)
+    return counted.groupBy(*by).agg(
+        n.alias("n"),
+        F.round(total / n, 6).alias("mean"),
+        F.round(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)), 6).alias("variance"),
+        F.round(F.percentile("score", 0.9, freq), 6).alias("p90"),
+    )
 
 
 def eval_table(long: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

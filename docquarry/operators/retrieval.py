@@ -11,7 +11,7 @@ of all pairs turned into rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -25,8 +25,10 @@ from docquarry.functions.text import stage
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 131_072
 _SCORE_UNIT = 1_000_000
-# Scores held at a time while one batch is compared.
+# Scores held at a time while one batch is compared, exact pairs at a time, rows per comparison.
 _BLOCK_CELLS = 8_000_000
+_PAIRS = 200_000
+_BATCH = 10_000
 
 
 @dataclass(frozen=True)
@@ -59,76 +61,119 @@ def _norms(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m * m).sum(axis=1))
 
 
-def _scaled_cosines(q: np.ndarray, qn: np.ndarray, c: np.ndarray, cn: np.ndarray) -> np.ndarray:
+def _unit(m: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Unit rows in single precision, only for preselection; zero rows stay zero."""
+    return np.divide(m, norms[:, None], out=np.zeros_like(m), where=norms[:, None] > 0).astype(np.float32)
+
+
+def _scaled(dots: np.ndarray, norms: np.ndarray) -> np.ndarray:
     """Cosines in whole millionths, halves rounded away from zero; 0 beside a zero vector."""
-    norms = np.outer(qn, cn)
-    cos = np.divide(q @ c.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    cos = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
     return np.copysign(np.floor(np.abs(cos) * _SCORE_UNIT + 0.5), cos).astype(np.int64)
 
 
-def _best(scaled: np.ndarray, k: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best columns per row; columns come in key order, which breaks ties."""
-    n = scaled.shape[1]
-    rank_key = scaled * n + np.arange(n - 1, -1, -1)
-    if allowed is not None:
-        rank_key = np.where(allowed, rank_key, np.iinfo(np.int64).min)
-    if n > k:
-        cols = np.argpartition(rank_key, n - k, axis=1)[:, n - k:]
-    else:
-        cols = np.broadcast_to(np.arange(n), scaled.shape)
-    rows = np.broadcast_to(np.arange(scaled.shape[0])[:, None], cols.shape)
-    rows, cols = rows.ravel(), cols.ravel()
-    if allowed is not None:
-        keep = allowed[rows, cols]
-        rows, cols = rows[keep], cols[keep]
-    return rows, cols
-
-
-def _allowed(scaled: np.ndarray, q_keys: pa.Table, c_keys: pa.Table, exclude_same: bool,
-             floor_units: int | None) -> np.ndarray | None:
-    mask = None
-    if floor_units is not None:
-        mask = scaled >= floor_units
-    if exclude_same:
-        mask = np.ones(scaled.shape, dtype=bool) if mask is None else mask
-        place = {key: j for j, key in enumerate(zip(*[col.to_pylist() for col in c_keys.columns]))}
-        for i, key in enumerate(zip(*[col.to_pylist() for col in q_keys.columns])):
-            if key in place:
-                mask[i, place[key]] = False
-    return mask
-
-
-def _compare(q_keys: pa.Table, q: np.ndarray, qn: np.ndarray, c_keys: pa.Table, c: np.ndarray, k: int,
-             exclude_same: bool, floor_units: int | None) -> pa.Table:
-    """k best corpus rows of one batch for every query of a block."""
-    order = pc.sort_indices(c_keys, sort_keys=[(name, "ascending") for name in c_keys.column_names])
-    c_keys, c = c_keys.take(order), c[order.to_numpy()]
-    cn = _norms(c)
-    step = max(1, _BLOCK_CELLS // max(1, len(c)))
-    found = []
-    for at in range(0, len(q), step):
-        scaled = _scaled_cosines(q[at:at + step], qn[at:at + step], c, cn)
-        block_keys = q_keys.slice(at, step)
-        rows, cols = _best(scaled, k, _allowed(scaled, block_keys, c_keys, exclude_same, floor_units))
-        hits = {n: col for n, col in zip(q_keys.column_names, block_keys.take(pa.array(rows)).columns)}
-        hits |= {n: col for n, col in zip(c_keys.column_names, c_keys.take(pa.array(cols)).columns)}
-        found.append(pa.table({**hits, "scaled": pa.array(scaled[rows, cols])}))
-    return pa.concat_tables(found)
-
-
-def _shrink(hits: pa.Table, q_names: Sequence[str], c_names: Sequence[str], k: int) -> pa.Table:
-    """Keep k rows per query."""
-    ordering = [(n, "ascending") for n in q_names] + [("scaled", "descending")] + [(n, "ascending") for n in c_names]
-    hits = hits.sort_by(ordering).combine_chunks()
-    if not len(hits):
-        return hits
-    new = np.zeros(len(hits), dtype=bool)
-    new[0] = True
-    for n in q_names:
-        col = hits[n]
-        new[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False)
-    at = np.arange(len(hits))
-    return hits.filter(pa.array(at - np.maximum.accumulate(np.where(new, at, 0)) < k))
+def _scaled_cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _scaled(q @ c.T, np.outer(_norms(q), _norms(c)))
+
+
+def _place(ordered: np.ndarray) -> np.ndarray:
+    """Position of each element within its run of equal elements."""
+    return np.arange(len(ordered)) - np.searchsorted(ordered, ordered)
+
+
+@dataclass(frozen=True)
+class _Search:
+    """What is looked for: sizes, filters and the names of the key columns."""
+
+    k: int
+    dim: int
+    exclude_same: bool
+    floor_units: int | None
+    q_names: tuple[str, ...]
+    c_names: tuple[str, ...]
+
+    @property
+    def margin(self) -> float:
+        """Bound, in millionths, on the error of a single-precision cosine plus that of rounding."""
+        return 1.5 + _SCORE_UNIT * self.dim * 2.0**-23
+
+
+class _Running:
+    """The best k corpus rows per query among all batches compared so far."""
+
+    def __init__(self, keys: pa.Table, vectors: np.ndarray, search: _Search):
+        self.keys, self.q, self.search = keys, vectors, search
+        self.norms = _norms(vectors)
+        self.unit = _unit(vectors, self.norms)
+        # Score of the k-th hit; a query with fewer hits accepts anything.
+        self.bar = np.full(len(vectors), -np.inf)
+        self.hits: pa.Table | None = None
+
+    def add(self, c_keys: pa.Table, c: np.ndarray) -> None:
+        # In key order, so that positions break ties.
+        order = pc.sort_indices(c_keys, sort_keys=[(n, "ascending") for n in c_keys.column_names])
+        c_keys, c = c_keys.take(order), c[order.to_numpy()]
+        norms = _norms(c)
+        unit = _unit(c, norms)
+        step = max(1, _BLOCK_CELLS // max(1, len(c)))
+        found = [self._block(at, min(at + step, len(self.q)), c_keys, c, norms, unit)
+                 for at in range(0, len(self.q), step)]
+        self._merge(pa.concat_tables([t for part in found for t in part] + ([] if self.hits is None else [self.hits])))
+
+    def _block(self, lo: int, hi: int, c_keys: pa.Table, c: np.ndarray, norms: np.ndarray,
+               unit: np.ndarray) -> list[pa.Table]:
+        s = self.search
+        near = self.unit[lo:hi] @ unit.T
+        near *= _SCORE_UNIT
+        bar = self.bar[lo:hi].copy()
+        # One hit more than k is needed if the row itself may be among them.
+        wanted = s.k + s.exclude_same
+        open_rows = np.flatnonzero(np.isneginf(bar))
+        if len(open_rows) and len(c) > wanted:
+            bar[open_rows] = np.partition(near[open_rows], len(c) - wanted, axis=1)[:, len(c) - wanted]
+        if s.floor_units is not None:
+            bar = np.maximum(bar, s.floor_units)
+        rows, cols = np.nonzero(near >= (bar - s.margin)[:, None])
+        return [self._exact(lo + rows[at:at + _PAIRS], cols[at:at + _PAIRS], c_keys, c, norms)
+                for at in range(0, len(rows), _PAIRS)] or [self._exact(rows, cols, c_keys, c, norms)]
+
+    def _exact(self, rows: np.ndarray, cols: np.ndarray, c_keys: pa.Table, c: np.ndarray, norms: np.ndarray) -> pa.Table:
+        """Exact scores of preselected pairs."""
+        s = self.search
+        scaled = _scaled(np.einsum("ij,ij->i", self.q[rows], c[cols]), self.norms[rows] * norms[cols])
+        keep = np.ones(len(rows), dtype=bool)
+        if s.floor_units is not None:
+            keep &= scaled >= s.floor_units
+        if s.exclude_same:
+            same = np.ones(len(rows), dtype=bool)
+            for left, right in zip(self.keys.columns, c_keys.columns):
+                equal = pc.equal(left.take(pa.array(rows)), right.take(pa.array(cols)))
+                same &= equal.to_numpy(zero_copy_only=False).astype(bool)
+            keep &= ~same
+        rows, cols, scaled = rows[keep], cols[keep], scaled[keep]
+        # Copies of one vector all tie, so only k rows per query leave here.
+        order = np.lexsort((cols, -scaled, rows))
+        order = order[_place(rows[order]) < s.k]
+        rows, cols, scaled = rows[order], cols[order], scaled[order]
+        picked = c_keys.take(pa.array(cols))
+        return pa.table({"_q": pa.array(rows), **dict(zip(s.c_names, picked.columns)), "scaled": pa.array(scaled)})
+
+    def _merge(self, hits: pa.Table) -> None:
+        k = self.search.k
+        order = [("_q", "ascending"), ("scaled", "descending")] + [(n, "ascending") for n in self.search.c_names]
+        hits = hits.sort_by(order).combine_chunks()
+        q = hits["_q"].to_numpy()
+        place = _place(q)
+        self.hits = hits.filter(pa.array(place < k))
+        last = place == k - 1
+        self.bar[q[last]] = hits["scaled"].to_numpy()[last]
+
+    def result(self) -> pa.Table:
+        """Query key, corpus key and score of what was kept."""
+        found = self.hits
+        own = self.keys.take(found["_q"])
+        return pa.table({**dict(zip(self.search.q_names, own.columns)),
+                         **{n: found[n] for n in self.search.c_names}, "scaled": found["scaled"]})
 
 
 def _finish(local: DataFrame, queries: VectorTable, corpus: VectorTable, k: int) -> DataFrame:
@@ -148,6 +193,10 @@ def _finish(local: DataFrame, queries: VectorTable, corpus: VectorTable, k: int)
     )
 
 
+def _key_names(df: DataFrame, vector: str) -> tuple[str, ...]:
+    return tuple(c for c in df.columns if c != vector)
+
+
 def _local_schema(q: DataFrame, c: DataFrame) -> T.StructType:
     fields = [f for f in q.schema.fields if f.name != "qvec"] + [f for f in c.schema.fields if f.name != "cvec"]
     return T.StructType([*fields, T.StructField("scaled", T.LongType())])
@@ -174,70 +223,58 @@ def similarity_topk(queries: VectorTable, corpus: VectorTable, k: int, dim: int,
     q, c = queries.vectors(dim, "q"), corpus.vectors(dim, "c")
     floor_units = None if min_score is None else int(ceil(min_score * _SCORE_UNIT - 1e-6))
     schema = _local_schema(q, c)
+    search = _Search(k, dim, exclude_same, floor_units, _key_names(q, "qvec"), _key_names(c, "cvec"))
     limit = broadcast_bytes // (dim * 8)
     # One row more than fits tells whether the whole set does; never more than the bound is fetched.
     head = q.limit(limit + 1).toArrow() if limit > 0 else None
     if head is not None and len(head) <= limit and head.nbytes <= broadcast_bytes:
-        local = _broadcast_topk(head, c, schema, k, dim, exclude_same, floor_units)
+        local = _broadcast_topk(head, c, schema, search)
     else:
-        local = _tiled_topk(q, c, schema, k, dim, exclude_same, floor_units, tile_rows, (), ())
+        local = _tiled_topk(q, c, schema, search, tile_rows)
     return _finish(local, queries, corpus, k)
 
 
-def _broadcast_topk(head: pa.Table, c: DataFrame, schema: T.StructType, k: int, dim: int, exclude_same: bool,
-                    floor_units: int | None) -> DataFrame:
+def _broadcast_topk(head: pa.Table, c: DataFrame, schema: T.StructType, search: _Search) -> DataFrame:
     shared = c.sparkSession.sparkContext.broadcast(head)
     arrow = _arrow_schema(schema)
-    q_names = [n for n in head.column_names if n != "qvec"]
-    c_names = [f.name for f in c.schema.fields if f.name != "cvec"]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value.select(q_names)
-        q = _matrix(shared.value["qvec"], dim)
-        qn = _norms(q)
-        kept, pending = None, 0
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        running = _Running(queries.select(search.q_names), _matrix(queries["qvec"], search.dim), search)
         for batch in batches:
-            if not len(batch) or not len(q):
-                continue
-            table = pa.Table.from_batches([batch])
-            hits = _compare(keys, q, qn, table.select(c_names), _matrix(table["cvec"], dim), k, exclude_same, floor_units)
-            kept = hits if kept is None else pa.concat_tables([kept, hits])
-            pending += 1
-            if pending >= 8:
-                kept, pending = _shrink(kept, q_names, c_names, k), 0
-        if kept is not None and len(kept):
-            yield from _typed(_shrink(kept, q_names, c_names, k), arrow).to_batches()
-
-    return c.mapInArrow(search, schema)
-
-
-def _tiled_topk(q: DataFrame, c: DataFrame, schema: T.StructType, k: int, dim: int, exclude_same: bool,
-                floor_units: int | None, tile_rows: int, q_cells: tuple[str, ...], c_cells: tuple[str, ...]) -> DataFrame:
+            if len(batch) and len(queries):
+                table = pa.Table.from_batches([batch])
+                running.add(table.select(search.c_names), _matrix(table["cvec"], search.dim))
+        if running.hits is not None and len(running.hits):
+            yield from _typed(running.result(), arrow).to_batches()
+
+    return c.mapInArrow(scan, schema)
+
+
+def _tiled_topk(q: DataFrame, c: DataFrame, schema: T.StructType, search: _Search, tile_rows: int) -> DataFrame:
     """Compare tile with tile. Every (query tile, corpus tile) pair is one group of bounded size."""
-    q_names = [f.name for f in q.schema.fields if f.name != "qvec"]
-    c_names = [f.name for f in c.schema.fields if f.name != "cvec"]
     q_tiles = max(1, ceil(q.count() / tile_rows))
     c_tiles = max(1, ceil(c.count() / tile_rows))
-    q_side = q.withColumn("_qt", F.pmod(F.xxhash64(*q_names), F.lit(q_tiles)).cast("int")).withColumn(
+    q_side = q.withColumn("_qt", F.pmod(F.xxhash64(*search.q_names), F.lit(q_tiles)).cast("int")).withColumn(
         "_ct", F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1))))
-    c_side = c.withColumn("_ct", F.pmod(F.xxhash64(*c_names), F.lit(c_tiles)).cast("int")).withColumn(
+    c_side = c.withColumn("_ct", F.pmod(F.xxhash64(*search.c_names), F.lit(c_tiles)).cast("int")).withColumn(
         "_qt", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))))
-    return _cogrouped(q_side, c_side, ["_qt", "_ct"], q_names, c_names, schema, k, dim, exclude_same, floor_units)
+    return _cogrouped(q_side, c_side, ["_qt", "_ct"], schema, search)
 
 
-def _cogrouped(q_side: DataFrame, c_side: DataFrame, on: list[str], q_names: list[str], c_names: list[str],
-               schema: T.StructType, k: int, dim: int, exclude_same: bool, floor_units: int | None) -> DataFrame:
+def _cogrouped(q_side: DataFrame, c_side: DataFrame, on: list[str], schema: T.StructType, search: _Search) -> DataFrame:
     arrow = _arrow_schema(schema)
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return arrow.empty_table()
-        q = _matrix(left["qvec"], dim)
-        hits = _compare(left.select(q_names), q, _norms(q), right.select(c_names), _matrix(right["cvec"], dim), k,
-                        exclude_same, floor_units)
-        return _typed(hits, arrow)
+        running = _Running(left.select(search.q_names), _matrix(left["qvec"], search.dim), search)
+        for at in range(0, len(right), _BATCH):
+            part = right.slice(at, _BATCH)
+            running.add(part.select(search.c_names), _matrix(part["cvec"], search.dim))
+        return _typed(running.result(), arrow)
 
-    return q_side.groupBy(*on).cogroup(c_side.groupBy(*on)).applyInArrow(search, schema)
+    return q_side.groupBy(*on).cogroup(c_side.groupBy(*on)).applyInArrow(compare, schema)
 
 
 def pick_centroids(corpus: VectorTable, n: int, dim: int) -> np.ndarray:
@@ -256,13 +293,12 @@ def with_nearest_cells(df: DataFrame, vector: str, centroids: np.ndarray, n: int
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
-        cn = _norms(cells)
         step = max(1, _BLOCK_CELLS // max(1, len(cells)))
         for whole in batches:
             for at in range(0, len(whole), step):
                 batch = whole.slice(at, step)
                 m = _matrix(batch.column(batch.schema.get_field_index(vector)), dim)
-                scaled = _scaled_cosines(m, _norms(m), cells, cn)
+                scaled = _scaled_cosines(m, cells)
                 order = np.argsort(-scaled, axis=1, kind="stable")[:, :n].astype(np.int32)
                 table = pa.table({name: batch.column(i) for i, name in enumerate(batch.schema.names)}
                                  | {"cells": pa.array(list(order), type=pa.list_(pa.int32()))})
@@ -286,8 +322,7 @@ def similarity_topk_approx(queries: VectorTable, corpus: VectorTable, k: int, di
         centroids = np.zeros((1, dim))
     q, c = queries.vectors(dim, "q"), corpus.vectors(dim, "c")
     schema = _local_schema(q, c)
-    q_names = [f.name for f in q.schema.fields if f.name != "qvec"]
-    c_names = [f.name for f in c.schema.fields if f.name != "cvec"]
+    search = _Search(k, dim, exclude_same, None, _key_names(q, "qvec"), _key_names(c, "cvec"))
     probes = with_nearest_cells(q, "qvec", centroids, n_probe, dim).withColumn("cell", F.explode("cells")).drop("cells")
     placed = with_nearest_cells(c, "cvec", centroids, 1, dim).withColumn("cell", F.col("cells")[0]).drop("cells")
 
@@ -304,11 +339,11 @@ def similarity_topk_approx(queries: VectorTable, corpus: VectorTable, k: int, di
         lookup = F.create_map(*[F.lit(x) for pair in split.items() for x in pair])
         return F.coalesce(lookup[F.col("cell")], F.lit(1))
 
-    q_side = probes.withColumn("_qt", F.pmod(F.xxhash64(*q_names), tile_count(q_tiles)).cast("int")).withColumn(
+    q_side = probes.withColumn("_qt", F.pmod(F.xxhash64(*search.q_names), tile_count(q_tiles)).cast("int")).withColumn(
         "_ct", F.explode(F.sequence(F.lit(0), tile_count(c_tiles) - 1)))
-    c_side = placed.withColumn("_ct", F.pmod(F.xxhash64(*c_names), tile_count(c_tiles)).cast("int")).withColumn(
+    c_side = placed.withColumn("_ct", F.pmod(F.xxhash64(*search.c_names), tile_count(c_tiles)).cast("int")).withColumn(
         "_qt", F.explode(F.sequence(F.lit(0), tile_count(q_tiles) - 1)))
-    local = _cogrouped(q_side, c_side, ["cell", "_qt", "_ct"], q_names, c_names, schema, k, dim, exclude_same, None)
+    local = _cogrouped(q_side, c_side, ["cell", "_qt", "_ct"], schema, search)
     return _finish(local, queries, corpus, k)
 
 

@@ -112,7 +112,7 @@ def with_passages(asked: DataFrame, hits: DataFrame, chunks: DataFrame, key: Seq
     Retrieval moves keys only; the few winners then fetch their text and their best sentence.
     """
     terms = tx.stage(asked.select(*key, "question"), {"asked": tx.keywords("question")}).drop("question")
-    texts = hits.join(chunks.select(*chunk_key, "url", "content"), list(chunk_key)).join(terms, list(key))
+    texts = hits.join(terms, list(key)).join(chunks.select(*chunk_key, "url", "content"), list(chunk_key))
     best = texts.withColumn("best", best_sentence(F.col("content"), F.col("asked")))
     grouped = best.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("rank", "url", "content", "score", "best"))).alias("passages"))

@@ -230,8 +230,9 @@ def source_table_names(spark: SparkSession, folder: str) -> DataFrame:
 # Embedding and retrieval
 
 def document_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    embedded = documents(spark, folder).select("doc_id", answering.embed_text("text", None, DIM).alias("v"))
-    return embedded.select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight <> 0")
+    embedded = answering.embed_chunks(documents(spark, folder), "text", None, DIM).select("doc_id", "embedding")
+    # Staged: the explode below filters on the array and would otherwise embed every text twice.
+    return tx.stage(embedded, {"v": F.col("embedding")}).select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight <> 0")
 
 
 def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
