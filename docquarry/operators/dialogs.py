@@ -7,7 +7,7 @@ in one task. The nested form ``messages ARRAY<STRUCT<role, content>>`` is what a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docquarry.functions.text import newline_to_break
 
@@ -26,8 +26,12 @@ def extract_question(messages: DataFrame, last_user: bool = False) -> DataFrame:
 
 
 def extract_history(messages: DataFrame) -> DataFrame:
-    """All messages but the last of each conversation, in long form."""
-    return messages.join(last_turns(messages), "conv_id").where("turn < last_turn").drop("last_turn")
+    """All messages but the last of each conversation, in long form.
+
+    Matched on (conversation, turn): a conversation with very many turns is spread over all tasks.
+    """
+    last = last_turns(messages).withColumnRenamed("last_turn", "turn")
+    return messages.join(last, ["conv_id", "turn"], "left_anti").select(messages.columns)
 
 
 def question_of(messages: Column | str) -> Column:
@@ -90,14 +94,26 @@ def transcripts(messages: DataFrame) -> DataFrame:
 def dialog_state(messages: DataFrame) -> DataFrame:
     """What the answer chain needs of a conversation, one row each.
 
-    ``question`` is the last message, ``previous_user`` the user message before it and
-    ``n_history`` the number of earlier messages. Join and aggregation share one partitioning.
+    ``question`` is the last message, ``previous_user`` the last user message before it and
+    ``n_history`` the number of earlier messages. Both sides are cut to at most two rows per
+    conversation and task before their shuffle, by partial aggregation and by the ranking limit, and
+    their join uses the partitioning they then have.
     """
-    earlier = F.col("turn") < F.col("last_turn")
-    return messages.join(last_turns(messages), "conv_id").groupBy("conv_id").agg(
+    last = messages.groupBy("conv_id").agg(
+        F.max("turn").alias("last_turn"),
         F.max_by("text", "turn").alias("question"),
-        F.max_by("text", F.when(earlier & (F.col("role") == "user"), F.col("turn"))).alias("previous_user"),
-        F.count(F.when(earlier, 1)).alias("n_history"),
+        (F.count(F.lit(1)) - 1).alias("n_history"),
+    )
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    users = (
+        messages.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("_text"))
+        .withColumn("_place", F.row_number().over(newest)).where("_place <= 2")
+    )
+    earlier = F.when(F.col("turn") < F.col("last_turn"), F.col("turn"))
+    return last.join(users, "conv_id", "left").groupBy("conv_id").agg(
+        F.first("question").alias("question"),
+        F.max_by("_text", earlier).alias("previous_user"),
+        F.first("n_history").alias("n_history"),
     )
 
 

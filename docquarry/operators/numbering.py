@@ -21,13 +21,16 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "id", start
 
     Rows are range-partitioned and sorted; each task numbers its own rows; the sizes of the earlier
     partitions, one row per partition, are added. The sorted rows are written once because range
-    bounds are sampled and two evaluations could cut differently.
+    bounds are sampled and two evaluations could cut differently. Rows with equal order columns are
+    told apart by a hash of the others, so that a frequent value does not fill one partition.
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rest = [c for c in df.columns if c not in order]
+    keys = [*order, *([F.xxhash64(*rest)] if rest else [])]
     cut = materialize(
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(parts, *keys)
+        .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_PARTITION)))
     )

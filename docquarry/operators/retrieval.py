@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from docquarry.functions.text import stage
+from docquarry.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 131_072
@@ -224,13 +225,12 @@ def similarity_topk(queries: VectorTable, corpus: VectorTable, k: int, dim: int,
     floor_units = None if min_score is None else int(ceil(min_score * _SCORE_UNIT - 1e-6))
     schema = _local_schema(q, c)
     search = _Search(k, dim, exclude_same, floor_units, _key_names(q, "qvec"), _key_names(c, "cvec"))
-    limit = broadcast_bytes // (dim * 8)
-    # One row more than fits tells whether the whole set does; never more than the bound is fetched.
-    head = q.limit(limit + 1).toArrow() if limit > 0 else None
-    if head is not None and len(head) <= limit and head.nbytes <= broadcast_bytes:
-        local = _broadcast_topk(head, c, schema, search)
+    # Counting reads no vectors, so no model runs for it.
+    n_queries = queries.df.count()
+    if n_queries * dim * 8 <= broadcast_bytes:
+        local = _broadcast_topk(q.toArrow(), c, schema, search)
     else:
-        local = _tiled_topk(q, c, schema, search, tile_rows)
+        local = _tiled_topk(q, c, schema, search, ceil(n_queries / tile_rows), ceil(corpus.df.count() / tile_rows))
     return _finish(local, queries, corpus, k)
 
 
@@ -251,10 +251,10 @@ def _broadcast_topk(head: pa.Table, c: DataFrame, schema: T.StructType, search:
     return c.mapInArrow(scan, schema)
 
 
-def _tiled_topk(q: DataFrame, c: DataFrame, schema: T.StructType, search: _Search, tile_rows: int) -> DataFrame:
+def _tiled_topk(q: DataFrame, c: DataFrame, schema: T.StructType, search: _Search, q_tiles: int,
+                c_tiles: int) -> DataFrame:
     """Compare tile with tile. Every (query tile, corpus tile) pair is one group of bounded size."""
-    q_tiles = max(1, ceil(q.count() / tile_rows))
-    c_tiles = max(1, ceil(c.count() / tile_rows))
+    q_tiles, c_tiles = max(1, q_tiles), max(1, c_tiles)
     q_side = q.withColumn("_qt", F.pmod(F.xxhash64(*search.q_names), F.lit(q_tiles)).cast("int")).withColumn(
         "_ct", F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1))))
     c_side = c.withColumn("_ct", F.pmod(F.xxhash64(*search.c_names), F.lit(c_tiles)).cast("int")).withColumn(
@@ -323,8 +323,11 @@ def similarity_topk_approx(queries: VectorTable, corpus: VectorTable, k: int, di
     q, c = queries.vectors(dim, "q"), corpus.vectors(dim, "c")
     schema = _local_schema(q, c)
     search = _Search(k, dim, exclude_same, None, _key_names(q, "qvec"), _key_names(c, "cvec"))
-    probes = with_nearest_cells(q, "qvec", centroids, n_probe, dim).withColumn("cell", F.explode("cells")).drop("cells")
-    placed = with_nearest_cells(c, "cvec", centroids, 1, dim).withColumn("cell", F.col("cells")[0]).drop("cells")
+    # Both are read twice, for the cell sizes and for the comparison: they are written once.
+    probes = materialize(
+        with_nearest_cells(q, "qvec", centroids, n_probe, dim).withColumn("cell", F.explode("cells")).drop("cells"))
+    placed = materialize(
+        with_nearest_cells(c, "cvec", centroids, 1, dim).withColumn("cell", F.col("cells")[0]).drop("cells"))
 
     def tiles_of(df: DataFrame) -> dict[int, int]:
         # One row per cell, and the number of cells is bounded above.
