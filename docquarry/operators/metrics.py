@@ -181,8 +181,9 @@ def score_distribution(df: DataFrame, score: str) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     """Counts in buckets ``[lower, lower + width)``."""
-    lower = F.floor(F.col(value) / width) * width
-    return df.where(F.col(value).isNotNull()).groupBy(lower.alias("lower")).agg(F.count(F.lit(1)).alias("n"))
+    lower = F.floor(F.col("_v") / width) * width
+    # Staged, so that a costly value is not computed once for the filter and once for the bucket.
+    return tx.stage(df, {"_v": F.col(value)}).where("_v is not null").groupBy(lower.alias("lower")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def toxicity_vs_correctness(df: DataFrame, toxic: str, correct: str) -> DataFrame:

@@ -44,6 +44,10 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
     return ensure_parallelism(table(spark, folder, "conversations"))
 
 
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return ensure_parallelism(table(spark, folder, "events"))
+
+
 def vectors(spark: SparkSession, folder: str) -> VectorTable:
     return VectorTable(table(spark, folder, "embeddings"), ("vec_id",))
 
@@ -183,7 +187,7 @@ def document_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def json_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Key present, key missing, no JSON, and JSON null with its sentinel, for every event."""
     nulled = F.concat(F.lit('{"question": null, "of": "'), "event_type", F.lit('"}'))
-    return table(spark, folder, "events").select(
+    return events(spark, folder).select(
         "event_id",
         tx.json_field_or_raw("props", "k").alias("present"),
         tx.json_field_or_raw("props", "absent").alias("missing"),
@@ -216,7 +220,7 @@ def escaped_turns(spark: SparkSession, folder: str) -> DataFrame:
 def version_checks(spark: SparkSession, folder: str) -> DataFrame:
     tag = F.concat("user_id", F.lit("."), tx.json_field_or_raw("props", "k"), F.lit(".x-"), "event_type")
     parts = tx.version_parts("tag")
-    return table(spark, folder, "events").select("event_id", tag.alias("tag")).select(
+    return events(spark, folder).select("event_id", tag.alias("tag")).select(
         "event_id", parts["major"].alias("major"), parts["minor"].alias("minor"),
         tx.version_at_least("tag", "50.30").alias("recent"))
 

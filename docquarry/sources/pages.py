@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docquarry.functions.html import element_html, nesting_element_html
-from docquarry.functions.text import _col
+from docquarry.functions.text import _col, stage
 
 FETCH_PARTITIONS = 10
 
@@ -38,9 +38,11 @@ def extract_article(pages: DataFrame, html: str, tag: str = "article", attribute
 
     An element chosen by attribute may nest in its own kind and needs tag counting.
     """
+    # Staged, since a filter on the element usually follows and would search every page again.
     if attribute is None:
-        return pages.withColumn("article", element_html(html, tag))
-    return pages.withColumn("article", nesting_element_html(tag, attribute, value or "")(F.col(html)))
+        return stage(pages, {"article": element_html(html, tag)})
+    extracted = pages.withColumn("_article", nesting_element_html(tag, attribute, value or "")(F.col(html)))
+    return stage(extracted, {"article": F.col("_article")}).drop("_article")
 
 
 def require_rows(df: DataFrame, column: str, message: str = "no document has any text") -> DataFrame:
