@@ -26,10 +26,12 @@ from docquarry.session import materialize
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 131_072
 _SCORE_UNIT = 1_000_000
-# Scores held at a time while one batch is compared, exact pairs at a time, rows per comparison.
-_BLOCK_CELLS = 8_000_000
+# Scores held at a time while one batch is compared, exact pairs at a time, rows per comparison, and
+# the number of queries from which dropping copies first pays.
+_BLOCK_CELLS = 1_000_000
 _PAIRS = 200_000
 _BATCH = 10_000
+_MANY_QUERIES = 128
 
 
 @dataclass(frozen=True)
@@ -96,7 +98,18 @@ class _Search:
     @property
     def margin(self) -> float:
         """Bound, in millionths, on the error of a single-precision cosine plus that of rounding."""
-        return 1.5 + _SCORE_UNIT * self.dim * 2.0**-23
+        return 2.0 + _SCORE_UNIT * (self.dim + 4) * 2.0**-23
+
+
+def _first_copies(c: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the first ``n`` rows of every distinct vector.
+
+    Copies score alike and the smaller keys win, so later copies cannot be among the best n.
+    """
+    plain = np.ascontiguousarray(c)
+    _, group = np.unique(plain.view(np.dtype((np.void, plain.dtype.itemsize * plain.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    return np.sort(order[_place(group[order]) < n])
 
 
 class _Running:
@@ -105,40 +118,58 @@ class _Running:
     def __init__(self, keys: pa.Table, vectors: np.ndarray, search: _Search):
         self.keys, self.q, self.search = keys, vectors, search
         self.norms = _norms(vectors)
-        self.unit = _unit(vectors, self.norms)
+        self.unit = _unit(vectors, self.norms) * np.float32(_SCORE_UNIT)
         # Score of the k-th hit; a query with fewer hits accepts anything.
         self.bar = np.full(len(vectors), -np.inf)
         self.hits: pa.Table | None = None
 
     def add(self, c_keys: pa.Table, c: np.ndarray) -> None:
         # In key order, so that positions break ties.
-        order = pc.sort_indices(c_keys, sort_keys=[(n, "ascending") for n in c_keys.column_names])
-        c_keys, c = c_keys.take(order), c[order.to_numpy()]
+        order = pc.sort_indices(c_keys, sort_keys=[(n, "ascending") for n in c_keys.column_names]).to_numpy()
+        if len(self.q) >= _MANY_QUERIES:
+            order = order[_first_copies(c[order], self._wanted)]
+        c_keys, c = c_keys.take(pa.array(order)), c[order]
         norms = _norms(c)
         unit = _unit(c, norms)
         step = max(1, _BLOCK_CELLS // max(1, len(c)))
-        found = [self._block(at, min(at + step, len(self.q)), c_keys, c, norms, unit)
-                 for at in range(0, len(self.q), step)]
-        self._merge(pa.concat_tables([t for part in found for t in part] + ([] if self.hits is None else [self.hits])))
+        found = [] if self.hits is None else [self.hits]
+        rows, cols, n = [], [], 0
+        for at in range(0, len(self.q), step):
+            r, j = self._preselect(at, min(at + step, len(self.q)), unit)
+            rows.append(r)
+            cols.append(j)
+            n += len(r)
+            if n >= _PAIRS or at + step >= len(self.q):
+                found += self._exact(np.concatenate(rows), np.concatenate(cols), c_keys, c, norms)
+                rows, cols, n = [], [], 0
+        self._merge(pa.concat_tables(found))
 
-    def _block(self, lo: int, hi: int, c_keys: pa.Table, c: np.ndarray, norms: np.ndarray,
-               unit: np.ndarray) -> list[pa.Table]:
-        s = self.search
+    @property
+    def _wanted(self) -> int:
+        """One hit more than k is needed if the row itself may be among them."""
+        return self.search.k + self.search.exclude_same
+
+    def _preselect(self, lo: int, hi: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be among the best, with some that are not."""
         near = self.unit[lo:hi] @ unit.T
-        near *= _SCORE_UNIT
         bar = self.bar[lo:hi].copy()
-        # One hit more than k is needed if the row itself may be among them.
-        wanted = s.k + s.exclude_same
         open_rows = np.flatnonzero(np.isneginf(bar))
-        if len(open_rows) and len(c) > wanted:
-            bar[open_rows] = np.partition(near[open_rows], len(c) - wanted, axis=1)[:, len(c) - wanted]
-        if s.floor_units is not None:
-            bar = np.maximum(bar, s.floor_units)
-        rows, cols = np.nonzero(near >= (bar - s.margin)[:, None])
-        return [self._exact(lo + rows[at:at + _PAIRS], cols[at:at + _PAIRS], c_keys, c, norms)
-                for at in range(0, len(rows), _PAIRS)] or [self._exact(rows, cols, c_keys, c, norms)]
-
-    def _exact(self, rows: np.ndarray, cols: np.ndarray, c_keys: pa.Table, c: np.ndarray, norms: np.ndarray) -> pa.Table:
+        n = near.shape[1]
+        if len(open_rows) and n > self._wanted:
+            bar[open_rows] = np.partition(near[open_rows], n - self._wanted, axis=1)[:, n - self._wanted]
+        if self.search.floor_units is not None:
+            bar = np.maximum(bar, self.search.floor_units)
+        found = np.flatnonzero(near >= (bar - self.search.margin).astype(np.float32)[:, None])
+        rows, cols = np.divmod(found, n)
+        return lo + rows, cols
+
+    def _exact(self, rows: np.ndarray, cols: np.ndarray, c_keys: pa.Table, c: np.ndarray,
+               norms: np.ndarray) -> list[pa.Table]:
+        return [self._exact_part(rows[at:at + _PAIRS], cols[at:at + _PAIRS], c_keys, c, norms)
+                for at in range(0, max(1, len(rows)), _PAIRS)]
+
+    def _exact_part(self, rows: np.ndarray, cols: np.ndarray, c_keys: pa.Table, c: np.ndarray,
+                    norms: np.ndarray) -> pa.Table:
         """Exact scores of preselected pairs."""
         s = self.search
         scaled = _scaled(np.einsum("ij,ij->i", self.q[rows], c[cols]), self.norms[rows] * norms[cols])
@@ -299,7 +330,10 @@ def with_nearest_cells(df: DataFrame, vector: str, centroids: np.ndarray, n: int
                 batch = whole.slice(at, step)
                 m = _matrix(batch.column(batch.schema.get_field_index(vector)), dim)
                 scaled = _scaled_cosines(m, cells)
-                order = np.argsort(-scaled, axis=1, kind="stable")[:, :n].astype(np.int32)
+                # Unique ranks: equal scores count by cell number.
+                ranks = -scaled * len(cells) + np.arange(len(cells))
+                order = np.argpartition(ranks, n - 1, axis=1)[:, :n]
+                order = np.take_along_axis(order, np.argsort(np.take_along_axis(ranks, order, 1), 1), 1).astype(np.int32)
                 table = pa.table({name: batch.column(i) for i, name in enumerate(batch.schema.names)}
                                  | {"cells": pa.array(list(order), type=pa.list_(pa.int32()))})
                 yield from _typed(table, arrow).to_batches()

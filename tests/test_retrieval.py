@@ -142,3 +142,13 @@ def test_the_model_runs_once_per_row(spark):
     q = VectorTable(frame(spark, [("q", [1.0, 0, 0, 0])], "qid"), ("qid",), "v")
     plan = similarity_topk(q, VectorTable(df, ("id",), "v"), 3, DIM)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+@pytest.mark.parametrize("exclude_same", [False, True])
+def test_many_queries_among_copies(spark, bound, exclude_same):
+    """Enough queries for copies to be dropped first; only 81 distinct vectors, a third are one."""
+    vectors = [(k, [1.0, 1, 1, 0] if i % 3 == 0 else v) for i, (k, v) in enumerate(random_vectors(300, "v", 5))]
+    table = VectorTable(frame(spark, vectors).repartition(3), ("id",), "v")
+    got = similarity_topk(table, table, 4, DIM, exclude_same=exclude_same, broadcast_bytes=bound, tile_rows=150)
+    assert rows(got) == brute_force(vectors, vectors, 4, exclude_same)
