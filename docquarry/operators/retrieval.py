@@ -24,7 +24,7 @@ from docquarry.functions.text import stage
 from docquarry.session import materialize
 
 BROADCAST_BYTES = 64 << 20
-TILE_ROWS = 131_072
+TILE_BYTES = 64 << 20
 _SCORE_UNIT = 1_000_000
 # Scores held at a time while one batch is compared, exact pairs at a time, rows per comparison, and
 # the number of queries from which dropping copies first pays.
@@ -225,6 +225,10 @@ def _finish(local: DataFrame, queries: VectorTable, corpus: VectorTable, k: int)
     )
 
 
+def _default_tile_rows(dim: int) -> int:
+    return max(1, TILE_BYTES // (4 * dim))
+
+
 def _key_names(df: DataFrame, vector: str) -> tuple[str, ...]:
     return tuple(c for c in df.columns if c != vector)
 
@@ -246,7 +250,7 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def similarity_topk(queries: VectorTable, corpus: VectorTable, k: int, dim: int, *, exclude_same: bool = False,
                     min_score: float | None = None, broadcast_bytes: int = BROADCAST_BYTES,
-                    tile_rows: int = TILE_ROWS) -> DataFrame:
+                    tile_rows: int | None = None) -> DataFrame:
     """The k corpus rows nearest to each query: query key, corpus key, ``rank``, ``score``.
 
     ``exclude_same`` drops the corpus row whose key equals the query key; ``min_score`` drops rows
@@ -261,6 +265,7 @@ def similarity_topk(queries: VectorTable, corpus: VectorTable, k: int, dim: int,
     if n_queries * dim * 8 <= broadcast_bytes:
         local = _broadcast_topk(q.toArrow(), c, schema, search)
     else:
+        tile_rows = tile_rows or _default_tile_rows(dim)
         local = _tiled_topk(q, c, schema, search, ceil(n_queries / tile_rows), ceil(corpus.df.count() / tile_rows))
     return _finish(local, queries, corpus, k)
 
@@ -342,7 +347,7 @@ def with_nearest_cells(df: DataFrame, vector: str, centroids: np.ndarray, n: int
 
 
 def similarity_topk_approx(queries: VectorTable, corpus: VectorTable, k: int, dim: int, *, n_cells: int, n_probe: int,
-                           exclude_same: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
+                           exclude_same: bool = False, tile_rows: int | None = None) -> DataFrame:
     """Approximate top-k: corpus rows lie in the cell of their nearest centre, a query looks into
     its ``n_probe`` nearest cells. Exact when ``n_probe`` equals ``n_cells``.
 
@@ -351,6 +356,7 @@ def similarity_topk_approx(queries: VectorTable, corpus: VectorTable, k: int, di
     """
     if n_cells * dim * 8 > BROADCAST_BYTES:
         raise ValueError("the centres must fit the broadcast bound")
+    tile_rows = tile_rows or _default_tile_rows(dim)
     centroids = pick_centroids(corpus, n_cells, dim)
     if not len(centroids):
         centroids = np.zeros((1, dim))

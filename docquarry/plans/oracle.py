@@ -471,3 +471,9 @@ ORACLE_SQL["chunk_sweep"] = _with(_SWEPT, "SELECT * FROM swept")
 ORACLE_SQL["run_ranking"] = _with(_SWEPT, """
 SELECT size, overlap, 1::BIGINT AS n, round(mean_tokens / size, 6) AS mean_score,
   row_number() OVER (ORDER BY round(mean_tokens / size, 6) DESC, size, overlap)::INTEGER AS rank FROM swept""")
+
+ORACLE_SQL["streamed_chunks"] = ORACLE_SQL["sentence_chunks"]
+ORACLE_SQL["streamed_index"] = """
+SELECT user_id, event_id, event_type, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
+ORACLE_SQL["streamed_eval_set"] = ORACLE_SQL["cloze_eval_set"]

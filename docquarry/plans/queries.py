@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquarry import config as cf
-from docquarry.functions import html as hx, models as mx, text as tx
+from docquarry.functions import html as hx, text as tx
 from docquarry.operators import (
     chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering)
 from docquarry.operators.retrieval import VectorTable, dimension_check, similarity_topk, similarity_topk_approx
 from docquarry.plans import answering, evaluation
 from docquarry.plans.answering import Gate, Models
-from docquarry.session import ensure_parallelism
+from docquarry.session import ensure_parallelism, shared_path
 from docquarry.sources import pages as pg, tables
+from docquarry.streaming import index_sync as index_sync_stream, ingest
 
 DIM = 64
 RUN = cf.RunConfig()
@@ -505,6 +506,39 @@ def replayed_questions(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("conv_id", "turn", "answer")
 
 
+# Streams
+
+def _streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return ingest.stream_parquet(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
+
+
+def streamed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as a stream, drained into a chunk table."""
+    chunked = chunking.chunk_sentences(
+        _streamed(spark, folder, "documents"), "text", RUN.size, RUN.overlap, ["doc_id"])
+    target = shared_path(spark)
+    ingest.drain_to_path(chunked, target, shared_path(spark))
+    return spark.read.schema(chunked.schema).parquet(target)
+
+
+def streamed_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a stream of changes, synced into an index that is read as its latest state per user."""
+    changes = _streamed(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
+    log = shared_path(spark)
+    index_sync_stream.sync_stream(changes, log, shared_path(spark))
+    return index_sync_stream.index_snapshot(spark, log, changes.schema, "user_id", "event_id")
+
+
+def streamed_eval_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as a stream, chunked and turned into questions and answers."""
+    docs = _streamed(spark, folder, "documents").withColumn("url", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")))
+    parts = chunking.chunk_tokens(docs, "text", cf.EVALSET_CHUNK_SIZE, cf.EVALSET_CHUNK_OVERLAP, ["url"])
+    made = evalset.usable(evalset.build_eval_set(parts)).select("url", "chunk_no", "question", "answer")
+    target = shared_path(spark)
+    ingest.drain_to_path(made, target, shared_path(spark))
+    return spark.read.schema(made.schema).parquet(target)
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
@@ -525,5 +559,6 @@ QUERIES: dict[str, Query] = {
         token_histogram, toxicity_scatter, toxicity_quality, toxicity_correlation, label_context_precision,
         label_mate_similarity,
         latest_versions, run_ranking, missing_responses, log_completeness, replayed_questions,
+        streamed_chunks, streamed_index, streamed_eval_set,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 import tempfile
 import uuid
@@ -31,20 +33,51 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return "/".join((checkpoint_root(spark).rstrip("/"), "docquarry", spark.sparkContext.applicationId))
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, under this application."""
+    return f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where two branches of a plan must see the very same rows (sampled range
-    bounds, model output). The written files outlive lost executors. They are kept
-    under the application id so that they can be removed when the application ends.
+    bounds, model output). The written files outlive lost executors. They stay until
+    :func:`release` is called.
     """
     spark = df.sparkSession
-    path = "/".join((checkpoint_root(spark).rstrip("/"), "docquarry",
-                     spark.sparkContext.applicationId, uuid.uuid4().hex))
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on any file system Spark can reach, such as a stream checkpoint to be reset."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; frames built on it end there."""
+    remove_folder(spark, _application_folder(spark))
+
+
+@contextmanager
+def arrow_batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for actions inside the block, for very large documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Spread a scan that is too small to give every core a full split.
 
@@ -53,7 +86,7 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < split * cores else df
 

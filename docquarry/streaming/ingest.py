@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.config import EVALSET_CHUNK_OVERLAP, EVALSET_CHUNK_SIZE, RunConfig
@@ -36,6 +36,19 @@ def stream_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.readStream.table(table)
 
 
+def stream_parquet(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
+    """Stream of the rows of new parquet files that match a glob."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+
+
+def drain_to_path(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """As :func:`drain_to_table`, into parquet files."""
+    query = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+             .outputMode("append").format("parquet").start(path))
+    query.awaitTermination()
+    return query
+
+
 def drain_to_table(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Append all available input to a table and wait for the end; nothing is taken twice."""
     query = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ["PYTHONPATH"] = os.pathsep.join(
     p for p in (str(Path(__file__).resolve().parent), os.environ.get("PYTHONPATH")) if p)
 
-from docquarry.session import ship_package  # noqa: E402
+from docquarry.session import release, ship_package  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -32,4 +32,5 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
+    release(session)
     session.stop()

@@ -4,6 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from docquarry import session
 from docquarry.config import RunConfig
 from docquarry.operators import index
 from docquarry.sources import files, pages, tables
@@ -131,6 +132,42 @@ def test_evalset_stream_with_limit(spark, database, tmp_path):
     assert made.where("answer <> 'sentence'").isEmpty()
 
 
+def test_reset_rebuilds_from_the_start(spark, database, tmp_path):
+    folder, checkpoint, raw = tmp_path / "in", str(tmp_path / "ck"), f"{database}.raw"
+    folder.mkdir()
+    write(folder, "a.pdf", "One.")
+    ingest.drain_to_table(ingest.ingest_files(spark, str(folder)), raw, checkpoint)
+    tables.drop_table(spark, raw)
+    assert session.remove_folder(spark, checkpoint)
+    ingest.drain_to_table(ingest.ingest_files(spark, str(folder)), raw, checkpoint)
+    assert spark.table(raw).count() == 1
+
+
+def test_session_helpers(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with session.arrow_batch_rows(spark, 10):
+        assert spark.conf.get(name) == "10"
+    assert spark.conf.get(name) == before
+    assert session.shared_path(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    small = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    assert session.ensure_parallelism(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    kept = session.materialize(spark.range(5))
+    assert kept.count() == 5 and "FileScan" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_scans_are_not_shuffled(spark):
+    """With a tiny split size the same file counts as large."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")
+    try:
+        df = session.ensure_parallelism(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
 INDEX_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("content", T.StringType()), T.StructField("version", T.LongType())])
 
