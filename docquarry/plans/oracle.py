@@ -142,10 +142,10 @@ eval_rows AS (SELECT conv_id, turn, question, result AS answer, contexts, contex
 
 def readability(x: str) -> dict[str, str]:
     return {
-        "n_words": f"len({words(x)})",
-        "n_sentences": f"len({sentences(x)})",
-        "n_syllables": f"len(regexp_extract_all(lower({x}), '[aeiouy]+'))",
-        "n_letters": rf"length(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g'))",
+        "n_words": f"len({words(x)})::INTEGER",
+        "n_sentences": f"len({sentences(x)})::INTEGER",
+        "n_syllables": f"len(regexp_extract_all(lower({x}), '[aeiouy]+'))::INTEGER",
+        "n_letters": rf"length(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g'))::INTEGER",
     }
 
 
@@ -307,9 +307,9 @@ SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(repl
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text
 FROM pages""",
     "pages_with_article": r"""
-SELECT url, length(nullif(trim(regexp_extract(html, '(?s)<article(?:\s[^>]*)?>.*?</article>')), '')) AS article_chars
+SELECT url, length(nullif(trim(regexp_extract(html, '(?s)<article(?:\s[^>]*)?>.*?</article>')), ''))::INTEGER AS article_chars
 FROM pages WHERE article_chars IS NOT NULL""",
-    "url_content": f"SELECT doc_id, {URL} AS url, text AS content, length(text) AS content_chars, length(text) > 2000 AS is_long FROM documents",
+    "url_content": f"SELECT doc_id, {URL} AS url, text AS content, length(text)::INTEGER AS content_chars, length(text) > 2000 AS is_long FROM documents",
     "labelled_documents": """
 SELECT doc_id, text AS inputs, quality AS targets FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL""",
     "html_page_preview": "SELECT page_id, url FROM pages WHERE url LIKE '%.html' ORDER BY page_id LIMIT 10",
