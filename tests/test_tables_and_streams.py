@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 from docquarry import session
 from docquarry.config import RunConfig
 from docquarry.operators import index
+from docquarry.plans.answering import Gate, answer_dialogs
 from docquarry.sources import files, pages, tables
 from docquarry.streaming import index_sync, ingest
 
@@ -119,6 +120,10 @@ def test_files_to_chunks(spark, database, tmp_path):
     assert table.count() == 5 and table.select("id").distinct().count() == 5
     assert table.where(F.size("embedding") != config.dim).isEmpty()
     assert table.columns == tables.CHUNK_SCHEMA.fieldNames()
+    turns = spark.createDataFrame([("c", 0, "user", "Which sentence was added later?")],
+                                  "conv_id string, turn long, role string, text string")
+    answer = answer_dialogs(turns, table, Gate(terms=("sentence",)), config, chunk_key=["id"]).first()
+    assert answer.result == "Added later." and answer.sources[0].endswith("d.pdf")
 
 
 def test_evalset_stream_with_limit(spark, database, tmp_path):
