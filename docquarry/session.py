@@ -79,16 +79,18 @@ def arrow_batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a scan that is too small to give every core a full split.
+    """Spread a scan that has fewer partitions than there are cores.
 
     A small file of one row group would otherwise put all Python or regex work into a
-    single task. Tables of at least one full split per core pass through unshuffled.
+    single task. A scan with enough partitions passes through unshuffled, whatever its size.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < split * cores else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan_partitions(df) < cores else df
+
+
+def scan_partitions(df: DataFrame) -> int:
+    """Number of tasks in which ``df`` would be computed."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def ship_package(spark: SparkSession) -> None:
