@@ -39,3 +39,17 @@ def ranked_within(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
     local = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     return (local.join(starts, keys).withColumn(name, F.col("_start") + F.col("_place"))
             .select(*df.columns, name))
+
+
+#: Tables that are sent to every executor must be smaller than this when written out as rows.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, width: Column, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcasting if its rows, of ``width`` bytes each, are below the bound.
+
+    Beyond it the join shuffles both sides and gives the same rows. ``df`` should be a written
+    table, since it is read twice.
+    """
+    size = df.select(F.sum(width.cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= bound else df
