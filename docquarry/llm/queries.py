@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm import decontaminate, sharding
+from docquarry.llm import decontaminate, near_dup, sharding
 from docquarry.llm.common import table
 
 SHARDS = 40
@@ -25,11 +26,17 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 2-word shingle sets overlap by 80 percent or more."""
+    return near_dup.near_duplicates(table(spark, folder, "documents"), near_dup.NearDup(words=2))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op8_near_dup": op8_near_dup,
 }
-_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
 LLM_SQL: dict[str, str] = {
@@ -53,4 +60,23 @@ LLM_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+    "op8_near_dup": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), i -> w[i:i + 1]))
+                                WHEN len(w) = 1 THEN [w] ELSE [] END AS s
+            FROM d),
+        single AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        both AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS common
+            FROM single a JOIN single b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM both WHERE 100 * common >= 80 * (m + n - common)),
+        reach AS (
+            SELECT DISTINCT a AS doc_id, a AS other FROM links
+            UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+        FROM sets LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) USING (doc_id)""",
 }
