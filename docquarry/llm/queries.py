@@ -70,10 +70,10 @@ LLM_SQL: dict[str, str] = {
                                 WHEN len(w) = 1 THEN [w] ELSE [] END AS s
             FROM d),
         single AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
-        both AS (
+        pairs AS (
             SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS common
             FROM single a JOIN single b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-        links AS (SELECT a, b FROM both WHERE 100 * common >= 80 * (m + n - common)),
+        links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (m + n - common)),
         reach AS (
             SELECT DISTINCT a AS doc_id, a AS other FROM links
             UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
