@@ -7,12 +7,24 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm import decontaminate, near_dup, sharding
+from docquarry.llm import decontaminate, near_dup, packing, sharding
 from docquarry.llm.common import table
+from docquarry.session import ensure_parallelism
 
 SHARDS = 40
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in sequences of at most 2048 tokens."""
+    return packing.pack(ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")), tokenizer_path())
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Documents over 40 even shards under the law ``key``."""
     placed = sharding.sharded(table(spark, folder, "documents"), sharding.Tree.even(SHARDS))
@@ -28,10 +40,12 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets overlap by 80 percent or more."""
-    return near_dup.near_duplicates(table(spark, folder, "documents"), near_dup.NearDup(words=2))
+    return near_dup.near_duplicates(
+        ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")), near_dup.NearDup(words=2))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op8_near_dup": op8_near_dup,
@@ -63,10 +77,10 @@ LLM_SQL: dict[str, str] = {
     "op8_near_dup": f"""
         WITH RECURSIVE d AS (
             SELECT doc_id, list_filter(string_split_regex(
-                translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+                translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         sets AS (
-            SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), i -> w[i:i + 1]))
+            SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i:i + 1]))
                                 WHEN len(w) = 1 THEN [w] ELSE [] END AS s
             FROM d),
         single AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
