@@ -7,13 +7,22 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm import decontaminate, near_dup, packing, sharding
+from docquarry.llm import decontaminate, langid, line_dedup, near_dup, packing, sharding
 from docquarry.llm.common import table
 from docquarry.session import ensure_parallelism
 
 SHARDS = 40
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    model = langid.learn(docs.where(langid.fold("doc_id", 4) != 2))
+    own = ensure_parallelism(docs.select("doc_id", "text"))
+    held_out = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False))
+    return langid.classified(own, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -44,11 +53,19 @@ def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
         ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")), near_dup.NearDup(words=2))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the blocks of lines that an earlier document has."""
+    cut = line_dedup.without_repeats(ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")))
+    return cut.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op8_near_dup": op8_near_dup,
+    "op10_line_dedup": op10_line_dedup,
 }
 _WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
