@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm import decontaminate, langid, line_dedup, near_dup, packing, sharding
+from docquarry.llm import decontaminate, langid, line_dedup, near_dup, packing, quality, sharding
 from docquarry.llm.common import table
 from docquarry.session import ensure_parallelism
 
@@ -53,6 +53,14 @@ def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
         ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")), near_dup.NearDup(words=2))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, folder, "labels").where(langid.fold("doc_id", 5) != 0))
+    held_out = F.coalesce(langid.fold("doc_id", 5) == 0, F.lit(False))
+    return quality.scored(ensure_parallelism(docs), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier document has."""
     cut = line_dedup.without_repeats(ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")))
@@ -65,6 +73,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op8_near_dup": op8_near_dup,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 _WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), "
