@@ -7,13 +7,20 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm import decontaminate, langid, line_dedup, near_dup, packing, quality, sharding
+from docquarry.llm import decontaminate, langid, line_dedup, near_dup, packing, quality, sharding, warc
 from docquarry.llm.common import table
 from docquarry.session import ensure_parallelism
 
 SHARDS = 40
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    found = warc.round_trip(table(spark, folder, "pages"))
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from those outside the held-out fold."""
     docs = table(spark, folder, "documents")
@@ -68,6 +75,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
@@ -80,6 +88,13 @@ _WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}'
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
 LLM_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first < page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)""",
     "op6_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
