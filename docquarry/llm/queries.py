@@ -7,11 +7,12 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm import decontaminate, langid, line_dedup, near_dup, packing, quality, sharding, warc
+from docquarry.llm import decontaminate, html_suffix, langid, line_dedup, near_dup, packing, quality, sharding, vptree, warc
 from docquarry.llm.common import table
 from docquarry.session import ensure_parallelism
 
 SHARDS = 40
+NEIGHBOUR_FACTOR = 1.0
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.classified(own, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    own = vptree.usable(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return vptree.nearest(own.where(F.col("id") % 20 == 0), own, vptree.Search(k=20, factor=NEIGHBOUR_FACTOR))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -74,12 +81,19 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_suffix.extracted(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op3_neighbours": op3_neighbours,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_html_text": op7_html_text,
     "op8_near_dup": op8_near_dup,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
