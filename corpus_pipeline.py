@@ -19,6 +19,11 @@ from docquarry.session import ensure_parallelism, materialize, ship_package
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns beside the whole row, whose other columns then clash with none of an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter or with a narrow margin go.
 
@@ -26,17 +31,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     model = langid.learn(docs)
-    found = langid.classified(ensure_parallelism(docs), model)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = langid.classified(_boxed(ensure_parallelism(docs), "text"), model)
+    return found.where(~F.col("rejected")).select("_row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without blocks of lines that an earlier one has; one of which nothing is left goes."""
     ship_package(spark)
-    cut = line_dedup.without_repeats(ensure_parallelism(docs))
+    cut = line_dedup.without_repeats(_boxed(ensure_parallelism(docs), "doc_id", "text"))
     left = cut.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
-    length = F.when(F.col("n_deleted") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return left.withColumn("n_chars", length).select(*docs.columns)
+    length = F.when(F.col("n_deleted") == 0, F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    own = {"text": F.col("text"), "n_chars": length}
+    return left.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
