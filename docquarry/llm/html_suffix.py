@@ -298,13 +298,31 @@ def _wanted(found: list[tuple[int, str]]) -> set[int]:
     return {ARTICLE, LINKS} if ARTICLE in kinds else {MAIN} if MAIN in kinds else {OPEN}
 
 
-def main_text(found: list[tuple[int, str]], gone: set[int]) -> str:
+def _unique(words: list[str], at: int, gone: set[int], run: int) -> list[str]:
+    """``words``, which start at place ``at``, without covered stretches.
+
+    A stretch goes if it is long by itself or the whole block: a run from the block before may reach into a
+    unique one.
+    """
+    kept, held = [], []
+    for j, word in enumerate(words, at):
+        if j in gone:
+            held.append(word)
+            continue
+        if len(held) < run:
+            kept += held
+        held = []
+        kept.append(word)
+    return kept + held if kept and len(held) < run else kept
+
+
+def main_text(found: list[tuple[int, str]], gone: set[int], run: int = Settings.run) -> str:
     """Text of a page, given its blocks and the boilerplate places in its token stream."""
     wanted, judged, at, out = _wanted(found), set(_judged(found)), 0, []
     for i, (kind, text) in enumerate(found):
         if i in judged:
             words = text.split()
-            kept = [w for j, w in enumerate(words, at) if j not in gone]
+            kept = _unique(words, at, gone, run)
             at += len(words) + 1
             # Links in an article go as a whole or stay; elsewhere the unique runs stay.
             text = text if kind == LINKS and kept else " ".join(kept)
@@ -331,7 +349,7 @@ def extracted(pages: DataFrame, s: Settings = Settings(), url: str = "url", html
                      (keyed["_page"] == cut["_cut_page"]) & (keyed["_host"] == cut["_cut_host"]), "left")
 
     def run(htmls: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([main_text(blocks(page), set() if g is None else set(g.tolist())) for page, g in zip(htmls, gone)], dtype=object)
+        return pd.Series([main_text(blocks(page), set() if g is None else set(g.tolist()), s.run) for page, g in zip(htmls, gone)], dtype=object)
 
     text = F.pandas_udf(run, "string")(F.col(html), F.col("_gone"))
     return met.select(*columns, text.alias("text")).withColumn("n_chars", F.length("text"))
