@@ -57,11 +57,6 @@ def merge_sections(text: Column | str, separator: str = r"\n{2,}") -> Column:
     return F.array_join(F.transform(F.split(_col(text), separator), clean_text), "\n")
 
 
-def join_sections(sections: Column | str) -> Column:
-    """As :func:`merge_sections`, for a parser that returns an array of sections."""
-    return F.array_join(F.transform(_col(sections), clean_text), "\n")
-
-
 def sentences(text: Column | str) -> Column:
     """Sentence units: a run up to a sentence end or a line break, trimmed, never empty."""
     tidy = F.regexp_replace(_col(text), r" ?\.", ".")
@@ -127,11 +122,13 @@ def json_field_or_raw(response: Column | str, key: str) -> Column:
     """
     raw = _col(response)
     parsed = F.try_parse_json(raw)
-    field = F.try_variant_get(parsed, f"$.{key}", "variant")
+    # Quoted, so that a key with a dot or bracket is one key.
+    path = f'$["{key}"]' if "'" in key else f"$['{key}']"
+    field = F.try_variant_get(parsed, path, "variant")
     return (
         F.when(parsed.isNull() | field.isNull(), raw)
         .when(F.is_variant_null(field), F.lit(None).cast("string"))
-        .otherwise(F.coalesce(F.try_variant_get(parsed, f"$.{key}", "string"), F.to_json(field)))
+        .otherwise(F.coalesce(F.try_variant_get(parsed, path, "string"), F.to_json(field)))
     )
 
 

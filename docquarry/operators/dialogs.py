@@ -1,7 +1,7 @@
 """Dialogs as tables.
 
 The long form ``(conv_id, turn, role, text)`` is the working form: its operators use joins and
-partially aggregated maxima, so a conversation that holds a large part of all rows does not end up
+partially aggregated maxima of turns, so a conversation that holds a large part of all rows does not end up
 in one task. The nested form ``messages ARRAY<STRUCT<role, content>>`` is what a chat client sends.
 """
 
@@ -21,8 +21,9 @@ def last_turns(messages: DataFrame) -> DataFrame:
 def extract_question(messages: DataFrame, last_user: bool = False) -> DataFrame:
     """``(conv_id, turn, question)``: the last message whatever its role, or the last user message."""
     rows = messages.where(F.col("role") == "user") if last_user else messages
-    return rows.groupBy("conv_id").agg(
-        F.max("turn").alias("turn"), F.max_by("text", "turn").alias("question"))
+    # Only keys and turns are aggregated; the text is fetched by (conversation, turn).
+    last = last_turns(rows).withColumnRenamed("last_turn", "turn")
+    return rows.join(last, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("question"))
 
 
 def extract_history(messages: DataFrame) -> DataFrame:
@@ -96,25 +97,21 @@ def dialog_state(messages: DataFrame) -> DataFrame:
 
     ``question`` is the last message, ``previous_user`` the last user message before it and
     ``n_history`` the number of earlier messages. Both sides are cut to at most two rows per
-    conversation and task before their shuffle, by partial aggregation and by the ranking limit, and
-    their join uses the partitioning they then have.
+    conversation and task before their shuffle, by partial aggregation and by the ranking limit.
     """
-    last = messages.groupBy("conv_id").agg(
-        F.max("turn").alias("last_turn"),
-        F.max_by("text", "turn").alias("question"),
-        (F.count(F.lit(1)) - 1).alias("n_history"),
-    )
+    counted = messages.groupBy("conv_id").agg(F.max("turn").alias("turn"), (F.count(F.lit(1)) - 1).alias("n_history"))
+    last = messages.join(counted, ["conv_id", "turn"]).select(
+        "conv_id", F.col("turn").alias("last_turn"), F.col("text").alias("question"), "n_history")
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     users = (
         messages.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("_text"))
         .withColumn("_place", F.row_number().over(newest)).where("_place <= 2")
     )
-    earlier = F.when(F.col("turn") < F.col("last_turn"), F.col("turn"))
-    return last.join(users, "conv_id", "left").groupBy("conv_id").agg(
-        F.first("question").alias("question"),
-        F.max_by("_text", earlier).alias("previous_user"),
-        F.first("n_history").alias("n_history"),
-    )
+    # Of the two newest user turns the first one before the last message.
+    before = users.join(last.select("conv_id", "last_turn"), "conv_id").where("turn < last_turn")
+    previous = before.withColumn("_place", F.row_number().over(newest)).where("_place = 1")
+    return last.join(previous.select("conv_id", F.col("_text").alias("previous_user")), "conv_id", "left").select(
+        "conv_id", "question", "previous_user", "n_history")
 
 
 def append_turns(messages: DataFrame, exchanges: DataFrame) -> DataFrame:

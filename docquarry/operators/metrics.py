@@ -12,7 +12,9 @@ from docquarry.functions import text as tx
 from docquarry.functions.models import ModelFn, _rows, containment, five_point, overlap_count, overlap_f1
 
 # Word lists of the stand-in scorers, to be replaced by a model or a longer list.
-CASUAL_WORDS = ("awesome", "cool", "dude", "gonna", "hey", "kinda", "like", "lol", "super", "wanna", "yeah")
+INFORMAL_WORDS = ("btw", "dunno", "gimme", "gotta", "haha", "meh", "nope", "oops", "pls", "stuff", "thx", "yep", "yup")
+# Informal marks per hundred words up to which an answer gets 5, 4, 3 and 2 points; 1 beyond.
+MARK_BOUNDS = (0, 2, 5, 10)
 TOXIC_WORDS = ("awful", "dumb", "hate", "idiot", "moron", "pathetic", "stupid", "trash", "ugly", "worthless")
 
 
@@ -69,16 +71,19 @@ def faithfulness_score(answer: Column | str, context: Column | str) -> Column:
     return five_point(containment(tx.keywords(answer), tx.keywords(context)))
 
 
-def professionalism_score(text: Column | str) -> Column:
-    """5 minus one point for each casual mark: contractions, casual words, exclamation marks."""
+def informality_score(text: Column | str, listed: Sequence[str] = INFORMAL_WORDS, bounds: Sequence[int] = MARK_BOUNDS) -> Column:
+    """5 to 1 points by the informal marks in a hundred words: contractions, exclamation marks, listed words."""
     c = tx._col(text)
-    casual = F.array(*[F.lit(w) for w in CASUAL_WORDS])
     marks = (
         F.regexp_count(c, F.lit(r"\p{L}['’]\p{L}"))
         + F.regexp_count(c, F.lit("!"))
-        + overlap_count(tx.keywords(c), casual)
+        + overlap_count(tx.keywords(c), F.array(*[F.lit(w) for w in listed]))
     )
-    return F.lit(5) - F.least(marks, F.lit(4))
+    words = tx.token_count(c)
+    score = F.lit(len(bounds) + 1)
+    for bound in bounds:
+        score = score - (100 * marks > bound * words).cast("int")
+    return score
 
 
 @dataclass(frozen=True)
@@ -91,7 +96,6 @@ class RubricMetric:
     rule: object
     judge_fn: ModelFn | None = None
     examples: Sequence[str] = ()
-    aggregations: tuple[str, ...] = ("mean", "variance")
     template: str = field(default=(
         "Rate the answer from 1 to 5 for {name}: {definition}\n{rubric}\n{examples}\nQuestion: {question}\nAnswer: {answer}"))
 
@@ -110,34 +114,61 @@ class RubricMetric:
         return judge_with(self.judge_fn)(prompt)
 
 
-def professionalism(judge_fn: ModelFn | None = None) -> RubricMetric:
-    return RubricMetric(
-        name="professionalism",
-        definition="how formal, respectful and fitting to a business reader the wording is",
-        rubric={
-            1: "very casual, full of slang",
-            2: "casual but polite",
-            3: "formal with some casual words",
-            4: "even in tone, fit for most business use",
-            5: "formal throughout",
-        },
-        rule=professionalism_score,
-        judge_fn=judge_fn,
-    )
+def informality(definition: str, rubric: Mapping[int, str], judge_fn: ModelFn | None = None, listed: Sequence[str] = INFORMAL_WORDS,
+                bounds: Sequence[int] = MARK_BOUNDS) -> RubricMetric:
+    """The metric ``professionalism`` with the caller's definition and rubric; the rule counts informal marks."""
+    return RubricMetric("professionalism", definition, rubric, lambda text: informality_score(text, listed, bounds), judge_fn)
+
+
+@dataclass(frozen=True)
+class Judges:
+    """Functions that take the place of rules in the answer metrics; ``None`` leaves the rule.
+
+    ``toxicity`` gets answers and returns numbers in [0, 1]; the others get prompts made from the templates
+    and return (score, reason) pairs. ``rubrics`` are more metrics, each under its own name.
+    """
+
+    toxicity: ModelFn | None = None
+    correctness: ModelFn | None = None
+    relevance: ModelFn | None = None
+    faithfulness: ModelFn | None = None
+    rubrics: Sequence[RubricMetric] = ()
+    correctness_template: str = "Score 1 to 5 how well the answer agrees with the target.\nTarget: {target}\nAnswer: {answer}"
+    relevance_template: str = "Score 1 to 5 how well the answer fits the question.\nQuestion: {question}\nAnswer: {answer}"
+    faithfulness_template: str = "Score 1 to 5 how far the passages support the answer.\nPassages: {context}\nAnswer: {answer}"
+
+    def judged(self, fn: ModelFn | None, template: str, slots: Sequence[str], rule: Column) -> Column:
+        return rule if fn is None else judge_with(fn)(tx.render_prompt(template, {s: s for s in slots}))["score"]
+
+
+def score_with(score_fn: ModelFn):
+    """Pandas UDF text -> number."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else float(v) for v in score_fn(list(texts))], dtype="float64")
+
+    return score
 
 
-def answer_metrics(rows: DataFrame) -> DataFrame:
+def answer_metrics(rows: DataFrame, judges: Judges = Judges()) -> DataFrame:
     """Add one column per metric to ``(question, answer, context, target)`` rows."""
+    j = judges
     scored = readability(rows, "answer").withColumns({
         "exact_match": exact_match("answer", "target"),
         "token_count": F.col("n_words"),
-        "toxicity": toxicity("answer"),
-        "answer_correctness": correctness_score("answer", "target"),
-        "answer_relevance": relevance_score("answer", "question"),
-        "faithfulness": faithfulness_score("answer", "context"),
-        "professionalism": professionalism_score("answer"),
+        "toxicity": toxicity("answer") if j.toxicity is None else score_with(j.toxicity)("answer"),
+        "answer_correctness": j.judged(
+            j.correctness, j.correctness_template, ("target", "answer"), correctness_score("answer", "target")),
+        "answer_relevance": j.judged(
+            j.relevance, j.relevance_template, ("question", "answer"), relevance_score("answer", "question")),
+        "faithfulness": j.judged(
+            j.faithfulness, j.faithfulness_template, ("context", "answer"), faithfulness_score("answer", "context")),
+        "professionalism": informality_score("answer"),
     })
-    return scored.drop("n_words", "n_sentences", "n_syllables", "n_letters")
+    rubrics = {m.name: m.score("question", "answer")["score"] for m in j.rubrics}
+    return scored.withColumns(rubrics).drop("n_words", "n_sentences", "n_syllables", "n_letters") if rubrics else scored.drop(
+        "n_words", "n_sentences", "n_syllables", "n_letters")
 
 
 ANSWER_METRICS = ("exact_match", "token_count", "toxicity", "flesch_kincaid", "ari", "answer_correctness",
@@ -171,7 +202,7 @@ def eval_summary(long: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def eval_table(long: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """One row per example, one column per metric; a fixed metric list saves a pass."""
+    """One row per example, one column per metric, for tables that arrive long. Wide rows need no pivot."""
     return long.groupBy(*keys).pivot("metric", list(metrics)).agg(F.first("score"))
 
 

@@ -52,6 +52,13 @@ class VectorTable:
             *[F.col(c).alias(f"{prefix}{i}") for i, c in enumerate(self.key)], F.col(self.vector).alias("_v"))
         return stage(keyed, {f"{prefix}vec": F.col("_v")}).drop("_v").where(F.size(f"{prefix}vec") == dim)
 
+    def check_dimension(self, dim: int) -> None:
+        """An error if there are vectors but none of this dimension, as with a wrong setting."""
+        sizes = self.df.select(F.size(self.vector).alias("n")).where("n >= 0")
+        first = sizes.first()
+        if first is not None and first["n"] != dim and sizes.where(F.col("n") == dim).isEmpty():
+            raise ValueError(f"no vector has dimension {dim}; the first has {first['n']}")
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -60,6 +67,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(values, dtype=np.float64).reshape(len(column), dim)
 
 
+def _finite(m: np.ndarray) -> np.ndarray:
+    """Rows that can be compared. A NULL component arrives as NaN."""
+    return np.isfinite(_norms(m))
+
+
 def _norms(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m * m).sum(axis=1))
 
@@ -116,6 +128,8 @@ class _Running:
     """The best k corpus rows per query among all batches compared so far."""
 
     def __init__(self, keys: pa.Table, vectors: np.ndarray, search: _Search):
+        usable = _finite(vectors)
+        keys, vectors = keys.filter(pa.array(usable)), vectors[usable]
         self.keys, self.q, self.search = keys, vectors, search
         self.norms = _norms(vectors)
         self.unit = _unit(vectors, self.norms) * np.float32(_SCORE_UNIT)
@@ -124,6 +138,10 @@ class _Running:
         self.hits: pa.Table | None = None
 
     def add(self, c_keys: pa.Table, c: np.ndarray) -> None:
+        usable = _finite(c)
+        c_keys, c = c_keys.filter(pa.array(usable)), c[usable]
+        if not len(c) or not len(self.q):
+            return
         # In key order, so that positions break ties.
         order = pc.sort_indices(c_keys, sort_keys=[(n, "ascending") for n in c_keys.column_names]).to_numpy()
         if len(self.q) >= _MANY_QUERIES:
@@ -261,8 +279,12 @@ def similarity_topk(queries: VectorTable, corpus: VectorTable, k: int, dim: int,
     schema = _local_schema(q, c)
     search = _Search(k, dim, exclude_same, floor_units, _key_names(q, "qvec"), _key_names(c, "cvec"))
     # Counting reads no vectors, so no model runs for it.
-    n_queries = queries.df.count()
-    if n_queries * dim * 8 <= broadcast_bytes:
+    corpus.check_dimension(dim)
+    # Keys go to the driver and to every task with the vectors, and k rows per query come out of every task.
+    key_bytes = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in queries.key)
+    counted = queries.df.agg(F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("bytes")).first()
+    n_queries = counted["n"]
+    if n_queries * (dim * 8 + 32 * k) + (counted["bytes"] or 0) <= broadcast_bytes:
         local = _broadcast_topk(q.toArrow(), c, schema, search)
     else:
         tile_rows = tile_rows or _default_tile_rows(dim)
@@ -333,7 +355,7 @@ def with_nearest_cells(df: DataFrame, vector: str, centroids: np.ndarray, n: int
         for whole in batches:
             for at in range(0, len(whole), step):
                 batch = whole.slice(at, step)
-                m = _matrix(batch.column(batch.schema.get_field_index(vector)), dim)
+                m = np.nan_to_num(_matrix(batch.column(batch.schema.get_field_index(vector)), dim))
                 scaled = _scaled_cosines(m, cells)
                 # Unique ranks: equal scores count by cell number.
                 ranks = -scaled * len(cells) + np.arange(len(cells))
@@ -391,6 +413,7 @@ def similarity_topk_approx(queries: VectorTable, corpus: VectorTable, k: int, di
 
 
 def dimension_check(df: DataFrame, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(usable, quarantined): vectors must have exactly the declared dimension."""
-    fits = F.coalesce(F.size(vector) == dim, F.lit(False))
+    """(usable, quarantined): vectors must have exactly the declared dimension and finite components."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fits = F.coalesce((F.size(vector) == dim) & finite, F.lit(False))
     return df.where(fits), df.where(~fits)

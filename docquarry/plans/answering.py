@@ -13,7 +13,7 @@ from docquarry.functions.models import (
     HashingEmbedder, ModelFn, embed_with, overlap_count, relevance_reply, text_model)
 from docquarry.operators.dialogs import dialog_state, render_history
 from docquarry.operators.numbering import first_rows
-from docquarry.operators.retrieval import VectorTable, similarity_topk
+from docquarry.operators.retrieval import BROADCAST_BYTES, VectorTable, similarity_topk
 from docquarry.session import materialize
 
 REFUSAL = "This question lies outside the subject area, so it is not answered here."
@@ -109,10 +109,17 @@ def with_passages(asked: DataFrame, hits: DataFrame, chunks: DataFrame, key: Seq
                   chunk_key: Sequence[str]) -> DataFrame:
     """Add ``passages`` in rank order, at most k per row.
 
-    Retrieval moves keys only; the few winners then fetch their text and their best sentence.
+    Retrieval moves keys only. The distinct keys of the winners, while they are below a byte bound, are sent
+    to the scan of the chunk table, so only winners' texts leave it; beyond the bound the join shuffles and
+    prunes as Spark sees fit, with the same rows. ``key`` has to be unique in ``asked``.
     """
     terms = tx.stage(asked.select(*key, "question"), {"asked": tx.keywords("question")}).drop("question")
-    texts = hits.join(terms, list(key)).join(chunks.select(*chunk_key, "url", "content"), list(chunk_key))
+    hits = materialize(hits)
+    wanted = hits.select(*chunk_key).distinct()
+    size = hits.agg(F.sum(sum(F.octet_length(F.col(c).cast("string")) + 16 for c in chunk_key)).alias("n")).first()["n"] or 0
+    picked = chunks.select(*chunk_key, "url", "content").join(
+        F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, list(chunk_key), "left_semi")
+    texts = hits.join(terms, list(key)).join(picked, list(chunk_key))
     best = texts.withColumn("best", best_sentence(F.col("content"), F.col("asked")))
     grouped = best.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("rank", "url", "content", "score", "best"))).alias("passages"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docquarry import config as cf
-from docquarry.operators.metrics import ANSWER_METRICS, CASUAL_WORDS, TOXIC_WORDS
+from docquarry.operators.metrics import ANSWER_METRICS, INFORMAL_WORDS, MARK_BOUNDS, TOXIC_WORDS
 from docquarry.plans.answering import NO_PASSAGE, REFUSAL
 from docquarry.plans.queries import CELLS, DIM, GATE, PROBES, RUN, SWEEP
 
@@ -140,6 +140,13 @@ eval_rows AS (SELECT conv_id, turn, question, result AS answer, contexts, contex
        expected_answer AS ground_truth FROM found JOIN pairs USING (conv_id, turn))""")
 
 
+ASKED = (
+    CHUNK_VECTORS + """,
+asked AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),"""
+    + embedded("asked_vec", "asked", QA_KEYS, "question") + ","
+    + hits("asked_hits", "asked_vec", QA_KEYS, RUN.k) + "," + passages("found", "asked_hits", "asked", QA_KEYS))
+
+
 def readability(x: str) -> dict[str, str]:
     return {
         "n_words": f"len({words(x)})::INTEGER",
@@ -162,8 +169,10 @@ def toxicity(x: str) -> str:
 
 
 def professionalism(x: str) -> str:
-    return (rf"(5 - least(len(regexp_extract_all({x}, '\p{{L}}[''’]\p{{L}}')) + len(regexp_extract_all({x}, '!')) "
-            f"+ {shared(keywords(x), _texts(CASUAL_WORDS))}, 4))::INTEGER")
+    marks = (rf"(len(regexp_extract_all({x}, '\p{{L}}[''’]\p{{L}}')) + len(regexp_extract_all({x}, '!')) "
+             f"+ {shared(keywords(x), _texts(INFORMAL_WORDS))})")
+    over = " - ".join(f"(100 * {marks} > {bound} * len({words(x)}))::INTEGER" for bound in MARK_BOUNDS)
+    return f"({len(MARK_BOUNDS) + 1} - {over})::INTEGER"
 
 
 def overlap_f1(a: str, b: str) -> str:
@@ -272,7 +281,7 @@ def file_name(x: str) -> str:
 
 LINKED = f"""
 known AS (SELECT DISTINCT {file_name('s')} AS name FROM (
-       SELECT unnest({HREFS}) AS s FROM pages WHERE url LIKE 'https://%') WHERE name <> ''),
+       SELECT unnest({HREFS}) AS s FROM pages) WHERE name <> '' AND md5(name) < '8'),
 cited AS (SELECT page_id, s, row_number() OVER (PARTITION BY page_id ORDER BY first_at)::INTEGER - 1 AS source_no FROM (
        SELECT page_id, s, min(pos) AS first_at FROM (
          SELECT page_id, unnest({HREFS}) AS s, generate_subscripts({HREFS}, 1) AS pos FROM pages) GROUP BY ALL)),
@@ -375,7 +384,7 @@ scored AS (SELECT q.vec_id, c.vec_id AS vec_id_hit, {cosine('qe', 'ce')} AS scor
 near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, vec_id_hit)::INTEGER AS rank
        FROM scored QUALIFY rank <= {cf.RETRIEVAL_K})""", "SELECT vec_id, vec_id_hit, rank, score FROM near"),
     "index_sync": """
-SELECT vec_id, label, CASE WHEN label >= 7 THEN 'added' WHEN label = 0 AND embedding[1] <> 0 THEN 'updated' ELSE 'kept' END AS sync_action
+SELECT vec_id, label, CASE WHEN label >= 7 THEN 'added' WHEN label = 0 AND embedding <> list_reverse(embedding) THEN 'updated' ELSE 'kept' END AS sync_action
 FROM embeddings""",
     "missing_index_rows": "SELECT vec_id, label FROM embeddings WHERE label >= 7",
     "latest_user_events": """
@@ -411,13 +420,13 @@ made AS (SELECT url, chunk_no, array_to_string(list_transform(w, lambda x, i: CA
         "SELECT url, chunk_no, question, answer FROM made WHERE answer IS NOT NULL"),
     "document_readability": f"""
 SELECT *, {GRADES} FROM (SELECT doc_id, {_select(readability('text'))} FROM documents)""",
-    "document_toxicity": f"SELECT doc_id, toxic, {toxicity('text')} AS toxicity FROM documents JOIN labels USING (doc_id)",
+    "document_toxicity": f"SELECT doc_id, toxic, {toxicity('text')} AS toxicity FROM documents LEFT JOIN labels USING (doc_id)",
     "harmfulness": f"""
-SELECT toxic, flagged, count(*) AS n FROM (SELECT toxic, {toxicity('text')} > 0 AS flagged FROM documents JOIN labels USING (doc_id))
+SELECT toxic, flagged, count(*) AS n FROM (SELECT toxic, {toxicity('text')} > 0 AS flagged FROM documents LEFT JOIN labels USING (doc_id))
 GROUP BY ALL""",
     "turn_professionalism": f"""
 SELECT conv_id, turn, {professionalism('text')} AS professionalism FROM conversations WHERE role = 'assistant'""",
-    "predicted_answers": _with(PREDICTED, "SELECT conv_id, turn, answer, sources FROM eval_rows"),
+    "predicted_answers": _with(ASKED, "SELECT conv_id, turn, result AS answer, sources FROM found"),
     "rag_eval_rows": _with(PREDICTED, """
 SELECT conv_id, turn, question, answer, array_to_string(contexts, chr(10)) AS contexts, ground_truth FROM eval_rows"""),
     "answer_eval_table": _with(ANSWER_TABLE, "SELECT * FROM answer_table"),

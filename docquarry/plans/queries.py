@@ -17,7 +17,7 @@ from docquarry.operators import (
 from docquarry.operators.retrieval import VectorTable, dimension_check, similarity_topk, similarity_topk_approx
 from docquarry.plans import answering, evaluation
 from docquarry.plans.answering import Gate, Models
-from docquarry.session import ensure_parallelism, shared_path
+from docquarry.session import ensure_parallelism, materialize, shared_path
 from docquarry.sources import pages as pg, tables
 from docquarry.streaming import index_sync as index_sync_stream, ingest
 
@@ -58,7 +58,8 @@ def chunks(spark: SparkSession, folder: str, size: int = RUN.size, overlap: int
 
 
 def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
-    return answering.embed_chunks(chunks(spark, folder))
+    """A written chunk table, as the streams would have filled it."""
+    return materialize(answering.embed_chunks(chunks(spark, folder)))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,9 +269,9 @@ def nearest_vectors_approx(spark: SparkSession, folder: str) -> DataFrame:
 
 def index_sync(spark: SparkSession, folder: str) -> DataFrame:
     """Index that lacks some labels and holds outdated rows of another one."""
-    source = table(spark, folder, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).alias("first"))
+    source = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
     outdated = source.where("label < 7").withColumn(
-        "first", F.when(F.col("label") == 0, -F.col("first")).otherwise(F.col("first")))
+        "embedding", F.when(F.col("label") == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
     return index.sync_index(source, outdated, "vec_id").select("vec_id", "label", "sync_action")
 
 
@@ -358,9 +359,9 @@ def appended_turns(spark: SparkSession, folder: str) -> DataFrame:
 def _page_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     pages = ensure_parallelism(table(spark, folder, "pages"))
     cited = pages.select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)).alias("sources"))
-    names = pages.where(F.col("url").startswith("https://")).select(
-        F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("s"))
-    known = names.select(tx.file_name("s").alias("file_name")).where("file_name <> ''").distinct()
+    names = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("s"))
+    # About half of the names have a link, so that both cases occur.
+    known = names.select(tx.file_name("s").alias("file_name")).where("file_name <> '' AND md5(file_name) < '8'").distinct()
     return cited, known.withColumn("link", F.concat(F.lit("https://library.example/by name/"), "file_name"))
 
 
@@ -389,7 +390,7 @@ def document_readability(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels")
-    return documents(spark, folder).join(labels, "doc_id").select("doc_id", "toxic", mt.toxicity("text").alias("toxicity"))
+    return documents(spark, folder).join(labels, "doc_id", "left").select("doc_id", "toxic", mt.toxicity("text").alias("toxicity"))
 
 
 def harmfulness(spark: SparkSession, folder: str) -> DataFrame:
@@ -399,13 +400,14 @@ def harmfulness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turn_professionalism(spark: SparkSession, folder: str) -> DataFrame:
-    metric = mt.professionalism()
+    metric = mt.informality("few informal marks", {5 - i: f"up to {b} informal marks in a hundred words" for i, b in enumerate(mt.MARK_BOUNDS)})
     return conversations(spark, folder).where("role = 'assistant'").select(
         "conv_id", "turn", metric.score("text", "text")["score"].alias("professionalism"))
 
 
 def predicted_answers(spark: SparkSession, folder: str) -> DataFrame:
-    done = answering.predict_answers(questions(spark, folder), chunk_index(spark, folder), ["conv_id", "turn"], RUN)
+    asked = conversations(spark, folder).where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    done = answering.predict_answers(asked, chunk_index(spark, folder), ["conv_id", "turn"], RUN)
     return done.select("conv_id", "turn", "answer", F.array_join("sources", JOINER).alias("sources"))
 
 
@@ -418,8 +420,7 @@ def rag_eval_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answer_eval_table(spark: SparkSession, folder: str) -> DataFrame:
-    long = evaluation.answer_metric_rows(_eval_rows(spark, folder), ["conv_id", "turn"])
-    return mt.eval_table(long, ["conv_id", "turn"], mt.ANSWER_METRICS)
+    return evaluation.answer_metric_table(_eval_rows(spark, folder), ["conv_id", "turn"])
 
 
 def answer_eval_summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docquarry.functions.html import element_html, nesting_element_html
 from docquarry.functions.text import _col, stage
+from docquarry.session import scan_partitions
 
 FETCH_PARTITIONS = 10
 
@@ -20,11 +21,11 @@ def sitemap_urls(sitemaps: DataFrame, xml: str) -> DataFrame:
 
 def url_frame(spark: SparkSession, urls: Sequence[str] | DataFrame, max_documents: int | None = None,
               partitions: int = FETCH_PARTITIONS) -> DataFrame:
-    """URLs to fetch, spread over ``partitions`` tasks."""
+    """URLs to fetch, spread over at least ``partitions`` tasks; a limit takes the first ones in order."""
     df = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
     if max_documents is not None:
-        df = df.limit(max_documents)
-    return df.select("url").repartition(partitions)
+        df = df.orderBy("url").limit(max_documents)
+    return df.select("url").repartition(max(partitions, scan_partitions(df)))
 
 
 def fetched_body(status: Column | str, body: Column | str) -> Column:

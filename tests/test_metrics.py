@@ -22,7 +22,7 @@ def test_answer_metrics(rows):
     assert (got[1].exact_match, got[1].answer_correctness, got[1].faithfulness, got[1].professionalism) == (1, 5, 5, 5)
     assert got[1].token_count == 8 and got[1].answer_relevance == 3
     assert got[2].exact_match == 0 and got[2].answer_correctness < 3
-    # One contraction, one exclamation mark, "dude", "like" and "cool": more than four marks.
+    # One contraction and one exclamation mark in six words: more than ten marks in a hundred.
     assert got[2].professionalism == 1
     assert got[3].token_count == 0 and got[3].flesch_kincaid is None
 
@@ -51,10 +51,10 @@ def rubric_judge(prompts):
 
 
 def test_rubric_metric(rows):
-    metric = mt.professionalism(rubric_judge)
+    metric = mt.informality("wording", {1: "poor", 5: "good"}, rubric_judge)
     got = rows.where("id = 2").select(metric.score("question", "answer").alias("s")).first().s
     assert (got.score, got.justification) == (len("Dude, it's like a cool thing!"), "counted letters")
-    ruled = rows.where("id = 2").select(mt.professionalism().score("question", "answer").alias("s")).first().s
+    ruled = rows.where("id = 2").select(mt.informality("wording", {}).score("question", "answer").alias("s")).first().s
     assert (ruled.score, ruled.justification) == (1, "rule based")
 
 
