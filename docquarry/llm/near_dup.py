@@ -2,34 +2,41 @@
 
 1. Every text becomes a set of hashed shingles and a signature. Texts of equal sets form one class,
    and from there on only one row per class takes part.
-2. Classes that agree in all values of a band meet in a bucket. A bucket is compared in rounds: in each
-   one member is the pivot and all members of other components are compared with it. Large groups of
-   near copies grow together this way without all pairs being formed. What is then still apart is
-   compared pair by pair, so no candidate is left out.
-3. A pair's signatures are compared batch by batch. With ``m`` of ``n`` values equal, the similarity has
-   a Beta(m + 1, n - m + 1) posterior; once the similarity bound is less likely than the chosen miss
-   probability the pair is dropped. The rest is confirmed on the full sets.
+2. Classes that agree in all values of a band meet in a bucket. Buckets that share classes make up
+   clusters, so every class is sent to its cluster once, not once per band.
+3. Within a cluster, pairs that share a bucket have their signatures compared batch by batch. With ``m`` of
+   ``n`` values equal, the similarity has a Beta(m + 1, n - m + 1) posterior; once the similarity bound
+   is less likely than the chosen miss probability the pair is dropped. The rest is confirmed on the
+   full sets, but for pairs that links found before already connect.
+
+A large cluster is cut into tiles, and each pair of tiles is one group of bounded size. A group returns a
+spanning forest of its links, so a large set of near copies gives as many links as members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import same_keys
+from docquarry.llm.common import broadcast_if_small, same_keys
 from docquarry.llm.components import connected
 from docquarry.llm.shingles import mixed, shingle_sets
 from docquarry.session import materialize
 
 _FACTORS = np.random.default_rng(20240301).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SET_ROWS = 4096
-# Pivots are chosen by the smallest id after this is mixed in, another one each round.
-_ROUND_MASKS = [0, *(int(x) >> 1 for x in mixed(np.arange(1, 16, dtype=np.uint64)))]
+#: Classes and shingles that a tile is meant to have.
+TILE_ROWS = 1024
+TILE_SHINGLES = 1 << 20
+_PAIRS = 1 << 16
+# Pairs that are confirmed one by one; more of them are counted by matrix products.
+_FEW_PAIRS = 20_000
+_COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -67,135 +74,192 @@ def signature(hashes: np.ndarray, length: int) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+def band_keys(sig: np.ndarray, p: NearDup) -> np.ndarray:
+    """One number per band; those of different bands do not meet."""
+    keys = np.arange(1, p.bands + 1, dtype=np.uint64)
+    for values in sig.reshape(p.bands, p.rows).T:
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + values)
+    return keys.view(np.int64)
+
+
 def fingerprints(docs: DataFrame, p: NearDup, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``k1``, ``k2`` (a hash of the set) and ``sig`` of every row."""
+    """``doc_id``, ``n`` (set size), ``k1``, ``k2`` (a hash of the set) and ``bands`` of every row."""
     own = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, bands = [], [], [], []
             for s in shingle_sets(batch.column(1), p.words):
                 n.append(len(s))
                 k1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                sig.append(signature(s, p.length).tobytes())
+                bands.append(band_keys(signature(s, p.length), p) if len(s) else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(sig, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
-
-    return own.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, p: NearDup, doc: str, text: str) -> DataFrame:
-    """``node`` and its full shingle set."""
-    own = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).cast("binary").alias("text")).join(nodes, "node", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), p.words)], pa.binary())],
-                names=["node", "hashes"])
+                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "bands"])
 
-    return own.mapInArrow(run, "node long, hashes binary")
+    return own.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
-def _buckets(reps: DataFrame, p: NearDup) -> DataFrame:
-    """``bucket`` and ``node`` of every band of every class, buckets of one class left out."""
-    width = 4 * p.rows
-    keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)),
-                       lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    placed = reps.select("node", F.explode(keys).alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    return placed.join(shared.select("bucket"), "bucket").distinct()
+def clusters(reps: DataFrame) -> DataFrame:
+    """``node`` and ``cluster`` of the classes that share a bucket with another class."""
+    placed = reps.select("node", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    met = placed.join(shared.select("bucket", "a"), "bucket").where("a < node")
+    return connected(met.select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "cluster")
 
 
-def _both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """``a``, ``b`` and the columns of both, with the suffixes ``_a`` and ``_b``."""
-    for side in "ab":
-        own = table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        pairs = pairs.join(own, side)
-    return pairs
-
-
-def plausible(pairs: DataFrame, reps: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs that the sequential test on their signatures leaves."""
-    steps, t = p.least_matches(), p.percent
-    sized = _both_sides(pairs, reps, "n", "sig").where(100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, p.length) for i in (2, 3))
-            alive, equal, at = np.arange(len(left)), np.zeros(len(left), dtype=np.int64), 0
-            for n, least in steps:
-                equal = equal + (left[alive, at:n] == right[alive, at:n]).sum(axis=1)
-                alive, equal, at = alive[equal >= least], equal[equal >= least], n
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
-
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+def tiles(nodes: DataFrame) -> DataFrame:
+    """``node`` with the ``unit``, ``left`` and ``right`` tile of each group that it belongs to, and its ``side``.
 
+    Small clusters are dealt out over units, one tile each. A cluster of more than a tile is a unit of its
+    own, and its tiles meet in pairs, each tile also with itself.
+    """
+    total = nodes.agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).first()
+    units = max(1, ceil(total["rows"] / TILE_ROWS), ceil((total["shingles"] or 0) / TILE_SHINGLES))
+    need = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    sizes = nodes.groupBy("cluster").agg(need.alias("tiles"))
+    placed = nodes.join(sizes, "cluster").select(
+        "node", F.when(F.col("tiles") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(units))).alias("unit"),
+        "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return met.select("node", "unit", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"),
+                      (F.col("tile") > F.col("other")).alias("side"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, p: NearDup, doc: str, text: str) -> DataFrame:
+    """The columns of ``wanted``, each row with the signature and full shingle set of its node."""
+    own = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).cast("binary").alias("text")).join(
+        broadcast_if_small(wanted, F.lit(48)), "node")
+    names, kinds = wanted.columns, ", ".join(f"{name} {kind}" for name, kind in wanted.dtypes)
+    own = own.select("text", *names)
 
-def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= p.percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    return _both_sides(pairs, sets, "hashes").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
-
-
-def _ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
-
-
-class _Rounds:
-    """Links found so far, the pairs compared for them and the components they make."""
-
-    def __init__(self, members: DataFrame, reps: DataFrame, sets: DataFrame, p: NearDup):
-        self.members, self.reps, self.sets, self.p = members, reps, sets, p
-        self.links: DataFrame | None = None
-        self.seen: DataFrame | None = None
-        self._label(members.select("node").distinct().withColumn("component", F.col("node")))
-
-    def _label(self, labels: DataFrame) -> None:
-        known = self.members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        self.placed = materialize(known.select("bucket", "node", "component"))
-
-    def compare(self, pairs: DataFrame) -> None:
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        found = materialize(confirmed(plausible(pairs, self.reps, self.p), self.sets, self.p).distinct())
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        self.links = found if self.links is None else self.links.union(found)
-        self._label(connected(self.links))
-
-    def pivot_pairs(self, mask: int) -> DataFrame:
-        """Each bucket's pivot beside the members of other components."""
-        pivots = self.placed.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).alias("_m"))
-        pivots = pivots.select("bucket", F.col("_m").bitwiseXOR(F.lit(mask)).alias("pivot"))
-        own = self.placed.select("bucket", F.col("node").alias("pivot"), F.col("component").alias("home"))
-        met = self.placed.join(pivots.join(own, ["bucket", "pivot"]), "bucket").where("component <> home")
-        return _ordered_pairs(met, "node", "pivot")
-
-    def pairs_left(self) -> int:
-        """How many pairs of members of one bucket lie in different components."""
-        sizes = self.placed.groupBy("bucket", "component").count()
-        squares = sizes.groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        return squares.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("n")).first()["n"] or 0
-
-    def all_pairs(self) -> DataFrame:
-        """Every such pair; pairs within one component are not formed on the way."""
-        parts = self.placed.select("bucket", "component").distinct()
-        other = parts.withColumnRenamed("component", "component_b")
-        across = parts.join(other, "bucket").where("component < component_b")
-        left = self.placed.withColumnRenamed("node", "x")
-        right = self.placed.select("bucket", F.col("node").alias("y"), F.col("component").alias("component_b"))
-        return _ordered_pairs(across.join(left, ["bucket", "component"]).join(right, ["bucket", "component_b"]), "x", "y")
+            found = list(shingle_sets(batch.column(0), p.words))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array([signature(s, p.length).tobytes() for s in found], pa.binary()),
+                 pa.array([s.tobytes() for s in found], pa.binary())], names=[*names, "sig", "hashes"])
+
+    return own.mapInArrow(run, f"{kinds}, sig binary, hashes binary")
+
+
+class _Forest:
+    """Union-find over the rows of a group; the links that joined two trees are kept."""
+
+    def __init__(self, n: int):
+        self.parent, self.links = list(range(n)), []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.links.append((i, j))
+
+
+def _sharing(bands: np.ndarray, side: np.ndarray, both_sides: bool) -> np.ndarray:
+    """Pairs of rows that agree in a band, from different sides if there are two."""
+    n = len(bands)
+    met = np.zeros((n, n), dtype=bool)
+    for column in bands.T:
+        order = np.argsort(column, kind="stable")
+        cuts = np.flatnonzero(np.diff(column[order])) + 1
+        for group in np.split(order, cuts):
+            if len(group) > 1:
+                met[np.ix_(group, group)] = True
+    if both_sides:
+        met &= side[:, None] != side[None, :]
+    return np.argwhere(np.triu(met, 1))
+
+
+def _plausible(pairs: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, p: NearDup) -> np.ndarray:
+    """Pairs that the sequential test leaves, the most similar first."""
+    low, high = np.minimum(*sizes[pairs.T]), np.maximum(*sizes[pairs.T])
+    pairs = pairs[100 * low >= p.percent * high]
+    kept, counts = [], []
+    for at in range(0, len(pairs), _PAIRS):
+        part, begin = pairs[at:at + _PAIRS], 0
+        equal = np.zeros(len(part), dtype=np.int64)
+        for n, least in p.least_matches():
+            equal = equal + (sigs[part[:, 0], begin:n] == sigs[part[:, 1], begin:n]).sum(axis=1)
+            part, equal, begin = part[equal >= least], equal[equal >= least], n
+        kept.append(part)
+        counts.append(equal)
+    return np.concatenate(kept)[np.argsort(-np.concatenate(counts), kind="stable")] if kept else pairs
+
+
+def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other."""
+    n = len(sets)
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    rows = rows[shared]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        x = np.zeros((n, _COLUMNS), dtype=np.float32)
+        x[rows[a:b], column[a:b] - first] = 1
+        out += x @ x.T
+    return out
+
+
+def _linked(common: np.ndarray, m: np.ndarray, n: np.ndarray, p: NearDup) -> np.ndarray:
+    return 100 * common >= p.percent * (m + n - common)
+
+
+def spanning_links(bands: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, both_sides: bool,
+                   p: NearDup) -> list[tuple[int, int]]:
+    """Links between rows that span what all links between them connect."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    pairs = _plausible(_sharing(bands, side, both_sides), sigs, sizes, p)
+    forest = _Forest(len(sets))
+
+    def confirm(part: np.ndarray) -> None:
+        for i, j in part.tolist():
+            if forest.root(i) != forest.root(j):
+                common = sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j]))
+                if _linked(common, sizes[i], sizes[j], p):
+                    forest.link(i, j)
+
+    confirm(pairs[:_FEW_PAIRS])
+    rest = pairs[_FEW_PAIRS:]
+    if len(rest):
+        roots = np.array([forest.root(i) for i in range(len(sets))])
+        rest = rest[roots[rest[:, 0]] != roots[rest[:, 1]]]
+    if len(rest) <= _FEW_PAIRS:
+        confirm(rest)
+        return forest.links
+    own, place = np.unique(rest, return_inverse=True)
+    place = place.reshape(rest.shape)
+    counts = _common_counts([sets[i] for i in own])[place[:, 0], place[:, 1]].astype(np.int64)
+    for i, j in rest[_linked(counts, sizes[rest[:, 0]], sizes[rest[:, 1]], p)].tolist():
+        forest.link(i, j)
+    return forest.links
+
+
+def links(grouped: DataFrame, p: NearDup) -> DataFrame:
+    """``a`` and ``b`` of spanning links in every group of tiles."""
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint32).reshape(-1, p.length)
+        bands = np.stack([band_keys(s, p) for s in sigs])
+        sets = [np.frombuffer(v, dtype=np.uint64) for v in group["hashes"].to_pylist()]
+        side = group["side"].to_numpy(zero_copy_only=False)
+        found = spanning_links(bands, sigs, sets, side, key[1].as_py() != key[2].as_py(), p)
+        nodes = group["node"].to_numpy()
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
+
+    return grouped.groupBy("unit", "left", "right").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,18 +274,12 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc: str = "doc_id"
     linkable = prints.where("n > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n"]
     classes = materialize(linkable.groupBy(*key).agg(F.min("doc_id").alias("node")))
-    reps = materialize(linkable.withColumnRenamed("doc_id", "node").join(classes, [*key, "node"]).select("node", "n", "sig"))
-    members = materialize(_buckets(reps, p))
-    sets = materialize(_sets(docs, members.select("node").distinct(), p, doc, text))
-    rounds = _Rounds(members, reps, sets, p)
-    for mask in _ROUND_MASKS:
-        rounds.compare(rounds.pivot_pairs(mask))
-        left = rounds.pairs_left()
-        if left <= rounds.placed.count():
-            break
-    if left:
-        rounds.compare(rounds.all_pairs())
-    labels = rounds.placed.select("node", "component").distinct()
+    reps = linkable.withColumnRenamed("doc_id", "node").join(classes, [*key, "node"]).select("node", "bands")
+    placed = clusters(reps)
+    sizes = classes.groupBy("node").agg(F.max("n").alias("n"))
+    wanted = materialize(tiles(materialize(placed.join(sizes, "node"))))
+    found = materialize(links(_sets(docs, wanted, p, doc, text), p))
+    labels = connected(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     owner = classes.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     own = prints.select("doc_id", *key)
     joined = own.join(owner, same_keys(own, owner, key) & own["doc_id"].isNotNull(), "left")
