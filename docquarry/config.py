@@ -12,6 +12,7 @@ EVALSET_CHUNK_SIZE = 350
 EVALSET_CHUNK_OVERLAP = 10
 EVALSET_K = 4
 EMBED_MAX_BATCH = 150
+TEXT_MAX_BATCH = 64
 PAGE_ROWS = 5
 REPLAY_LIMIT = 50
 REPLAY_CONCURRENCY = 5

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from docquarry.config import EMBED_MAX_BATCH, HASH_DIM
+from docquarry.config import EMBED_MAX_BATCH, HASH_DIM, TEXT_MAX_BATCH
 from docquarry.functions.text import _col, keywords
 
 ModelFn = Callable[[list], Sequence]
@@ -93,42 +93,59 @@ def _rows(columns: pd.Series | tuple[pd.Series, ...]) -> list:
     return list(columns) if isinstance(columns, pd.Series) else list(zip(*columns))
 
 
-def text_model(model_fn: ModelFn, threads: int = 1):
+def _batches(rows: list, size: int) -> list[list]:
+    return [rows[at:at + size] for at in range(0, len(rows), size)]
+
+
+def _checked(model_fn: ModelFn, rows: list) -> list:
+    """Replies of one call; rows without a text (or with one missing) get no reply and are not sent."""
+    sent = [i for i, row in enumerate(rows) if row is not None and not (isinstance(row, tuple) and None in row)]
+    replies = list(model_fn([rows[i] for i in sent])) if sent else []
+    if len(replies) != len(sent):
+        raise ValueError("the model returned a wrong number of replies")
+    out: list = [None] * len(rows)
+    for i, reply in zip(sent, replies):
+        out[i] = reply
+    return out
+
+
+def text_model(model_fn: ModelFn, threads: int = 1, max_batch: int = TEXT_MAX_BATCH):
     """Pandas UDF of one or more text columns -> text, for generators, rewriters and judges.
 
-    One column is passed as a list of texts, several as a list of tuples. ``threads`` bounds
-    how many single-row calls to a remote model run at a time in one task.
+    One column is passed as a list of texts, several as a list of tuples, at most ``max_batch`` per call.
+    ``threads`` bounds how many calls to a remote model run at a time in one task.
     """
 
     @F.pandas_udf("string")
     def call(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         with ThreadPoolExecutor(max_workers=threads) as pool:
             for columns in batches:
-                rows = _rows(columns)
-                if threads == 1:
-                    yield pd.Series(list(model_fn(rows)), dtype=object)
-                else:
-                    yield pd.Series(list(pool.map(lambda r: model_fn([r])[0], rows)), dtype=object)
+                replies = pool.map(lambda part: _checked(model_fn, part), _batches(_rows(columns), max_batch))
+                yield pd.Series(list(chain.from_iterable(replies)), dtype=object)
 
     return call
 
 
-def guarded_text_model(model_fn: ModelFn):
-    """As :func:`text_model`, but a row whose call fails yields its error instead of failing the task."""
+def guarded_text_model(model_fn: ModelFn, threads: int = 1, max_batch: int = TEXT_MAX_BATCH):
+    """As :func:`text_model`, but a row whose call fails yields its error instead of failing the task.
+
+    A batch that fails is repeated row by row, so that one bad row costs the others nothing.
+    """
+    def guarded(rows: list) -> list[tuple]:
+        try:
+            return [(reply, None) for reply in _checked(model_fn, rows)]
+        except Exception as failure:
+            if len(rows) == 1:
+                return [(None, f"{type(failure).__name__}: {failure}")]
+            return [answer for row in rows for answer in guarded([row])]
 
     @F.pandas_udf("value string, error string")
     def call(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in batches:
-            rows = _rows(columns)
-            values, errors = [], []
-            for row in rows:
-                try:
-                    values.append(model_fn([row])[0])
-                    errors.append(None)
-                except Exception as failure:
-                    values.append(None)
-                    errors.append(f"{type(failure).__name__}: {failure}")
-            yield pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            for columns in batches:
+                replies = list(chain.from_iterable(pool.map(guarded, _batches(_rows(columns), max_batch))))
+                yield pd.DataFrame({"value": pd.Series([v for v, _ in replies], dtype=object),
+                                    "error": pd.Series([e for _, e in replies], dtype=object)})
 
     return call
 

@@ -49,18 +49,32 @@ def read_response(response: Column | str, key: str, sentinel: str) -> Column:
     return or_sentinel(json_field_or_raw(response, key), sentinel)
 
 
-def generate_questions(df: DataFrame, content: str, model_fn: ModelFn, threads: int = 1) -> DataFrame:
-    """Add ``question`` from a model called once per whole chunk."""
+def _generated(df: DataFrame, name: str, sentinel: str, model_fn: ModelFn, threads: int, guarded: bool, *inputs: Column) -> DataFrame:
+    """Add the field ``name`` of the model's reply; guarded, also ``error``, which an earlier step may have set.
+
+    A row that failed before is not sent again and has no field.
+    """
+    if not guarded:
+        replied = df.withColumn("_reply", text_model(model_fn, threads)(*inputs))
+        return stage(replied, {name: read_response("_reply", name, sentinel)}).drop("_reply")
+    before = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    open_inputs = [F.when(before.isNull(), i) for i in inputs]
+    replied = df.withColumn("_r", guarded_text_model(model_fn, threads)(*open_inputs))
+    failed = F.coalesce(before, F.col("_r.error"))
+    return stage(replied, {"_error": failed, name: F.when(failed.isNull(), read_response(F.col("_r.value"), name, sentinel))}).drop(
+        "_r", "error").withColumnRenamed("_error", "error")
+
+
+def generate_questions(df: DataFrame, content: str, model_fn: ModelFn, threads: int = 1, guarded: bool = False) -> DataFrame:
+    """Add ``question`` from a model that sees every whole chunk once."""
     prompt = render_prompt(QUESTION_TEMPLATE, {"context": content})
-    replied = df.withColumn("_reply", text_model(model_fn, threads)(prompt))
-    return stage(replied, {"question": read_response("_reply", "question", NO_QUESTION)}).drop("_reply")
+    return _generated(df, "question", NO_QUESTION, model_fn, threads, guarded, prompt)
 
 
-def generate_answers(df: DataFrame, content: str, question: str, model_fn: ModelFn, threads: int = 1) -> DataFrame:
+def generate_answers(df: DataFrame, content: str, question: str, model_fn: ModelFn, threads: int = 1, guarded: bool = False) -> DataFrame:
     """Add ``answer``; the model sees (prompt, question) pairs."""
     prompt = render_prompt(ANSWER_TEMPLATE, {"context": content, "question": question})
-    replied = df.withColumn("_reply", text_model(model_fn, threads)(prompt, F.col(question)))
-    return stage(replied, {"answer": read_response("_reply", "answer", NO_ANSWER)}).drop("_reply")
+    return _generated(df, "answer", NO_ANSWER, model_fn, threads, guarded, prompt, F.col(question))
 
 
 def generate_guarded(df: DataFrame, content: str, model_fn: ModelFn) -> DataFrame:
@@ -73,6 +87,7 @@ def generate_guarded(df: DataFrame, content: str, model_fn: ModelFn) -> DataFram
 
 
 def split_failures(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, failed rows) of a written table."""
     return df.where("error is null").drop("error"), df.where("error is not null").drop("value")
 
 
@@ -82,12 +97,17 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def build_eval_set(chunks: DataFrame, content: str = "content", question_fn: ModelFn | None = None,
-                   answer_fn: ModelFn | None = None) -> DataFrame:
-    """Chunks -> questions -> answers. Without models the cloze stand-in replies."""
+                   answer_fn: ModelFn | None = None, threads: int = 1, guarded: bool = False) -> DataFrame:
+    """Chunks -> questions -> answers. Without models the cloze stand-in replies.
+
+    ``guarded`` keeps chunks on which a model call fails, with their ``error`` and without what it would have
+    given; the others go on.
+    """
     if question_fn is None or answer_fn is None:
         replied = cloze_responses(chunks, content)
         return stage(replied, {
             "question": read_response("question_response", "question", NO_QUESTION),
             "answer": read_response("answer_response", "answer", NO_ANSWER),
         }).drop("question_response", "answer_response")
-    return generate_answers(generate_questions(chunks, content, question_fn), content, "question", answer_fn)
+    asked = generate_questions(chunks, content, question_fn, threads, guarded)
+    return generate_answers(asked, content, "question", answer_fn, threads, guarded)

@@ -486,3 +486,29 @@ ORACLE_SQL["streamed_index"] = """
 SELECT user_id, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
 ORACLE_SQL["streamed_eval_set"] = ORACLE_SQL["cloze_eval_set"]
+
+ORACLE_SQL |= {
+    "csv_eval_set": _with(PAIRS, """
+SELECT conv_id * 1000 + turn AS id, question, 'On ' || question AS answer,
+  CASE WHEN turn % 2 = 0 THEN question || chr(10) || expected_answer ELSE '' END AS contexts, expected_answer AS ground_truth
+FROM pairs WHERE turn % 3 <> 0"""),
+    "csv_without_id": "SELECT quality, toxic FROM labels",
+    "stored_labels": "SELECT doc_id, quality, toxic, NULL::VARCHAR AS judge, true AS found, true AS empty FROM labels WHERE quality IN (0, 1)",
+    "streamed_files": """
+SELECT doc_id // 50 AS batch, sum(strlen(text) + 1)::BIGINT AS length,
+  CASE WHEN doc_id // 50 > 0 THEN len(string_split_regex(string_agg(text, chr(10) ORDER BY doc_id) || chr(10), '\\n{2,}')) END::INTEGER AS sections
+FROM documents GROUP BY 1""",
+    "fetch_log": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN length(html) END::INTEGER AS body_chars FROM pages",
+    "threaded_model_turns": "SELECT conv_id, turn, role || ':' || length(text) AS reply FROM conversations",
+    "guarded_eval_set": _with(windows(cf.EVALSET_CHUNK_SIZE, cf.EVALSET_CHUNK_OVERLAP), """
+SELECT url, chunk_no, CASE WHEN length(content) % 7 <> 0 THEN left(content, 20) END AS question,
+  CASE WHEN length(content) % 7 <> 0 THEN left(content, 20) || '!' END AS answer,
+  CASE WHEN length(content) % 7 = 0 THEN 'ValueError: unlucky length' END AS error FROM chunks"""),
+    "judged_answers": _with(PAIRS, """
+SELECT conv_id, turn, length(expected_answer) % 10 / 10.0::DOUBLE AS toxicity, points::DOUBLE AS answer_correctness, points::DOUBLE AS answer_relevance,
+  ((length(question) + 2 * length(expected_answer) + 2) % 5 + 1)::DOUBLE AS faithfulness, points::DOUBLE AS tone
+FROM (SELECT *, (length(question) + length(expected_answer)) % 5 + 1 AS points FROM pairs)"""),
+    "unusable_vectors": """
+SELECT q.vec_id, c.vec_id AS hit, q.label <= 2 AS unusable FROM embeddings q JOIN embeddings c ON c.label > 2
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.vec_id) = 1""",
+}

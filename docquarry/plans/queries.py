@@ -7,18 +7,21 @@ result is compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from docquarry import config as cf
 from docquarry.functions import html as hx, text as tx
+from docquarry.functions.models import text_model
 from docquarry.operators import (
     chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering)
 from docquarry.operators.retrieval import VectorTable, dimension_check, similarity_topk, similarity_topk_approx
 from docquarry.plans import answering, evaluation
 from docquarry.plans.answering import Gate, Models
 from docquarry.session import ensure_parallelism, materialize, shared_path
-from docquarry.sources import pages as pg, tables
+from docquarry.sources import files, pages as pg, tables
 from docquarry.streaming import index_sync as index_sync_stream, ingest
 
 DIM = 64
@@ -27,6 +30,8 @@ SWEEP = ((100, 10), (200, 20), (350, 10), (350, 50))
 # Subject area of the test conversations: common words of one of their four languages.
 GATE = Gate(terms=("the", "and", "that", "with", "for", "from", "was", "this", "are", "have"), min_hits=2)
 CELLS, PROBES = 16, 4
+# Small enough to have several tiles on the test data.
+TILE_ROWS = 125
 JOINER = "\n"
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,10 +117,9 @@ def url_content(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("targets"))
-    return docs.join(labels, "doc_id", "left").selectExpr("doc_id", "text as inputs", "targets").where(
-        "targets is not null")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("question"))
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("expected_answer"))
+    return evaluation.labelled_only(docs.join(labels, "doc_id", "left")).select("doc_id", "inputs", "targets")
 
 
 def html_page_preview(spark: SparkSession, folder: str) -> DataFrame:
@@ -259,7 +263,7 @@ def nearest_above_score(spark: SparkSession, folder: str) -> DataFrame:
 def nearest_vectors_tiled(spark: SparkSession, folder: str) -> DataFrame:
     """As ``nearest_vectors``, by the way taken for query sets above the broadcast bound."""
     v = vectors(spark, folder)
-    return similarity_topk(v, v, cf.RETRIEVAL_K, DIM, broadcast_bytes=0)
+    return similarity_topk(v, v, cf.RETRIEVAL_K, DIM, broadcast_bytes=0, tile_rows=TILE_ROWS)
 
 
 def nearest_vectors_approx(spark: SparkSession, folder: str) -> DataFrame:
@@ -540,6 +544,150 @@ def streamed_eval_set(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(made.schema).parquet(target)
 
 
+# Files, tables and models that tests and users bring
+
+def csv_eval_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Question pairs as a CSV evaluation set, read back, labelled, with its own context and an answer."""
+    pairs = questions(spark, folder)
+    exported = pairs.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question",
+        F.when(F.col("turn") % 3 != 0, F.col("expected_answer")).alias("expected_answer"),
+        F.when(F.col("turn") % 2 == 0, F.concat("question", F.lit("\n"), "expected_answer")).alias("context"))
+    target = shared_path(spark)
+    exported.write.option("header", True).option("quote", '"').option("escape", '"').csv(target)
+    labelled = evaluation.labelled_only(files.load_eval_set(spark, target, files.EVALSET_CSV_SCHEMA))
+    rows = evaluation.own_context_rows(labelled.withColumn("answer", F.concat(F.lit("On "), "inputs")), ["id"])
+    return rows.withColumn("contexts", F.array_join("contexts", JOINER))
+
+
+def csv_without_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The same file kind without its key column, types inferred."""
+    target = shared_path(spark)
+    table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic").write.option("header", True).csv(target)
+    return files.load_eval_set_without_id(spark, target, multi_line=False)
+
+
+def stored_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels created, appended, widened and overwritten as a table of a database of their own."""
+    labels = table(spark, folder, "labels")
+    database = f"labels_{uuid.uuid4().hex}"
+    before = spark.catalog.currentDatabase()
+    tables.use_namespace(spark, database, "spark_catalog")
+    try:
+        name, wide = f"{database}.labels", f"{database}.wide"
+        missing = tables.table_exists(spark, name)
+        for _ in range(2):
+            tables.create_table(spark, name, labels.schema, {"purpose": "evaluation"})
+        tables.append_table(labels.where("quality = 1"), name)
+        tables.append_table(labels.where("quality = 0"), name)
+        judged = T.StructType([T.StructField("judge", T.StringType())])
+        tables.overwrite_table(tables.merge_schema(spark.table(name), judged), wide)
+        found = F.lit(tables.table_exists(spark, name) and not missing and tables.catalog_exists(spark, "spark_catalog"))
+        empty = F.lit(files.folder_is_empty(spark, shared_path(spark)))
+        return materialize(spark.table(wide).select("doc_id", "quality", "toxic", "judge", found.alias("found"), empty.alias("empty")))
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        tables.drop_database(spark, database)
+
+
+def streamed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as text files of up to fifty, streamed into a table, which is streamed on; one file is not UTF-8."""
+    batch = F.floor(F.col("doc_id") / 50)
+    source = shared_path(spark)
+    table(spark, folder, "documents").select(batch.alias("batch"), "doc_id", "text").repartition("batch").sortWithinPartitions(
+        "batch", "doc_id").select("batch", "text").write.partitionBy("batch").text(source)
+    database = f"files_{uuid.uuid4().hex}"
+    before = spark.catalog.currentDatabase()
+    tables.use_namespace(spark, database)
+    try:
+        raw = f"{database}.raw"
+        ingest.drain_to_table(ingest.ingest_files(spark, source, "*.txt"), raw, shared_path(spark))
+        broken = F.when(F.col("path").contains("/batch=0/"), F.unhex(F.lit("FF"))).otherwise(F.col("content"))
+        stream = ingest.stream_table(spark, raw).withColumn("content", broken)
+        good_at, bad_at = shared_path(spark), shared_path(spark)
+        bad = ingest.unreadable(stream).withColumn("sections", F.lit(None).cast("int"))
+        ingest.drain_to_path(bad, bad_at, shared_path(spark))
+        text = ingest.decoded_text(F.col("content"))
+        good = stream.select(F.col("path").alias("url"), "length", F.size(F.split(text, "\n")).alias("sections")).where(text.isNotNull())
+        ingest.drain_to_path(good, good_at, shared_path(spark))
+        number = F.regexp_extract("url", "batch=([0-9]+)", 1).cast("long")
+        both = spark.read.schema(good.schema).parquet(good_at).unionByName(spark.read.schema(bad.schema).parquet(bad_at))
+        return both.select(number.alias("batch"), "length", "sections")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        tables.drop_database(spark, database)
+
+
+def fetch_log(spark: SparkSession, folder: str) -> DataFrame:
+    status = F.when(F.col("page_id") % 4 == 0, 404).otherwise(200)
+    return table(spark, folder, "pages").select("page_id", F.length(pg.fetched_body(status, "html")).alias("body_chars"))
+
+
+def role_and_length(pairs: list) -> list:
+    """A model of two columns."""
+    return [f"{role}:{len(text)}" for role, text in pairs]
+
+
+def first_words(prompts: list) -> list:
+    """A model that asks for the first words of a passage and fails on some."""
+    passages = [p.split("Passage: ", 1)[1] for p in prompts]
+    if any(len(p) % 7 == 0 for p in passages):
+        raise ValueError("unlucky length")
+    return [json.dumps({"question": p[:20]}) for p in passages]
+
+
+def shouted(pairs: list) -> list:
+    """A model that replies to (prompt, question) pairs, without JSON."""
+    return [f"{question}!" for _, question in pairs]
+
+
+def prompt_length(prompts: list) -> list:
+    """A judge that scores the length of what it is shown."""
+    return [(len(p) % 5 + 1, "length") for p in prompts]
+
+
+def text_length(texts: list) -> list:
+    return [len(t) % 10 / 10 for t in texts]
+
+
+def threaded_model_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """A model of two columns, called by several threads in small batches."""
+    call = text_model(role_and_length, threads=4, max_batch=8)
+    return conversations(spark, folder).select("conv_id", "turn", call("role", "text").alias("reply"))
+
+
+def guarded_eval_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions and answers by models that fail on some chunks, good and failed rows together."""
+    made = evalset.build_eval_set(
+        chunks(spark, folder, cf.EVALSET_CHUNK_SIZE, cf.EVALSET_CHUNK_OVERLAP), "content", first_words, shouted, threads=2, guarded=True)
+    good, bad = evalset.split_failures(materialize(made.withColumn("value", F.lit(1))))
+    return good.select("url", "chunk_no", "question", "answer", F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select("url", "chunk_no", "question", "answer", "error"))
+
+
+def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of the given replies by judges and by a rubric of the caller."""
+    rubric = mt.RubricMetric("tone", "d", {1: "low", 5: "high"}, mt.informality_score, prompt_length, template="{question}{answer}")
+    judges = mt.Judges(text_length, prompt_length, prompt_length, prompt_length, [rubric], "{target}{answer}", "{question}{answer}", "{context}{answer}")
+    rows = questions(spark, folder).select(
+        "conv_id", "turn", "question", F.col("expected_answer").alias("answer"), F.array("question", "expected_answer").alias("contexts"),
+        F.col("question").alias("ground_truth"))
+    return evaluation.answer_metric_table(rows, ["conv_id", "turn"], judges).select(
+        "conv_id", "turn", "toxicity", "answer_correctness", "answer_relevance", "faithfulness", "tone")
+
+
+def unusable_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors with a component that is not finite or missing, and who is found beside them."""
+    v = table(spark, folder, "embeddings")
+    first = F.when(F.col("label") == 0, float("inf")).when(F.col("label") == 1, float("nan")).when(F.col("label") == 2, None).otherwise(
+        F.element_at("embedding", 1)).cast("float")
+    spoilt = v.select("vec_id", F.concat(F.array(first), F.slice("embedding", 2, DIM - 1)).alias("embedding"))
+    _, other = dimension_check(spoilt, "embedding", DIM)
+    hits = similarity_topk(vectors(spark, folder), VectorTable(spoilt, ("vec_id",)), 1, DIM)
+    return hits.select("vec_id", F.col("vec_id_hit").alias("hit")).join(
+        other.select("vec_id", F.lit(True).alias("unusable")), "vec_id", "left").select("vec_id", "hit", F.coalesce("unusable", F.lit(False)).alias("unusable"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
@@ -561,5 +709,7 @@ QUERIES: dict[str, Query] = {
         label_mate_similarity,
         latest_versions, run_ranking, missing_responses, log_completeness, replayed_questions,
         streamed_chunks, streamed_index, streamed_eval_set,
+        csv_eval_set, csv_without_id, stored_labels, streamed_files, fetch_log, threaded_model_turns, guarded_eval_set, judged_answers,
+        unusable_vectors,
     )
 }

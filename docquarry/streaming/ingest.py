@@ -20,8 +20,18 @@ TextFn = Callable[[Column], Column]
 
 
 def decoded_text(content: Column) -> Column:
-    """Text files as UTF-8, cleaned section by section. Other formats bring their own parser."""
-    return merge_sections(F.decode(content, "UTF-8"))
+    """Text files as UTF-8, cleaned section by section; NULL for bytes that are none. Other formats bring
+    their own parser."""
+    return merge_sections(F.try_validate_utf8(content.cast("string")))
+
+
+def unreadable(raw: DataFrame, text_fn: TextFn = decoded_text) -> DataFrame:
+    """``(url, length)`` of files of which no text can be read: the quarantine beside :func:`chunk_stream`."""
+    return raw.where(text_fn(F.col("content")).isNull()).select(F.col("path").alias("url"), "length")
+
+
+def _chunking(split_long: bool, length_fn: Callable | None) -> dict:
+    return {"split_long": split_long} | ({} if length_fn is None else {"length_fn": length_fn})
 
 
 def ingest_files(spark: SparkSession, folder: str, glob: str = "*.pdf", files_per_batch: int | None = None) -> DataFrame:
@@ -58,10 +68,10 @@ def drain_to_table(stream: DataFrame, table: str, checkpoint: str) -> StreamingQ
 
 
 def chunk_stream(raw: DataFrame, config: RunConfig = RunConfig(), text_fn: TextFn = decoded_text,
-                 embed_fn: ModelFn | None = None) -> DataFrame:
+                 embed_fn: ModelFn | None = None, split_long: bool = False, length_fn: Callable | None = None) -> DataFrame:
     """Raw rows -> ``(id, url, content, embedding)``. The id is a hash of file and position, so a
-    replayed batch gets the same ids."""
-    chunk = sentence_chunker(config.size, config.overlap)
+    replayed batch gets the same ids. Files without a text (see :func:`unreadable`) give no chunks."""
+    chunk = sentence_chunker(config.size, config.overlap, **_chunking(split_long, length_fn))
     return (
         raw.select(F.col("path").alias("url"), text_fn(F.col("content")).alias("_text"))
         .select("url", F.posexplode(chunk(F.col("_text"))).alias("chunk_no", "content"))
@@ -71,12 +81,13 @@ def chunk_stream(raw: DataFrame, config: RunConfig = RunConfig(), text_fn: TextF
 
 
 def evalset_stream(raw: DataFrame, text_fn: TextFn = decoded_text, question_fn: ModelFn | None = None,
-                   answer_fn: ModelFn | None = None, max_rows: int | None = None) -> DataFrame:
-    """Raw rows -> ``(id, url, content, question, answer)`` from larger chunks.
+                   answer_fn: ModelFn | None = None, max_rows: int | None = None, threads: int = 1, guarded: bool = False,
+                   split_long: bool = False, length_fn: Callable | None = None) -> DataFrame:
+    """Raw rows -> ``(id, url, content, question, answer)`` from larger chunks, with ``error`` if guarded.
 
     ``max_rows`` stops after that many rows, for a first look at what a model writes.
     """
-    chunk = sentence_chunker(EVALSET_CHUNK_SIZE, EVALSET_CHUNK_OVERLAP)
+    chunk = sentence_chunker(EVALSET_CHUNK_SIZE, EVALSET_CHUNK_OVERLAP, **_chunking(split_long, length_fn))
     chunks = (
         raw.select(F.col("path").alias("url"), text_fn(F.col("content")).alias("_text"))
         .select("url", F.posexplode(chunk(F.col("_text"))).alias("chunk_no", "content"))
@@ -84,4 +95,4 @@ def evalset_stream(raw: DataFrame, text_fn: TextFn = decoded_text, question_fn:
     )
     if max_rows is not None:
         chunks = chunks.limit(max_rows)
-    return build_eval_set(chunks, "content", question_fn, answer_fn)
+    return build_eval_set(chunks, "content", question_fn, answer_fn, threads, guarded)
