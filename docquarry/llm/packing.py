@@ -8,11 +8,13 @@ then ranked within their length and take their slots by a join on length and ran
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 import os
+import sys
 import zlib
 
 import numpy as np
@@ -24,7 +26,9 @@ from docquarry.session import materialize
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; it starts afresh beyond that.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
+# ASCII signs that the tokenizer takes as runs of their own after a letter or digit.
+_SIGNS = b"!#$%&()*+,-./:;=?@[]^_`{}~\""
 _BATCH_DOCS = 64
 
 
@@ -44,32 +48,48 @@ class WordEncoder:
 
     def _encode(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update(zip(words, (np.array(e.ids, dtype="<u4").tobytes() for e in found)))
+        self.known.update(zip(words, (pack_ids(e.ids) for e in found)))
 
     def _learn(self, words: set[bytes]) -> None:
-        """Add words; one that ends in a comma or full stop is the word before it and that sign."""
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        cut = {w for w in words if len(w) > 1 and w[-1:] in b",." and w[-2:-1].isalnum()}
-        plain = (words - cut) | {w[:-1] for w in cut} | {w[-1:] for w in cut}
+        """Add words; one that ends in signs is the word before them and those signs."""
+        cut = {}
+        for w in words:
+            core = w.rstrip(_SIGNS)
+            if len(core) < len(w) and core[-1:].isalnum():
+                cut[w] = core
+        plain = words.difference(cut).union(cut.values(), (w[len(core):] for w, core in cut.items()))
         self._encode([w for w in plain if w not in self.known])
-        for w in cut:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+        for w, core in cut.items():
+            self.known[w] = self.known[core] + self.known[w[len(core):]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = []
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        get, out, waiting, missing = self.known.get, [], {}, set()
         for text in texts:
             data = (text or "").encode()
             # Special tokens are recognised before lower-casing.
-            split.append((data if b"<|" in data else data.lower()).split())
-        missing = {w for words in split for w in words if w not in self.known}
+            words = (data if b"<|" in data else data.lower()).split()
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update([w for w, i in zip(words, ids) if i is None])
+                waiting[len(out)] = words
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
         if missing:
-            before = len(self.known)
             self._learn(missing)
-            if len(self.known) < before:
-                self._learn({w for words in split for w in words} - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            for at, words in waiting.items():
+                out[at] = b"".join(map(self.known.__getitem__, words))
+        return out
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 @lru_cache(maxsize=2)
