@@ -110,4 +110,31 @@ def test_labelled_only(spark):
 def test_plan_moves_keys_not_texts_until_the_end(turns, chunks):
     plan = answering.answer_dialogs(turns, chunks, GATE, RUN)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("MapInArrow") == 1 and "WindowGroupLimit" in plan
+    # The winners are written once, when the plan is made; their keys then filter the chunk table where it is read.
+    assert "MapInArrow" not in plan and "LeftSemi, BuildRight" in plan
+    asked = question_answer_pairs(turns).withColumn("query", F.col("question"))
+    retrieval = answering.retrieve(asked, chunks, ["conv_id", "turn"], ["doc_id", "chunk_no"], RUN, Models())
+    plan = retrieval._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_winners_texts_move_neither_by_shuffle_nor_by_broadcast(spark, monkeypatch):
+    rows = [(i, 0, f"u{i}", f"text number {i}. more of it.") for i in range(50)]
+    path = answering.materialize(spark.createDataFrame(rows, "doc_id long, chunk_no int, url string, content string"))
+    hits = spark.createDataFrame([(c, 7, 0, 1, 1.0) for c in range(20)] + [(c, c, 0, 2, 0.5) for c in range(20) if c != 7],
+                                 "conv_id long, doc_id long, chunk_no int, rank int, score double")
+    asked = spark.createDataFrame([(c, "text") for c in range(20)], "conv_id long, question string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def passages():
+            return answering.with_passages(asked, hits, path, ["conv_id"], ["doc_id", "chunk_no"])
+
+        plan = passages()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [doc_id" in plan and "LeftSemi, BuildRight" in plan
+        small = {r["conv_id"]: [p["url"] for p in r["passages"]] for r in passages().collect()}
+        monkeypatch.setattr(answering, "BROADCAST_BYTES", 0)
+        large = {r["conv_id"]: [p["url"] for p in r["passages"]] for r in passages().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert small == large and small[3] == ["u7", "u3"] and small[7] == ["u7"]

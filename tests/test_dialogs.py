@@ -106,3 +106,16 @@ def test_compare_runs(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 0.9)], "run string, s double")
     got = [(r.run, r.n, r.mean_score, r.rank) for r in monitoring.compare_runs(df, ["run"], "s").orderBy("rank").collect()]
     assert got == [("b", 1, 0.9, 1), ("a", 2, 0.5, 2)]
+
+
+def test_latest_rows_aggregate_no_payload(spark):
+    from docquarry.operators.index import latest_rows
+
+    rows = [(1, 1, 5, "a"), (1, 2, 1, "b"), (1, 2, 3, "c"), (2, None, None, "d"), (None, 1, 1, "e"), (1, 2, 3, "c")]
+    changes = spark.createDataFrame(rows, "k int, v int, w int, text string")
+    latest = latest_rows(changes, "k", ["v", "w"])
+    assert {tuple(r) for r in latest.collect()} == {(1, 2, 3, "c"), (2, None, None, "d"), (None, 1, 1, "e")} and latest.count() == 3
+    messages = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    for df in (latest, dialogs.extract_question(messages), dialogs.dialog_state(messages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan

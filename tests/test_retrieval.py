@@ -152,3 +152,29 @@ def test_many_queries_among_copies(spark, bound, exclude_same):
     table = VectorTable(frame(spark, vectors).repartition(3), ("id",), "v")
     got = similarity_topk(table, table, 4, DIM, exclude_same=exclude_same, broadcast_bytes=bound, tile_rows=150)
     assert rows(got) == brute_force(vectors, vectors, 4, exclude_same)
+
+
+@pytest.mark.parametrize("bad", [[float("inf"), 0.0], [float("nan"), 1.0], [None, 1.0]])
+@pytest.mark.parametrize("way", ["broadcast", "tiled", "approximate"])
+def test_unusable_vectors_cost_no_hits(spark, bad, way):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])]
+    schema = "id long, embedding array<double>"
+    clean, spoilt = (VectorTable(spark.createDataFrame(r, schema), ("id",)) for r in (rows, [*rows, (4, bad)]))
+
+    def found(corpus, k):
+        if way == "approximate":
+            hits = similarity_topk_approx(clean, corpus, k, 2, n_cells=2, n_probe=2)
+        else:
+            hits = similarity_topk(clean, corpus, k, 2, broadcast_bytes=1 << 20 if way == "broadcast" else 0, tile_rows=2)
+        return {tuple(r) for r in hits.where("id_hit <> 4").collect()}
+
+    for k in (1, 3):
+        assert found(spoilt, k + 1) >= found(clean, k)
+    queries = VectorTable(spoilt.df, ("id",))
+    assert {r["id"] for r in similarity_topk(queries, clean, 1, 2).collect()} >= {1, 2, 3}
+
+
+def test_a_wrong_dimension_is_an_error(spark):
+    table = VectorTable(spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>"), ("id",))
+    with pytest.raises(ValueError, match="no vector has dimension 3"):
+        similarity_topk(table, table, 1, 3)
