@@ -172,7 +172,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, search: Search = Search()) -
     top = {r["size"]: r["norm"] for r in norms.collect()}
 
     def dealt(df: DataFrame, own: str, parts: int, other: str, times: int) -> DataFrame:
-        return df.select("*", size, F.pmod(F.xxhash64("id"), F.lit(parts)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
+        # Both numbers have one type on both sides: groups of different types would not meet.
+        return df.select("*", size, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -123,7 +123,7 @@ def _reach(n, links):
     return label
 
 
-def test_large_group_of_near_copies_in_tiles(spark, monkeypatch):
+def test_large_group_of_near_copies_in_tiles(spark, many_partitions, monkeypatch):
     monkeypatch.setattr(near_dup, "TILE_ROWS", 40)
     random.seed(5)
     base = [f"w{i}" for i in range(60)]
@@ -159,8 +159,19 @@ def test_sequential_bounds_follow_the_miss_probability():
     assert all(a[0] == b[0] and a[1] < b[1] for a, b in zip(strict, loose))
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Groups that ought to meet must do so in whichever partition they lie."""
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
 @pytest.mark.parametrize("factor, least", [(1.0, 1.0), (1.5, 0.9)])
-def test_neighbours(spark, factor, least):
+def test_neighbours(spark, many_partitions, factor, least):
     rows = vptree.usable(table(spark, "embeddings"), "vec_id", "embedding")
     copies = rows.where("id < 40").withColumn("id", F.col("id") + 10_000)
     own = rows.unionByName(copies)
@@ -292,7 +303,7 @@ def test_main_text_of_pages(spark):
         assert out[r["page_id"]] == "\n".join(p for p in parts if p)
 
 
-def test_repeated_runs_of_unmarked_pages_go(spark, monkeypatch):
+def test_repeated_runs_of_unmarked_pages_go(spark, many_partitions, monkeypatch):
     # Small parts, so that runs have to be counted across parts of a host.
     monkeypatch.setattr(html_suffix, "PART_TOKENS", 200)
     menu = "".join(f"<div><a href=/{i}>Menu entry {i}</a></div>" for i in range(4))
