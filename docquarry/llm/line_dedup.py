@@ -1,5 +1,8 @@
 """Line dedup by pairwise alignment.
 
+A line ends at a line break or after a sentence, so that a passage is found also where it was joined to other
+text of its line.
+
 1. A seed is the hash of the shortest run of lines from a given line on that has enough words. Seeds are
    rare by nature: a common short line makes none of its own. The document with the smallest id that holds
    a seed is its owner, and every later holder is paired with it, so that a passage in many documents gives
@@ -14,8 +17,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,6 +29,22 @@ from docquarry.session import materialize
 
 #: Words that a common block must have to be deleted.
 MIN_WORDS = 20
+_SEPARATOR = re.compile(rb"((?<=[.!?])[ \t]+|[ \t]*\r?\n)")
+
+
+def split_lines(data: bytes) -> tuple[list[bytes], list[bytes]]:
+    """The lines of a text and what separates each from the next; together they are the text."""
+    parts = _SEPARATOR.split(data)
+    return parts[::2], parts[1::2]
+
+
+def without_lines(data: bytes, gone: set[int]) -> bytes:
+    """``data`` without some of its lines and the separators after them; if the last one goes, the one before it too."""
+    lines, separators = split_lines(data)
+    kept = [i for i in range(len(lines)) if i not in gone]
+    ends = [*separators, b""]
+    out = b"".join(lines[i] + (ends[i] if n < len(kept) - 1 else b"") for n, i in enumerate(kept))
+    return out if out.strip() else b""
 
 
 def runs(sizes: Sequence[int], least: int) -> Iterator[tuple[int, int]]:
@@ -48,7 +69,7 @@ def line_table(docs: DataFrame, least: int, doc: str, text: str) -> DataFrame:
         for batch in batches:
             hashes, sizes, seeds, starts = [], [], [], []
             for value in batch.column(1).to_pylist():
-                lines = [line.strip() for line in value.split(b"\n")]
+                lines = [line.strip() for line in split_lines(value)[0]]
                 own = [len(line.split()) for line in lines]
                 found = np.array([xxhash.xxh3_64_intdigest(line) for line in lines], dtype=np.uint64).view(np.int64)
                 spans = list(runs(own, least))
@@ -167,16 +188,20 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id"
     """``docs`` with ``text`` cut and the columns ``n_lines`` and ``n_deleted``, which replace any of that name.
 
     Deleted are blocks of lines, compared without blanks at their ends, with at least ``least`` words that
-    a document with a smaller id holds as well. A text is otherwise left as it is, down to its blanks; if all
-    lines go it becomes empty. A NULL text stays NULL and has no lines. Rows without an id are left alone. Rows
+    a document with a smaller id holds as well. A text is otherwise left as it is, down to its blanks; if no word
+    is left it becomes empty. A NULL text stays NULL and has no lines. Rows without an id are left alone. Rows
     that repeat an id are one document and are not compared with each other; those with several texts are
     left alone too. Ids have to be integers.
     """
     gone = materialize(repeated_lines(docs, least, doc, text).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_gone")))
     marked = docs.join(broadcast_if_small(gone, 4 * F.size("_gone") + 32), F.col(doc).cast("long") == F.col("_doc"), "left")
-    lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda line, n: ~F.array_contains("_gone", n)), "\n")
+
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without_lines(t.encode(), set(g.tolist())).decode() for t, g in zip(texts, gone)], dtype=object)
+
+    # Only the texts that are cut are sent to Python for it.
+    kept = F.pandas_udf(cut, "string")(F.when(F.col("_gone").isNotNull(), F.col(text)), F.col("_gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     return marked.select(
         *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in columns],
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))
+        F.coalesce(F.regexp_count(text, F.lit(_SEPARATOR.pattern.decode())) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))

@@ -225,23 +225,21 @@ def test_interactions_are_learned():
 
 def test_line_dedup(spark, texts):
     out = {r["doc_id"]: r for r in LLM_QUERIES["op10_line_dedup"](spark, SF_SMALL).collect()}
-    held = {}
+    held, earlier = {}, set()
     for doc in sorted(texts):
-        lines = [line.strip() for line in texts[doc].split("\n")]
+        lines = [line.strip() for line in line_dedup.split_lines(texts[doc].encode())[0]]
         need, spans = set(), list(line_dedup.runs([len(x.split()) for x in lines], line_dedup.MIN_WORDS))
         for a, b in spans:
             if held.get(tuple(lines[a:b]), doc) < doc:
                 need.update(range(a, b))
             held.setdefault(tuple(lines[a:b]), doc)
-        left = texts[doc].split("\n")
-        assert out[doc]["n_lines"] == len(left) and out[doc]["n_deleted"] >= len(need)
+        assert out[doc]["n_lines"] == len(lines) and out[doc]["n_deleted"] >= len(need)
         if out[doc]["n_deleted"] == 0:
             assert out[doc]["text"] == texts[doc]
-        kept = out[doc]["text"].split("\n") if out[doc]["n_deleted"] < len(left) else []
-        assert len(kept) == len(left) - out[doc]["n_deleted"]
+        kept = [line.strip() for line in line_dedup.split_lines(out[doc]["text"].encode())[0]]
         # Whatever was deleted stands in an earlier document.
-        earlier = {line.strip() for d, t in texts.items() if d < doc for line in t.split("\n")}
-        assert all(line.strip() in earlier for line in (Counter(left) - Counter(kept)))
+        assert all(line in earlier for line in Counter(lines) - Counter(kept))
+        earlier |= set(lines)
 
 
 def test_moved_and_repeated_passages(spark):
@@ -251,6 +249,20 @@ def test_moved_and_repeated_passages(spark):
     assert out == {1: rows[0][1], 2: "own words", 3: rows[2][1], 4: rows[3][1]}
 
 
+def test_a_passage_joined_to_other_text(spark):
+    passage = "It was said once. Then it was said again by all who heard it first! And so it went on and on for years. End of it."
+    rows = [(1, f"Own start. {passage}"), (2, f"Other words here.\nMore of them. {passage} A tail."), (3, f"x {passage}")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "Other words here.\nMore of them. A tail.", 3: "x It was said once."}
+
+
+@pytest.mark.parametrize("text", ["", "a", "a. b.\nc", " \n ", "a.  b\r\n\r\nc! ", "\n\n"])
+def test_lines_and_separators_make_up_the_text(text):
+    lines, separators = line_dedup.split_lines(text.encode())
+    assert b"".join(x for pair in zip(lines, [*separators, b""]) for x in pair) == text.encode() and len(lines) == len(separators) + 1
+    assert line_dedup.without_lines(text.encode(), set()) == (text.encode() if text.strip() else b"")
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 9, 4], [0, 1, 2, 3, 4]) == [(0, 1), (1, 2), (2, 3), (4, 4)]
     assert line_dedup.patience([1, 2], [3, 4]) == []
