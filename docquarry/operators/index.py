@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def latest_rows(changes: DataFrame, key: str, version: str | Sequence[str]) -> DataFrame:
     """Latest row per key: by the first version column, then the next one.
 
     Only the key and one version column are aggregated at a time, which hash aggregation does where the rows
-    lie; the rows are then matched with their maximum. Rows that agree in all versions are told apart by
-    their other columns. Orderable columns only.
+    lie; the rows are then matched with their maximum. Rows that agree in all versions are told apart by a
+    hash of their other columns; rows repeated whole count once.
     """
-    left = changes
-    for column in [version] if isinstance(version, str) else list(version):
+    rest = [c for c in changes.columns if c != key]
+    left = changes.withColumn("_hash", F.xxhash64(*rest))
+    for column in [*([version] if isinstance(version, str) else version), "_hash"]:
         newest = left.groupBy(F.col(key).alias("_key")).agg(F.max(column).alias("_newest"))
         left = left.join(newest, F.col(key).eqNullSafe(F.col("_key")) & F.col(column).eqNullSafe(F.col("_newest"))).drop("_key", "_newest")
-    rest = [c for c in changes.columns if c != key]
-    one = Window.partitionBy(key).orderBy(*rest)
-    return left.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(key, *rest)
+    return left.select(key, *rest).distinct()
 
 
 def missing_from_index(source: DataFrame, index: DataFrame, key: str) -> DataFrame:
