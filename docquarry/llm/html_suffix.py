@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
-from math import ceil
 import re
 
 import numpy as np

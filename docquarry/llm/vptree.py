@@ -12,7 +12,6 @@ is the exact search and larger ones prune more. Hits carry exact scores of the o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
