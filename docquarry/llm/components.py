@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components: contraction to a forest, then label propagation with pointer jumping."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from docquarry.session import materialize
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (smallest node reachable) for every node of the ``a``-``b`` edges.
+def _propagated(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` for every node of the ``a``-``b`` edges.
 
     Each round takes the smallest label among a node's neighbours and then that label's own label, so
     long chains shrink fast. Only minima per node are gathered, never lists of neighbours. Labels are
@@ -26,3 +26,24 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where("old <> component").isEmpty():
             return labels
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` (smallest node reachable) for every node of the ``a``-``b`` edges.
+
+    Every node's edge to its smallest neighbour makes a forest, whose trees are labelled first. All edges are
+    then read once more, and only those that lead from one tree to another go into further rounds.
+    """
+    every = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    trees = _propagated(every.groupBy("b").agg(F.min("a").alias("a")))
+
+    def label(df: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+        known = labels.select(F.col("node").alias(column), F.col("component").alias("_label"))
+        return df.join(known, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
+
+    between = label(label(every, "a", trees, "x"), "b", trees, "y").where("x <> y")
+    joined = materialize(between.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    placed = label(every.select(F.col("a").alias("node")).union(every.select("b")).distinct(), "node", trees, "tree")
+    if joined.isEmpty():
+        return placed.select("node", F.col("tree").alias("component"))
+    return label(placed, "tree", _propagated(joined), "component").select("node", "component")
