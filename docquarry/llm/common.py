@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-ROWS_PER_GROUP = 1 << 15
+from docquarry.session import materialize
+
+ROWS_PER_GROUP = 1 << 12
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,13 +27,16 @@ def ranked_within(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
                   rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Add ``name``, a gapless number from 0 within each group, also for groups of any size.
 
-    A group is cut into buckets by the hash of its order columns; the bucket sizes are counted
-    first, so each bucket is numbered on its own from the sum of those before it. The numbers
-    follow the order columns within a bucket, not across a group. ``df`` is read twice.
+    Groups are counted first. One of more than ``rows_per_group`` rows is cut into buckets by the hash of its
+    order columns; the bucket sizes are counted, so each bucket is numbered on its own from the sum of
+    those before it. The numbers follow the order columns within a bucket, not across a group. ``df`` is read
+    three times. Group columns must not be NULL.
     """
-    buckets = max(1, ceil(df.count() / rows_per_group))
+    buckets = F.ceil(F.count("*") / rows_per_group).cast("int")
+    sizes = materialize(df.groupBy(*group).agg(buckets.alias("_buckets")))
     keys = [*group, "_bucket"]
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.join(broadcast_if_small(sizes, F.lit(16 * len(group) + 16)), list(group)).withColumn(
+        "_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets")).cast("int")).drop("_buckets")
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*keys).agg(F.count("*").alias("_n")).select(
         *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
