@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import broadcast_if_small
+from docquarry.llm.shingles import mixed, powers
 from docquarry.session import materialize
 
 #: Words that a common block must have to be deleted.
@@ -59,37 +60,47 @@ def runs(sizes: Sequence[int], least: int) -> Iterator[tuple[int, int]]:
         total -= size
 
 
+def seeds_of(hashes: np.ndarray, sizes: Sequence[int], least: int) -> np.ndarray:
+    """Hashes of the runs of :func:`runs`; the n-th is that of the n-th line."""
+    words = np.concatenate([[0], np.cumsum(sizes)])
+    stops = np.searchsorted(words, words[:-1] + least)
+    starts = np.flatnonzero(stops <= len(hashes))
+    stops = stops[starts]
+    up, down = powers(len(hashes))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes.view(np.uint64)) * up[:len(hashes)])])
+    return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)).view(np.int64)
+
+
 def line_table(docs: DataFrame, least: int, doc: str, text: str) -> DataFrame:
-    """``doc_id``, the hash and number of words of every line, and the seeds with their first lines."""
+    """``doc_id``, the hash and number of words of every line, and the seed of every line that has one."""
     own = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            hashes, sizes, seeds, starts = [], [], [], []
+            hashes, sizes, seeds = [], [], []
             for value in batch.column(1).to_pylist():
                 lines = [line.strip() for line in split_lines(value)[0]]
                 own = [len(line.split()) for line in lines]
                 found = np.array([xxhash.xxh3_64_intdigest(line) for line in lines], dtype=np.uint64).view(np.int64)
-                spans = list(runs(own, least))
                 hashes.append(found)
                 sizes.append(own)
-                seeds.append(np.array([xxhash.xxh3_64_intdigest(found[a:b].tobytes()) for a, b in spans], dtype=np.uint64).view(np.int64))
-                starts.append([a for a, _ in spans])
+                seeds.append(seeds_of(found, own, least))
             longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, longs), pa.array(sizes, ints), pa.array(seeds, longs), pa.array(starts, ints)],
-                names=["doc_id", "hashes", "sizes", "seeds", "starts"])
+                [batch.column(0), pa.array(hashes, longs), pa.array(sizes, ints), pa.array(seeds, longs)],
+                names=["doc_id", "hashes", "sizes", "seeds"])
 
-    return own.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>, seeds array<long>, starts array<int>")
+    return own.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>, seeds array<long>")
 
 
 def pairs(lines: DataFrame) -> DataFrame:
     """``owner`` and ``doc_id`` of documents that share a seed; ids that repeat are one document."""
     held = lines.select("doc_id", F.explode("seeds").alias("seed"))
     owners = held.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    return held.join(owners.select("seed", "owner"), "seed").where("owner < doc_id").select("owner", "doc_id").distinct()
+    owners = broadcast_if_small(materialize(owners.select("seed", "owner")), F.lit(32))
+    return held.join(owners, "seed").where("owner < doc_id").select("owner", "doc_id").distinct()
 
 
 def _ascending(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -129,9 +140,9 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_lines(a: Sequence[int], a_seeds: dict[int, int], b: Sequence[int], sizes: Sequence[int], b_seeds: list[tuple[int, int]],
+def common_lines(a: Sequence[int], a_seeds: Sequence[int], b: Sequence[int], sizes: Sequence[int], b_seeds: Sequence[int],
                  least: int) -> set[int]:
-    """Lines of ``b`` in blocks of at least ``least`` words that ``a`` has too. Seeds map to first lines."""
+    """Lines of ``b`` in blocks of at least ``least`` words that ``a`` has too."""
     out: set[int] = set()
 
     def take(first: int, stop: int) -> None:
@@ -144,15 +155,15 @@ def common_lines(a: Sequence[int], a_seeds: dict[int, int], b: Sequence[int], si
         if n == len(aligned) or aligned[n] != (aligned[n - 1][0] + 1, aligned[n - 1][1] + 1):
             take(aligned[first][1], aligned[n - 1][1] + 1)
             first = n
-    for seed, j in b_seeds:
-        i = a_seeds.get(seed)
-        if i is None:
+    place = {seed: i for i, seed in reversed(list(enumerate(a_seeds)))}
+    for seed, (j, stop) in zip(b_seeds, runs(sizes, least)):
+        i = place.get(seed)
+        if i is None or out.issuperset(range(j, stop)):
             continue
         n = 0
         while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
             n += 1
-        if not out.issuperset(range(j, j + n)):
-            take(j, j + n)
+        take(j, j + n)
     return out
 
 
@@ -163,16 +174,17 @@ def repeated_lines(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id",
     """
     lines = materialize(line_table(docs, least, doc, text))
     met = materialize(pairs(lines))
-    left = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("a"), F.col("seeds").alias("a_seeds"), F.col("starts").alias("a_starts"))
-    right = lines.select("doc_id", F.col("hashes").alias("b"), "sizes", F.col("seeds").alias("b_seeds"), F.col("starts").alias("b_starts"))
-    sides = met.join(right, "doc_id").join(left, "owner").select("doc_id", "b", "sizes", "b_seeds", "b_starts", "a", "a_seeds", "a_starts")
+    left = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("a"), F.col("seeds").alias("a_seeds"))
+    right = lines.select("doc_id", F.col("hashes").alias("b"), "sizes", F.col("seeds").alias("b_seeds"))
+    # While the pairs are few, they are sent to both scans, and only lines of documents in pairs are shuffled.
+    few = broadcast_if_small(met, F.lit(32))
+    sides = right.join(few, "doc_id").join(left.join(few.select("owner"), "owner", "left_semi"), "owner").select("doc_id", "b", "sizes", "b_seeds", "a", "a_seeds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
             for row in batch.to_pylist():
-                seeds = dict(zip(reversed(row["a_seeds"]), reversed(row["a_starts"])))
-                gone = common_lines(row["a"], seeds, row["b"], row["sizes"], list(zip(row["b_seeds"], row["b_starts"])), least)
+                gone = common_lines(row["a"], row["a_seeds"], row["b"], row["sizes"], row["b_seeds"], least)
                 if gone:
                     ids.append(row["doc_id"])
                     found.append(sorted(gone))
@@ -185,11 +197,11 @@ def repeated_lines(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id",
 
 
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` cut and the columns ``n_lines`` and ``n_deleted``, which replace any of that name.
+    """``docs`` with ``text`` cut and the column ``n_deleted``, which replaces any of that name.
 
     Deleted are blocks of lines, compared without blanks at their ends, with at least ``least`` words that
     a document with a smaller id holds as well. A text is otherwise left as it is, down to its blanks; if no word
-    is left it becomes empty. A NULL text stays NULL and has no lines. Rows without an id are left alone. Rows
+    is left it becomes empty. A NULL text stays NULL. Rows without an id are left alone. Rows
     that repeat an id are one document and are not compared with each other; those with several texts are
     left alone too. Ids have to be integers.
     """
@@ -201,7 +213,7 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id"
 
     # Only the texts that are cut are sent to Python for it.
     kept = F.pandas_udf(cut, "string")(F.when(F.col("_gone").isNotNull(), F.col(text)), F.col("_gone"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    columns = [c for c in docs.columns if c != "n_deleted"]
     return marked.select(
         *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in columns],
-        F.coalesce(F.regexp_count(text, F.lit(_SEPARATOR.pattern.decode())) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))
+        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))

@@ -78,7 +78,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier document has."""
     cut = line_dedup.without_repeats(ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")))
-    return cut.select("doc_id", "text", "n_lines", "n_deleted")
+    return cut.select("doc_id", "text", "n_deleted")
 
 
 def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:

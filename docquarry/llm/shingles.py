@@ -51,6 +51,11 @@ class _Powers:
 _powers_seen = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to ``n`` of a fixed odd number and of its inverse, modulo 2^64."""
+    return _powers_seen.up_to(n)
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words before each bound) for texts that lie at ``bounds``."""
     blank = _BLANK[data]
@@ -60,7 +65,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.concatenate([blank[1:], [True]]) if len(data) else before
     after[inner - 1] = True
     starts, stops = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
-    up, down = _powers_seen.up_to(len(data))
+    up, down = powers(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_VALUES[data] * up[:len(data)])])
     hashes = mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, bounds)

@@ -233,7 +233,7 @@ def test_line_dedup(spark, texts):
             if held.get(tuple(lines[a:b]), doc) < doc:
                 need.update(range(a, b))
             held.setdefault(tuple(lines[a:b]), doc)
-        assert out[doc]["n_lines"] == len(lines) and out[doc]["n_deleted"] >= len(need)
+        assert out[doc]["n_deleted"] >= len(need)
         if out[doc]["n_deleted"] == 0:
             assert out[doc]["text"] == texts[doc]
         kept = [line.strip() for line in line_dedup.split_lines(out[doc]["text"].encode())[0]]
