@@ -10,6 +10,11 @@ text of its line.
 2. The two documents of a pair are aligned line by line with patience diff. Runs that are equal but lie
    in another order, or more than once, are taken up from their seeds afterwards.
 3. Aligned blocks with enough words are deleted from the later document. The owner keeps them.
+4. A passage set into other text has a broken first and last sentence, and may hold no run of whole lines with
+   enough words. Passages are therefore also found word by word. The mark of a passage-long window is the smallest
+   hash of the shorter windows in it, as in winnowing, so equal windows have equal marks and neighbours
+   mostly share theirs. Only windows whose mark two documents have are compared, by their own hash; every word of a
+   window that an earlier document has is deleted, wherever in a line it stands.
 """
 
 from __future__ import annotations
@@ -25,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import broadcast_if_small
-from docquarry.llm.shingles import mixed, powers
+from docquarry.llm.shingles import exact_words, mixed, powers, windows
 from docquarry.session import materialize
 
 #: Words that a common block must have to be deleted.
 MIN_WORDS = 20
+#: Words that a common passage must have to be deleted without regard to lines, and those of the windows that mark it.
+PASSAGE_WORDS = 50
+MARK_WORDS = 20
+_WORD = re.compile(rb"\S+")
 _SEPARATOR = re.compile(rb"((?<=[.!?])[ \t]+|[ \t]*\r?\n)")
 
 
@@ -41,13 +50,49 @@ def split_lines(data: bytes) -> tuple[list[bytes], list[bytes]]:
 
 def without_lines(data: bytes, gone: set[int]) -> bytes:
     """``data`` without some of its lines and the separators after them; if the last one goes, the one before it too."""
-    lines, separators = split_lines(data)
+    return _without(*split_lines(data), gone)
+
+
+def _without(lines: list[bytes], separators: list[bytes], gone: set[int]) -> bytes:
     kept = [i for i in range(len(lines)) if i not in gone]
     ends = [*separators, b""]
     out = b"".join(lines[i] + (ends[i] if n < len(kept) - 1 else b"") for n, i in enumerate(kept))
     return out if out.strip() else b""
 
 
+def without_passages(data: bytes, gone: set[int], starts: Sequence[int]) -> tuple[bytes, int]:
+    """``data`` without some of its lines and without the passages from the words ``starts`` on, and how many lines lost words.
+
+    A line that loses all its words goes as a whole, as do blank lines inside a passage.
+    """
+    lines, separators = split_lines(data)
+    gone, cut = set(gone), 0
+    spans = [[m.span() for m in _WORD.finditer(line)] for line in lines]
+    first = np.bincount(np.asarray(starts, dtype=np.int64), minlength=sum(map(len, spans)) + 1)
+    open_at = np.cumsum(first)
+    open_at[PASSAGE_WORDS:] -= open_at[:-PASSAGE_WORDS].copy()
+    # Passages that a word is in, and those that go on into it from the word before.
+    covered, inside = open_at > 0, open_at > first
+    at = 0
+    for i, words in enumerate(spans):
+        lost = covered[at:at + len(words)]
+        if not words:
+            if inside[at]:
+                gone.add(i)
+        elif lost.all():
+            gone.add(i)
+        elif lost.any() and i not in gone:
+            line, kept, end = lines[i], b"", 0
+            for j, (start, stop) in enumerate(words):
+                if not lost[j]:
+                    # The blanks before a kept word stay, but for those after a cut at the start of the line.
+                    kept += line[0 if j == 0 else words[j - 1][1] if kept else start:stop]
+                    end = stop
+            lines[i], cut = kept + (line[end:] if not lost[-1] else b""), cut + 1
+        at += len(words)
+    return _without(lines, separators, gone), len(gone) + cut
+
+
 def runs(sizes: Sequence[int], least: int) -> Iterator[tuple[int, int]]:
     """(first, last + 1) of the shortest run from each line on that has ``least`` words."""
     stop = total = 0
@@ -71,15 +116,31 @@ def seeds_of(hashes: np.ndarray, sizes: Sequence[int], least: int) -> np.ndarray
     return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)).view(np.int64)
 
 
+def passage_marks(words: np.ndarray) -> np.ndarray:
+    """The mark of the passage-long window from each word on: the smallest hash of the shorter windows in it."""
+    if len(words) < PASSAGE_WORDS:
+        return np.zeros(0, dtype=np.int64)
+    least, width = windows(words, MARK_WORDS), 1
+    while width < PASSAGE_WORDS - MARK_WORDS + 1:
+        step = min(width, PASSAGE_WORDS - MARK_WORDS + 1 - width)
+        least, width = np.minimum(least[:len(least) - step], least[step:]), width + step
+    return least.view(np.int64)
+
+
+def _own(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
 def line_table(docs: DataFrame, least: int, doc: str, text: str) -> DataFrame:
-    """``doc_id``, the hash and number of words of every line, and the seed of every line that has one."""
-    own = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    """``doc_id``, the hash and number of words of every line, the seed of every line that has one, and the passages' marks."""
+    own = _own(docs, doc, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             hashes, sizes, seeds = [], [], []
+            marks = [np.unique(passage_marks(words)) for words in exact_words(batch.column(1))]
             for value in batch.column(1).to_pylist():
                 lines = [line.strip() for line in split_lines(value)[0]]
                 own = [len(line.split()) for line in lines]
@@ -89,10 +150,10 @@ def line_table(docs: DataFrame, least: int, doc: str, text: str) -> DataFrame:
                 seeds.append(seeds_of(found, own, least))
             longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, longs), pa.array(sizes, ints), pa.array(seeds, longs)],
-                names=["doc_id", "hashes", "sizes", "seeds"])
+                [batch.column(0), pa.array(hashes, longs), pa.array(sizes, ints), pa.array(seeds, longs), pa.array(marks, longs)],
+                names=["doc_id", "hashes", "sizes", "seeds", "marks"])
 
-    return own.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>, seeds array<long>")
+    return own.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>, seeds array<long>, marks array<long>")
 
 
 def pairs(lines: DataFrame) -> DataFrame:
@@ -167,12 +228,17 @@ def common_lines(a: Sequence[int], a_seeds: Sequence[int], b: Sequence[int], siz
     return out
 
 
-def repeated_lines(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def _several(lines: DataFrame) -> DataFrame:
+    """Ids that stand for several texts."""
+    content = F.xxhash64("hashes")
+    return lines.groupBy("doc_id").agg(F.min(content).alias("lo"), F.max(content).alias("hi")).where("lo < hi").select("doc_id")
+
+
+def repeated_lines(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``doc_id`` and the numbers of its ``lines`` (from 0) that an earlier document has in a block.
 
     Ids that stand for several texts get none, since line numbers of one mean nothing in another.
     """
-    lines = materialize(line_table(docs, least, doc, text))
     met = materialize(pairs(lines))
     left = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("a"), F.col("seeds").alias("a_seeds"))
     right = lines.select("doc_id", F.col("hashes").alias("b"), "sizes", F.col("seeds").alias("b_seeds"))
@@ -191,29 +257,75 @@ def repeated_lines(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "lines"])
 
     gone = sides.mapInArrow(run, "doc_id long, lines array<int>")
-    content = F.xxhash64("hashes")
-    several = lines.groupBy("doc_id").agg(F.min(content).alias("lo"), F.max(content).alias("hi")).where("lo < hi")
-    return gone.join(several, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    return gone.join(_several(lines), "doc_id", "left_anti").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+
+
+def repeated_passages(own: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFrame:
+    """``doc_id`` and the ``starts`` (numbers of words, from 0) of its passage-long windows that an earlier document has.
+
+    Windows that lie in ``gone`` lines are passed over: they are deleted, and an earlier document than theirs
+    has them. Ids that stand for several texts get none.
+    """
+    held = lines.select("doc_id", F.explode("marks").alias("mark"))
+    shared = held.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mark")
+    shared = broadcast_if_small(materialize(shared), F.lit(16))
+    wanted = materialize(held.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+                         .join(gone.select("doc_id", F.col("lines").alias("gone")), "doc_id", "left"))
+    texts = own.join(broadcast_if_small(wanted, 8 * F.size("marks") + 4 * F.coalesce(F.size("gone"), F.lit(0)) + 32), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, found = [], [], []
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), exact_words(batch.column(1)))
+            for doc_id, data, marks, lost, words in rows:
+                at = np.flatnonzero(np.isin(passage_marks(words), np.array(marks, dtype=np.int64)))
+                if lost:
+                    sizes = [len(line.split()) for line in split_lines(data)[0]]
+                    stays = np.ones(len(sizes), dtype=np.int64)
+                    stays[lost] = 0
+                    left = np.concatenate([[0], np.cumsum(np.repeat(stays, sizes))])
+                    at = at[left[at + PASSAGE_WORDS] > left[at]]
+                if len(at):
+                    ids.append(doc_id)
+                    starts.append(at.astype(np.int32))
+                    found.append(windows(words, PASSAGE_WORDS)[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "starts", "windows"])
+
+    placed = materialize(texts.select("doc_id", "text", "marks", "gone").mapInArrow(run, "doc_id long, starts array<int>, windows array<long>"))
+    each = placed.select("doc_id", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc_id", "w.starts", F.col("w.windows").alias("window"))
+    owners = each.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    owners = broadcast_if_small(materialize(owners.select("window", "owner")), F.lit(32))
+    met = each.join(owners, "window").where("owner < doc_id").join(_several(lines), "doc_id", "left_anti")
+    return met.groupBy("doc_id").agg(F.array_sort(F.collect_set("starts")).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` cut and the column ``n_deleted``, which replaces any of that name.
+    """``docs`` with ``text`` cut and the column ``n_deleted``, the lines that lost words, which replaces any of that name.
 
     Deleted are blocks of lines, compared without blanks at their ends, with at least ``least`` words that
-    a document with a smaller id holds as well. A text is otherwise left as it is, down to its blanks; if no word
+    a document with a smaller id holds as well, and all words in passages of ``PASSAGE_WORDS`` words or more that
+    one holds, compared word by word. A text is otherwise left as it is, down to its blanks; if no word
     is left it becomes empty. A NULL text stays NULL. Rows without an id are left alone. Rows
     that repeat an id are one document and are not compared with each other; those with several texts are
     left alone too. Ids have to be integers.
     """
-    gone = materialize(repeated_lines(docs, least, doc, text).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_gone")))
-    marked = docs.join(broadcast_if_small(gone, 4 * F.size("_gone") + 32), F.col(doc).cast("long") == F.col("_doc"), "left")
-
-    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else without_lines(t.encode(), set(g.tolist())).decode() for t, g in zip(texts, gone)], dtype=object)
+    lines = materialize(line_table(docs, least, doc, text))
+    gone = materialize(repeated_lines(lines, least))
+    passages = repeated_passages(_own(docs, doc, text), lines, gone)
+    cuts = materialize(gone.join(passages, "doc_id", "full_outer").select(
+        F.col("doc_id").alias("_doc"), F.coalesce("lines", F.array().cast("array<int>")).alias("_gone"),
+        F.coalesce("starts", F.array().cast("array<int>")).alias("_starts")))
+    marked = docs.join(broadcast_if_small(cuts, 4 * F.size("_gone") + 4 * F.size("_starts") + 48), F.col(doc).cast("long") == F.col("_doc"), "left")
+
+    @F.pandas_udf("text string, n int")
+    def cut(texts: pd.Series, gone: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        found = [(None, 0) if t is None or g is None else without_passages(t.encode(), set(g.tolist()), s) for t, g, s in zip(texts, gone, starts)]
+        return pd.DataFrame({"text": pd.Series([None if t is None else t.decode() for t, _ in found], dtype=object), "n": pd.Series([n for _, n in found], dtype="int32")})
 
     # Only the texts that are cut are sent to Python for it.
-    kept = F.pandas_udf(cut, "string")(F.when(F.col("_gone").isNotNull(), F.col(text)), F.col("_gone"))
+    kept = cut(F.when(F.col("_doc").isNotNull(), F.col(text)), F.col("_gone"), F.col("_starts"))
     columns = [c for c in docs.columns if c != "n_deleted"]
-    return marked.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in columns],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))
+    return marked.withColumn("_cut", kept).select(
+        *[F.when(F.col("_doc").isNull(), F.col(c)).otherwise(F.col("_cut.text")).alias(c) if c == text else F.col(c) for c in columns],
+        F.when(F.col("_doc").isNull(), 0).otherwise(F.col("_cut.n")).alias("n_deleted"))

@@ -17,7 +17,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+_EXACT_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE_VALUES = _EXACT_VALUES[_LOWER]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -56,7 +57,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers_seen.up_to(n)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words before each bound) for texts that lie at ``bounds``."""
     blank = _BLANK[data]
     before = np.concatenate([[True], blank[:-1]]) if len(data) else np.zeros(0, dtype=bool)
@@ -66,7 +67,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     after[inner - 1] = True
     starts, stops = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
     up, down = powers(len(data))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_VALUES[data] * up[:len(data)])])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * up[:len(data)])])
     hashes = mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, bounds)
 
@@ -104,3 +105,19 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.unique(full[a:b - k + 1])
             else:
                 yield _fold(words, b - a, np.array([a])) if b > a else np.zeros(0, dtype=np.uint64)
+
+
+def exact_words(column: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text in turn, in order and with their case; NULL has none."""
+    for data, bounds in _chunks(column):
+        words, counts = word_hashes(data, bounds, _EXACT_VALUES)
+        for a, b in zip(counts, counts[1:]):
+            yield words[a:b]
+
+
+def windows(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the ``k`` words from each place on that has as many, from running sums."""
+    n = max(0, len(words) - k + 1)
+    up, down = powers(len(words))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words) * up[:len(words)])])
+    return mixed((sums[k:k + n] - sums[:n]) * down[:n] + np.uint64(k))

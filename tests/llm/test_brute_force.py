@@ -256,6 +256,43 @@ def test_a_passage_joined_to_other_text(spark):
     assert out == {1: rows[0][1], 2: "Other words here.\nMore of them. A tail.", 3: "x It was said once."}
 
 
+def test_passages_placed_mid_sentence(spark, many_partitions):
+    rng = random.Random(8)
+
+    def prose(n):
+        return [rng.choice("abcdefgh") + str(rng.randrange(10**6)) + ("." if i % 23 == 22 else "") for i in range(n)]
+
+    passages = [prose(n) for n in (50, 57, 64, 80, 120)]
+    texts = {}
+    for doc in range(1, 41):
+        words = prose(rng.randrange(5, 60))
+        for p in rng.sample(passages, rng.randrange(3)):
+            # Some hold only a part, so that the first holder of a stretch is not that of the passage.
+            lo = rng.choice([0, 0, 0, 5, 25])
+            words += p[lo:len(p) - rng.choice([0, 0, 3])] + prose(rng.randrange(1, 40))
+        texts[doc] = "".join(w + rng.choice([" ", " ", " ", "\n", "  "]) for w in words).strip()
+    rows = [*texts.items(), (50, texts[7]), (50, "another text"), (None, texts[7])]
+    out = {r["doc_id"]: r for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] != 50}
+    seen, cuts = {}, 0
+    for doc, text in texts.items():
+        words, gone = text.split(), set()
+        for i in range(len(words) - 49):
+            if seen.setdefault(tuple(words[i:i + 50]), doc) < doc:
+                gone.update(range(i, i + 50))
+        assert out[doc]["text"].split() == [w for i, w in enumerate(words) if i not in gone]
+        assert (out[doc]["n_deleted"] > 0) == bool(gone) and (gone or out[doc]["text"] == text)
+        cuts += bool(gone)
+    assert cuts > 10 and out[None]["text"] == texts[7]
+
+
+def test_cut_passages_leave_the_rest_as_it_is():
+    passage = " ".join(f"p{i}" for i in range(50))
+    text = f" A  b. Own start {passage.replace(' p20 ', ' p20. ' + chr(10) * 2)}  end  here.\nLast".replace("p19 ", "p19\r\n").encode()
+    assert line_dedup.without_passages(text, set(), [5 - 1]) == (b" A  b. Own start\r\nend  here.\nLast", 5)
+    assert line_dedup.without_passages(text, {0}, []) == (text[len(" A  b. "):], 1)
+    assert line_dedup.without_passages(passage.encode(), set(), [0]) == (b"", 1)
+
+
 @pytest.mark.parametrize("text", ["", "a", "a. b.\nc", " \n ", "a.  b\r\n\r\nc! ", "\n\n"])
 def test_lines_and_separators_make_up_the_text(text):
     lines, separators = line_dedup.split_lines(text.encode())
