@@ -4,9 +4,11 @@
    as its article, in one that is no main text by its name, role or class, or in neither.
 2. The token streams of a host's distinct pages, block ends being tokens too, are concatenated and their
    suffixes sorted to the depth of the shortest run that counts as long. Neighbours in that order that
-   agree to this depth are a repeated run; one that enough distinct pages have is the host's boilerplate.
+   agree to this depth are a repeated run; one that a large enough share of the distinct pages has is the host's boilerplate.
 3. Tokens that boilerplate runs cover are removed and the unique runs kept. In a marked article only
    blocks made of links alone can be removed: a sentence that recurs there is a quotation or a copy.
+4. A page that would lose most of its text may be a near copy of others rather than full of boilerplate. It loses
+   only runs that are boilerplate beyond doubt, those of many pages and most of the host.
 
 Hosts are cut into parts of bounded size. A part sorts its own suffixes and passes on one row per run with
 the number of pages that have it, so counts over a whole host are exact, however large it is.
@@ -22,7 +24,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docquarry.llm.common import broadcast_if_small
 from docquarry.session import materialize
@@ -53,10 +55,14 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 @dataclass(frozen=True)
 class Settings:
-    """``run`` tokens make a run long; it is boilerplate if ``pages`` distinct pages of a host have it."""
+    """``run`` tokens make a run long; it is boilerplate if ``pages`` distinct pages of a host have it and they are
+    the part ``share`` of all. With ``sure_pages`` and ``sure_share`` it is so beyond doubt."""
 
     run: int = 8
     pages: int = 3
+    share: float = 0.25
+    sure_pages: int = 10
+    sure_share: float = 0.5
 
 
 @dataclass
@@ -244,7 +250,7 @@ def _full(pages: np.ndarray, depth: int) -> np.ndarray:
 
 
 def boilerplate(dealt: DataFrame, s: Settings) -> DataFrame:
-    """``host``, ``part`` and ``run`` (a hash) of the runs in a part that enough pages of the host have."""
+    """``host``, ``part`` and ``run`` (a hash) of the runs in a part that enough pages of the host have, and whether they are ``sure``."""
     depth = s.run
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
@@ -255,40 +261,53 @@ def boilerplate(dealt: DataFrame, s: Settings) -> DataFrame:
         seen = np.unique(np.stack([rank[order], pages[order]], axis=1), axis=0)[:, 0]
         ranks, times = np.unique(seen, return_counts=True)
         first = order[np.searchsorted(rank[order], ranks)]
-        return pd.DataFrame({"host": group["host"].iloc[0], "part": group["part"].iloc[0], "run": _run_hashes(tokens, first, depth), "n": times})
+        return pd.DataFrame({"host": group["host"].iloc[0], "part": group["part"].iloc[0], "run": _run_hashes(tokens, first, depth), "n": times,
+                             "pages": group["pages"].iloc[0]})
 
-    counted = materialize(dealt.groupBy("host", "part").applyInPandas(count, "host string, part int, run long, n long"))
-    known = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= s.pages)
-    return counted.join(known.select("host", "run"), ["host", "run"]).select("host", "part", "run")
+    counted = materialize(dealt.groupBy("host", "part").applyInPandas(count, "host string, part int, run long, n long, pages long"))
+
+    def enough(pages: int, share: float) -> Column:
+        return (F.col("n") >= pages) & (F.col("n") >= share * F.col("pages"))
+
+    known = counted.groupBy("host", "run").agg(F.sum("n").alias("n"), F.first("pages").alias("pages")).where(enough(s.pages, s.share))
+    return counted.select("host", "part", "run").join(
+        known.select("host", "run", enough(s.sure_pages, s.sure_share).alias("sure")), ["host", "run"]).select("host", "part", "run", "sure")
 
 
 def covered(own: DataFrame, s: Settings) -> DataFrame:
-    """``host``, ``key`` of a token stream and the ``gone`` places in it that boilerplate runs cover."""
+    """``host``, ``key`` of a token stream, the ``gone`` places in it that boilerplate runs cover, and those that ``sure`` ones do."""
     distinct = own.select("host", "key", "tokens").dropDuplicates(["host", "key"])
-    sizes = distinct.groupBy("host").agg(F.ceil(F.sum(F.size("tokens")) / PART_TOKENS).cast("int").alias("parts"))
+    sizes = distinct.groupBy("host").agg(F.ceil(F.sum(F.size("tokens")) / PART_TOKENS).cast("int").alias("parts"), F.count("*").alias("pages"))
     dealt = materialize(distinct.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts"))
 
     def mark(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        out = {"host": [], "key": [], "gone": []}
+        out = {"host": [], "key": [], "gone": [], "sure": []}
         if len(group) and len(runs):
             tokens, pages_of = _joined(group["tokens"])
             at = _full(pages_of, s.run)
-            at = at[np.isin(_run_hashes(tokens, at, s.run), runs["run"].to_numpy())]
-            hit = np.zeros(len(tokens) + 1, dtype=np.int64)
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + s.run, -1)
-            places = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+            hashes = _run_hashes(tokens, at, s.run)
+
+            def places(of: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+                """(covered places, where those of each page begin)."""
+                met = at[np.isin(hashes, of["run"].to_numpy())]
+                hit = np.zeros(len(tokens) + 1, dtype=np.int64)
+                np.add.at(hit, met, 1)
+                np.add.at(hit, met + s.run, -1)
+                found = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+                return found, np.searchsorted(pages_of[found], np.arange(len(group) + 1))
+
+            (every, cuts), (sure, sure_cuts) = places(runs), places(runs[runs["sure"]])
             starts = np.searchsorted(pages_of, np.arange(len(group)))
-            cuts = np.searchsorted(pages_of[places], np.arange(len(group) + 1))
             for i, (host, key) in enumerate(zip(group["host"], group["key"])):
                 if cuts[i + 1] > cuts[i]:
                     out["host"].append(host)
                     out["key"].append(key)
-                    out["gone"].append((places[cuts[i]:cuts[i + 1]] - starts[i]).astype(np.int32))
+                    out["gone"].append((every[cuts[i]:cuts[i + 1]] - starts[i]).astype(np.int32))
+                    out["sure"].append((sure[sure_cuts[i]:sure_cuts[i + 1]] - starts[i]).astype(np.int32))
         return pd.DataFrame({name: pd.Series(values, dtype="int64" if name == "key" else object) for name, values in out.items()})
 
     return (dealt.groupBy("host", "part").cogroup(boilerplate(dealt, s).groupBy("host", "part"))
-            .applyInPandas(mark, "host string, key long, gone array<int>"))
+            .applyInPandas(mark, "host string, key long, gone array<int>, sure array<int>"))
 
 
 def _wanted(found: list[tuple[int, str]]) -> set[int]:
@@ -315,9 +334,23 @@ def _unique(words: list[str], at: int, gone: set[int], run: int) -> list[str]:
     return kept + held if kept and len(held) < run else kept
 
 
-def main_text(found: list[tuple[int, str]], gone: set[int], run: int = Settings.run) -> str:
-    """Text of a page, given its blocks and the boilerplate places in its token stream."""
+def _mostly_gone(found: list[tuple[int, str]], gone: set[int]) -> bool:
+    """Whether more than half of the words that make up the text of a page stand at ``gone`` places."""
+    wanted, judged, at, words, lost = _wanted(found), set(_judged(found)), 0, 0, 0
+    for i, (kind, text) in enumerate(found):
+        n = len(text.split())
+        if kind in wanted:
+            words += n
+            lost += sum(j in gone for j in range(at, at + n)) if i in judged else 0
+        at += n + 1 if i in judged else 0
+    return 2 * lost > words
+
+
+def main_text(found: list[tuple[int, str]], gone: set[int], run: int = Settings.run, sure: set[int] = frozenset()) -> str:
+    """Text of a page, given its blocks and the boilerplate places in its token stream, all and those beyond doubt."""
     wanted, judged, at, out = _wanted(found), set(_judged(found)), 0, []
+    if gone and _mostly_gone(found, gone):
+        gone = sure
     for i, (kind, text) in enumerate(found):
         if i in judged:
             words = text.split()
@@ -341,14 +374,15 @@ def extracted(pages: DataFrame, s: Settings = Settings(), url: str = "url", html
     cuts = covered(own, s)
     # Only pages whose text a cut can change have to meet their cuts.
     open_pages = own.where("open").select("page", "host", "key").distinct().join(cuts, ["host", "key"])
-    cut = materialize(open_pages.select(F.col("page").alias("_cut_page"), F.col("host").alias("_cut_host"), F.col("gone").alias("_gone")))
+    cut = materialize(open_pages.select(F.col("page").alias("_cut_page"), F.col("host").alias("_cut_host"), F.col("gone").alias("_gone"), F.col("sure").alias("_sure")))
     columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     keyed = _keyed(pages.select(*columns), url, html)
-    met = keyed.join(broadcast_if_small(cut, 4 * F.size("_gone") + 64),
+    met = keyed.join(broadcast_if_small(cut, 4 * F.size("_gone") + 4 * F.size("_sure") + 64),
                      (keyed["_page"] == cut["_cut_page"]) & (keyed["_host"] == cut["_cut_host"]), "left")
 
-    def run(htmls: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([main_text(blocks(page), set() if g is None else set(g.tolist()), s.run) for page, g in zip(htmls, gone)], dtype=object)
+    def run(htmls: pd.Series, gone: pd.Series, sure: pd.Series) -> pd.Series:
+        return pd.Series([main_text(blocks(page), *(set(), s.run) if g is None else (set(g.tolist()), s.run, set(t.tolist())))
+                          for page, g, t in zip(htmls, gone, sure)], dtype=object)
 
-    text = F.pandas_udf(run, "string")(F.col(html), F.col("_gone"))
+    text = F.pandas_udf(run, "string")(F.col(html), F.col("_gone"), F.col("_sure"))
     return met.select(*columns, text.alias("text")).withColumn("n_chars", F.length("text"))

@@ -367,6 +367,25 @@ def test_repeated_runs_of_unmarked_pages_go(spark, many_partitions, monkeypatch)
     assert out[200] == "All rights are reserved by the owner of this page and site"
 
 
+def test_near_copies_and_chance_repeats_of_unmarked_pages_stay(spark, many_partitions):
+    menu = "<div>" + " ".join(f"menu{i}" for i in range(12)) + "</div>"
+    article = " ".join(f"word{i}" for i in range(80))
+    phrase = "an ordinary phrase of ten words that some pages repeat"
+
+    def page(text, top=menu):
+        return f"<body>{top}<p>{text}</p></body>"
+
+    # Near copies alone on their host, and among other pages; a large host on which a phrase recurs on a tenth of the pages.
+    rows = [(i, f"http://small/{i}", page(f"{article} date{i}", "")) for i in range(3)]
+    rows += [(100 + i, f"http://mixed/{i}", page(f"{article} date{i}" if i < 4 else " ".join(f"m{i}_{j}" for j in range(40)))) for i in range(16)]
+    rows += [(1000 + i, f"http://large/{i}", page(" ".join(f"l{i}_{j}" for j in range(20)) + (f" {phrase} e{i}" if i % 10 == 0 else ""))) for i in range(200)]
+    # A short page is boilerplate for the most part.
+    rows += [(2000, "http://large/short", page("short"))]
+    out = {r["page_id"]: r["text"] for r in html_suffix.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: re.search("<p>(.*)</p>", h)[1] for k, _, h in rows}
+    assert out == want
+
+
 def test_structure_of_pages():
     page = """<div class="cookie-notice">Accept</div><header>Site</header><article class="post"><header><h1>Head</h1></header>
     <p>One<b>bold<p>Two<div class="share">Share</div><ul><li>x<li>y</ul><aside>Side</aside><form>Find</form>
