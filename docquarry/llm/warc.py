@@ -6,7 +6,8 @@ files of lost or repeated attempts are never read. An archive is read as a strea
 
 The reader checks every record: gzip checksum, version line, header lines, length, the line breaks at the
 end and the digests. Where a check fails it searches for the next place from which a whole record passes,
-a gzip member or a version line, and reports the bytes in between as a gap.
+a gzip member or a version line, and reports the bytes in between as a gap. The unpacked bytes of a member of
+several records are searched in the same way, also if the member itself fails.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import hashlib
 import gzip
 import re
+import tempfile
 from urllib.parse import quote, unquote
 import uuid
 import zlib
@@ -28,15 +30,18 @@ from docquarry.session import materialize, shared_path
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
-#: A record that claims or unpacks to more is not believed.
+#: A record that claims more is not believed.
 MAX_RECORD_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
 _BLOCK = 1 << 20
+#: A member that unpacks to more is held in a temporary file of the task, not in memory.
+_SPOOL_BYTES = 16 << 20
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/\d")
+_LINE = re.compile(rb"(?:(?<=\n)|\A)WARC/\d")
 _PRINTABLE = "".join(chr(c) for c in range(33, 127) if chr(c) not in "<>%\"")
 _NO_ID = "-"
 
@@ -117,8 +122,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 class Source:
     """Bytes of a file by position, read in blocks of which one is held."""
 
-    def __init__(self, file):
-        self.file, self.size = file, file.size()
+    def __init__(self, file, size: int | None = None):
+        self.file, self.size = file, file.size() if size is None else size
         self._at, self._block = 0, b""
 
     def read(self, at: int, n: int) -> bytes:
@@ -178,45 +183,108 @@ def _parse(read, at: int, size: int) -> tuple[int, dict[str, str], bytes]:
     return end, fields, block
 
 
-def _member(source: Source, at: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at ``at``."""
-    unpack, parts, total, pos = zlib.decompressobj(wbits=31), [], 0, at
+def _unpacked(source: Source, at: int, out) -> tuple[int, str | None]:
+    """Write what can be unpacked of the gzip member at ``at``; (where it ends or fails, the check that failed)."""
+    unpack, pos, step = zlib.decompressobj(wbits=31), at, _BLOCK // 16
     while not unpack.eof:
-        piece = source.read(pos, min(_BLOCK // 4, source.size - pos))
+        piece = source.read(pos, min(step, source.size - pos))
         if not piece:
-            raise Damaged("truncated member")
-        pos += len(piece)
+            return pos, "truncated member"
+        before = unpack.copy() if step > 1 else None
         try:
-            parts.append(unpack.decompress(piece, MAX_RECORD_BYTES))
-        except zlib.error as error:
-            raise Damaged("gzip member") from error
-        total += len(parts[-1])
-        if total >= MAX_RECORD_BYTES:
-            raise Damaged("member size")
-    return pos - len(unpack.unused_data), b"".join(parts)
-
-
-def _records_at(source: Source, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """(end, records) of the member or plain record at ``at``."""
-    if source.read(at, 3) != _MEMBER:
-        end, fields, block = _parse(source.read, at, source.size)
-        return end, [(fields, block)]
-    end, data = _member(source, at)
-    found, pos = [], 0
-    while pos < len(data):
-        pos, fields, block = _parse(lambda a, n: data[a:a + n], pos, len(data))
-        found.append((fields, block))
-    return end, found
-
-
-def _candidates(source: Source, at: int) -> Iterator[int]:
+            out.write(unpack.decompress(piece))
+        except zlib.error:
+            if step == 1:
+                return pos, "gzip member"
+            # Again byte by byte, for what the bytes before the damage give.
+            unpack, step = before, 1
+            continue
+        pos += len(piece)
+    return pos - len(unpack.unused_data), None
+
+
+def _vouched(fields: dict[str, str]) -> bool:
+    """Whether a digest that can be checked stands for the block or, if that is all of it, the payload."""
+    names = ("warc-block-digest",) if fields.get("warc-type") == "revisit" else ("warc-block-digest", "warc-payload-digest")
+    return any(fields.get(name, "").partition(":")[0].lower() in ("sha1", "sha256", "md5") for name in names)
+
+
+def _plain_at(source: Source, at: int) -> tuple[int, tuple[dict[str, str], bytes]]:
+    """(end, record) of the plain record at ``at``, its digests checked."""
+    end, fields, block = _parse(source.read, at, source.size)
+    if fields.get("warc-type") != "revisit":
+        _check_digest(fields.get("warc-payload-digest"), _payload(fields, block), "payload")
+    return end, (fields, block)
+
+
+def _lines(source: Source) -> Iterator[tuple[int, int, str | None, list[tuple[dict[str, str], bytes]]]]:
+    """Like :func:`salvage` for unpacked bytes, where only version lines start records."""
+    at = 0
+    while at < source.size:
+        reason, end, found = None, source.size, []
+        place = source.size
+        for place in (p for q in ((at,), _candidates(source, at + 1, _LINE), (source.size,)) for p in q):
+            if place == source.size:
+                end = place
+                break
+            try:
+                end, record = _plain_at(source, place)
+                found = [record]
+                break
+            except Damaged as failed:
+                reason = reason or str(failed)
+        if place > at:
+            yield at, place - at, reason, []
+        if found:
+            yield place, end - place, None, found
+        at = end
+
+
+def _from_member(source: Source, at: int) -> Iterator[tuple[int, int, str | None, list[tuple[dict[str, str], bytes]]]]:
+    """What :func:`salvage` gives for the member at ``at``; an error before anything else if nothing in it passes.
+
+    A member that fails and holds no more than one whole record fails with it. Records of other members that
+    fail their checksum need a digest of their own. Offsets are those of the member; a gap
+    inside it names the unpacked bytes.
+    """
+    with tempfile.SpooledTemporaryFile(_SPOOL_BYTES) as out:
+        end, failed = _unpacked(source, at, out)
+        inner = Source(out, out.tell())
+        if not inner.size and failed is None:
+            yield at, end - at, None, []
+            return
+        first, waiting = None, []
+        for place, length, reason, records in _lines(inner):
+            if failed is not None and records:
+                if length == inner.size:
+                    raise Damaged(failed)
+                if failed == "gzip member" and not _vouched(records[0][0]):
+                    reason, records = failed, []
+            if not records:
+                first = first or reason
+                gap = at, end - at, f"{reason}, bytes {place} to {place + length} unpacked", []
+                if waiting is None:
+                    yield gap
+                else:
+                    waiting.append(gap)
+                continue
+            yield from waiting or ()
+            waiting = None
+            yield at, end - at, None, records
+        if waiting is not None:
+            raise Damaged(failed or first or "no record")
+        if failed is not None:
+            yield at, end - at, failed, []
+
+
+def _candidates(source: Source, at: int, pattern: re.Pattern[bytes] = _CANDIDATE) -> Iterator[int]:
     """Places from ``at`` on where a record might start."""
     overlap = 8
     while at < source.size:
         # One byte before tells whether a version line starts a line.
         before = min(1, at)
         window = source.read(at - before, min(_BLOCK // 2, source.size - at + before))
-        for m in _CANDIDATE.finditer(window, before):
+        for m in pattern.finditer(window, before):
             if m.start() < len(window) - overlap or at - before + len(window) == source.size:
                 yield at - before + m.start()
         if at - before + len(window) == source.size:
@@ -234,23 +302,26 @@ def salvage(source: Source) -> Iterator[tuple[int, int, str | None, list[tuple[d
     """(offset, length, reason, records): stretches that passed, and gaps with the check that failed."""
     at = 0
     while at < source.size:
-        reason, end, records = None, at, []
+        reason = None
         for place in (p for q in ((at,), _candidates(source, at + 1)) for p in q):
             try:
-                end, records = _records_at(source, place)
-                for fields, block in records:
-                    if fields.get("warc-type") != "revisit":
-                        _check_digest(fields.get("warc-payload-digest"), _payload(fields, block), "payload")
+                if source.read(place, 3) == _MEMBER:
+                    found = _from_member(source, place)
+                    part = next(found)
+                else:
+                    end, record = _plain_at(source, place)
+                    found, part = iter(()), (place, end - place, None, [record])
                 break
             except Damaged as failed:
-                reason, records = reason or str(failed), []
+                reason = reason or str(failed)
         else:
-            place = end = source.size
+            yield at, source.size - at, reason, []
+            return
         if place > at:
             yield at, place - at, reason, []
-        if end > place:
-            yield place, end - place, None, records
-        at = end
+        yield part
+        yield from found
+        at = place + part[1]
 
 
 _SCHEMA = pa.schema([

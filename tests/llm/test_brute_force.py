@@ -344,6 +344,41 @@ def test_salvage(zipped):
     assert read(b"") == ([], [])
 
 
+def test_salvage_inside_members(tmp_path):
+    records, before = _archive(False), _archive(True)[:2]
+    starts = np.cumsum([0, *map(len, records)])
+
+    def read(data):
+        found = list(warc.salvage(warc.Source(_File(data))))
+        return [warc._identifier(f["warc-record-id"]) for *_, rs in found for f, _ in rs], [(a, reason) for a, _, reason, _ in found if reason]
+
+    names = [str(i) for i in range(40)]
+    whole = b"".join(records)
+    packed = gzip.compress(whole, 6, mtime=0)
+    assert read(packed) == (names, [])
+    for lost in (0, 7, 39):
+        # A bad record in a sound member.
+        bad = bytearray(whole)
+        bad[starts[lost + 1] - 6] ^= 255
+        keys, gaps = read(b"".join(before) + gzip.compress(bytes(bad), 6, mtime=0) + before[1])
+        assert keys == ["0", "1", *(n for n in names if n != str(lost)), "1"]
+        assert gaps == [(sum(map(len, before)), f"{'block'} digest, bytes {starts[lost]} to {starts[lost + 1]} unpacked")]
+    # A cut tail: all records that can be unpacked whole stay.
+    cut = packed[:len(packed) // 2]
+    got = len(zlib.decompressobj(wbits=31).decompress(cut))
+    keys, gaps = read(cut)
+    assert keys == names[:np.searchsorted(starts, got, side="right") - 1] and len(keys) > 2 and gaps
+    # A damaged byte: records before it stay, and the members behind it are found.
+    bad = bytearray(packed)
+    bad[len(packed) * 2 // 3:len(packed) * 2 // 3 + 40] = bytes(40)
+    keys, gaps = read(bytes(bad) + b"".join(before))
+    assert keys[-2:] == ["0", "1"] and len(keys) > 4 and keys[:-2] == [n for n in names if n in keys[:-2]] and gaps
+    # A wrong checksum: the digests vouch for the records.
+    bad = bytearray(packed)
+    bad[-6] ^= 255
+    assert read(bytes(bad) + before[0])[0] == [*names, "0"]
+
+
 def test_main_text_of_pages(spark):
     out = {r["page_id"]: r["text"] for r in LLM_QUERIES["op7_html_text"](spark, SF_SMALL).collect()}
     for r in table(spark, "pages").collect():
