@@ -162,11 +162,12 @@ def _parse(read, at: int, size: int) -> tuple[int, dict[str, str], bytes]:
     head, step = b"", 2048
     while b"\r\n\r\n" not in head:
         got = read(at, min(len(head) + step, size - at))
-        if len(got) == len(head) or len(got) > _BLOCK:
+        # Only what begins like a record is read on, as far as the header of a very long URL may go.
+        if got and not _VERSION.match(got):
+            raise Damaged("version line")
+        if len(got) == len(head) or len(got) > MAX_RECORD_BYTES:
             raise Damaged("header end")
         head, step = got, 2 * step
-    if not _VERSION.match(head):
-        raise Damaged("version line")
     stop = head.index(b"\r\n\r\n")
     fields = _fields(head[head.index(b"\r\n") + 2:stop])
     length = fields.get("content-length", "")
@@ -395,7 +396,14 @@ def resolved(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to the shared folder, read the archives back and resolve the revisits."""
+    """Write ``pages`` to the shared folder, read the archives back and resolve the revisits.
+
+    A gap in these archives is an error, since it would lose pages.
+    """
     spark = pages.sparkSession
     manifest = write_archives(pages, shared_path(spark))
-    return resolved(materialize(read_archives(manifest, with_payload=False)))
+    records = materialize(read_archives(manifest, with_payload=False))
+    lost = records.where("gap IS NOT NULL").select("path", "offset", "gap").first()
+    if lost is not None:
+        raise ValueError(f"{lost['path']} at {lost['offset']}: {lost['gap']}")
+    return resolved(records)

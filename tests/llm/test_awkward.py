@@ -120,6 +120,15 @@ def test_warc(spark):
     assert {r["url"] for r in read.collect()} == {r[1] for r in rows}
 
 
+def test_warc_of_very_long_urls(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a/" + "é" * 400_000, "one"), (2, "u", "two")], "page_id long, url string, html string")
+    assert sorted((r["key"], r["url"]) for r in warc.round_trip(pages).collect()) == [("1", "http://a/" + "é" * 400_000), ("2", "u")]
+    gap = spark.createDataFrame([("p", 0, "record end")], "path string, offset long, gap string")
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **b: gap)
+    with pytest.raises(ValueError, match="record end"):
+        warc.round_trip(pages)
+
+
 def test_neighbours(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [1.0, 0.0], "c"), (2, [1.0, 0.0], "c"), (3, [0.0, 0.0], "c"), (4, None, "c"), (5, [inf, 1.0], "c"), (6, [nan, 1.0], "c"), (7, [None, 1.0], "c"),
