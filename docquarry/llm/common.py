@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docquarry.session import materialize
@@ -57,3 +59,27 @@ def broadcast_if_small(df: DataFrame, width: Column, bound: int = BROADCAST_BYTE
     """
     size = df.select(F.sum(width.cast("long")).alias("n")).first()["n"] or 0
     return F.broadcast(df) if size <= bound else df
+
+
+#: Bytes of text that a task works on at a time; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], *columns: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the string or binary ``columns`` of each part hold about ``size`` bytes at most.
+
+    What a task builds from a part is then bounded by bytes, however many rows Spark puts into a batch. When
+    the input ends, Arrow's idle memory goes back to the system, since Python workers outlive their tasks.
+    """
+    for batch in batches:
+        total = np.zeros(len(batch) + 1, dtype=np.int64)
+        for column in columns:
+            values = batch.column(column)
+            offsets = np.frombuffer(values.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(values.type) or pa.types.is_large_string(values.type) else np.int32)
+            total += offsets[values.offset:values.offset + len(values) + 1]
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + size, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+    pa.default_memory_pool().release_unused()

@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm import decontaminate, html_suffix, langid, line_dedup, near_dup, packing, quality, sharding, vptree, warc
+from docquarry.llm import alignment, decontaminate, filter_audit, html_suffix, langid, line_dedup, near_dup, packing, quality, sharding, simhash, vptree, warc
 from docquarry.llm.common import table
 from docquarry.session import ensure_parallelism
 
@@ -86,6 +86,27 @@ def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_suffix.extracted(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters does at every place of every order, per source."""
+    return filter_audit.audit(ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text", "source")), table(spark, folder, "labels"))
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in at most two bits."""
+    return simhash.near_duplicates(ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def tokenizer_pair() -> alignment.Tokenizers:
+    import public_tokenizers as files
+
+    return alignment.Tokenizers(files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"), files.PATTERN)
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return alignment.aligned(ensure_parallelism(table(spark, folder, "documents").select("doc_id", "text")), tokenizer_pair())
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -97,6 +118,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_simhash": op12_simhash,
+    "op13_alignment": op13_alignment,
 }
 _WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
@@ -148,4 +172,36 @@ LLM_SQL: dict[str, str] = {
             UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
         FROM sets LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) USING (doc_id)""",
+    "op11_filter_audit": r"""
+        WITH f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        places AS (
+            SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+            FROM (SELECT *, unnest(range(1, 6))::INT AS step FROM orders)),
+        d AS (
+            SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+                list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        judged AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+                + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+                + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS failed
+            FROM d LEFT JOIN marks USING (doc_id)),
+        counts AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+        each AS (
+            SELECT *, failed & before = 0 AS there, failed & bit <> 0 AS fails FROM counts, places),
+        steps AS (
+            SELECT part, filter_order, step, bit, sum(n) FILTER (there AND NOT fails) AS kept, sum(n) FILTER (there AND fails) AS removed,
+                sum(n) FILTER (fails AND NOT there) AS redundant, sum(n) FILTER (failed = bit) AS unique_fails,
+                sum(good) FILTER (there AND fails) AS good_lost, sum(toxic) FILTER (there AND fails) AS toxic_lost
+            FROM each GROUP BY ALL)
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+            coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+            coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+            sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+        FROM steps""",
 }

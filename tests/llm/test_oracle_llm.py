@@ -10,7 +10,7 @@ from docquarry.llm.queries import LLM_QUERIES, LLM_SQL
 
 def test_all_operators_are_registered():
     names = driver.queries()
-    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 11))
+    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 14))
     assert "pipeline" in names and set(LLM_SQL) <= set(LLM_QUERIES)
 
 
