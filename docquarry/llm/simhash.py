@@ -95,18 +95,18 @@ def buckets(classes: DataFrame, p: SimHash) -> DataFrame:
     Any two fingerprints within the radius share a bucket. Only keys and counts decide; crowded buckets are
     recognised by counts that are summed before the shuffle, and their members are dealt to several tasks.
     """
-    masks, done = [0], None
+    spark, masks, done = classes.sparkSession, [0], None
     todo = classes.select("node", "fp", F.lit(0).cast("long").alias("mask"))
     while True:
-        children = {mask: [_signed(m) for m in parts(mask, p.radius + 1)] for mask in masks}
-        masks = sorted({m & (1 << BITS) - 1 for found in children.values() for m in found})
-        choices = F.create_map(*[x for mask, found in children.items() for x in (F.lit(_signed(mask)), F.array(*map(F.lit, found)))])
-        dealt = materialize(todo.select("node", "fp", F.explode(choices[F.col("mask")]).alias("mask"))
+        # At most radius + 1 times as many masks as in the level before, whatever the data.
+        children = spark.createDataFrame([(_signed(mask), _signed(m)) for mask in masks for m in parts(mask, p.radius + 1)], "mask long, child long")
+        dealt = materialize(todo.join(F.broadcast(children), "mask").select("node", "fp", F.col("child").alias("mask"))
                             .withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))))
         crowded = materialize(dealt.groupBy("mask", "value").count().where(F.col("count") > p.bucket_rows).select(
             "mask", "value", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")))
         if crowded.isEmpty():
             return dealt if done is None else done.unionByName(dealt)
+        masks = [r["mask"] & (1 << BITS) - 1 for r in crowded.select("mask").distinct().collect()]
         salted = dealt.withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int"))
         crowded, on = broadcast_if_small(crowded, F.lit(32)), ["mask", "value", "_salt"]
         rest = salted.join(crowded, on, "left_anti").select(dealt.columns)
