@@ -19,17 +19,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import broadcast_if_small, ranked_within
+from docquarry.llm.common import broadcast_if_small, ranked_within, slices
 from docquarry.session import materialize
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; it starts afresh beyond that.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 1 << 19
+#: Words that are encoded as one text.
+_JOINED = 1024
 # ASCII signs that the tokenizer takes as runs of their own after a letter or digit.
 _SIGNS = b"!#$%&()*+,-./:;=?@[]^_`{}~\""
-_BATCH_DOCS = 64
 
 
 class WordEncoder:
@@ -45,44 +47,68 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update(zip(words, (pack_ids(e.ids) for e in found)))
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Add words; one that ends in signs is the word before them and those signs."""
-        cut = {}
+        """Words of letters alone are encoded many at a time; each ends with the one token of its own that ends a word."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, text in enumerate(texts) if text.isalpha()]
+        for at in range(0, len(plain), _JOINED):
+            part = plain[at:at + _JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                cuts = (4 * np.append(0, stops)).tolist()
+                packed = ids.tobytes()
+                self.known.update((words[i], packed[b:e]) for i, b, e in zip(part, cuts, cuts[1:]))
+        rest = [(w, t) for w, t in zip(words, texts) if w not in self.known]
+        found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        self.known.update((w, pack_ids(e.ids)) for (w, _), e in zip(rest, found))
+
+    def _found(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; one that ends in signs is the word before them and those signs, and only these are remembered."""
+        cut, missing = {}, set()
         for w in words:
-            core = w.rstrip(_SIGNS)
-            if len(core) < len(w) and core[-1:].isalnum():
-                cut[w] = core
-        plain = words.difference(cut).union(cut.values(), (w[len(core):] for w, core in cut.items()))
-        self._encode([w for w in plain if w not in self.known])
-        for w, core in cut.items():
-            self.known[w] = self.known[core] + self.known[w[len(core):]]
+            if w not in self.known:
+                core = w.rstrip(_SIGNS)
+                if len(core) < len(w) and core[-1:].isalnum():
+                    cut[w] = core, w[len(core):]
+                    missing.update(part for part in cut[w] if part not in self.known)
+                else:
+                    missing.add(w)
+        self._encode(list(missing))
+        return [self.known[cut[w][0]] + self.known[cut[w][1]] if w in cut else self.known[w] for w in words]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(32-bit ids of all texts, where those of each text begin and end). NULL is empty.
+
+        Words are split and told apart in Arrow, so that only a word's first occurrence becomes an object.
+        """
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        texts = texts.cast(pa.string()).fill_null("")
+        # Special tokens are recognised before lower-casing.
+        marked = pc.match_substring(texts, "<|")
+        words = pc.ascii_split_whitespace(pc.if_else(marked, texts, pc.ascii_lower(texts)))
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.cast(pa.binary()).to_pylist()
+        self.known[b""] = b""
+        found = self._found(distinct)
+        table = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        word = flat.indices.to_numpy()
+        stops = np.cumsum(sizes[word])
+        shift = (np.cumsum(sizes) - sizes)[word] - (stops - sizes[word])
+        ids = table[np.repeat(shift, sizes[word]) + np.arange(stops[-1] if len(stops) else 0)]
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return ids, np.append(0, stops)[offsets]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        get, out, waiting, missing = self.known.get, [], {}, set()
-        for text in texts:
-            data = (text or "").encode()
-            # Special tokens are recognised before lower-casing.
-            words = (data if b"<|" in data else data.lower()).split()
-            ids = list(map(get, words))
-            if None in ids:
-                missing.update([w for w, i in zip(words, ids) if i is None])
-                waiting[len(out)] = words
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if missing:
-            self._learn(missing)
-            for at, words in waiting.items():
-                out[at] = b"".join(map(self.known.__getitem__, words))
-        return out
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -109,25 +135,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc: str =
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = _encoder(tokenizer), 4 * capacity
-        for whole in batches:
-            for at in range(0, len(whole), _BATCH_DOCS):
-                batch = whole.slice(at, _BATCH_DOCS)
-                rows, cut = [], []
-                for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                    ids += b"\0\0\0\0"
-                    for n, b in enumerate(range(0, len(ids), width)):
-                        piece = ids[b:b + width]
-                        rows.append((i, n, b // 4, len(piece) // 4, zlib.crc32(piece)))
-                        cut.append(piece)
-                index, number, start, length, crc = zip(*rows)
-                columns = [batch.column(0).take(pa.array(index)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
-                           pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array([np.frombuffer(p, dtype="<i4") for p in cut], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder = _encoder(tokenizer)
+        for batch in slices(batches, 1):
+            ids, bounds = encoder.encode_column(batch.column(1))
+            rows, cut = [], []
+            for i, (lo, hi) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                own = np.append(ids[lo:hi], np.uint32(0)).astype("<u4")
+                for n, b in enumerate(range(0, len(own), capacity)):
+                    piece = own[b:b + capacity]
+                    rows.append((i, n, b, len(piece), zlib.crc32(piece)))
+                    cut.append(piece)
+            index, number, start, length, crc = zip(*rows)
+            columns = [batch.column(0).take(pa.array(index)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
+                       pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array([p.view("<i4") for p in cut], pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return own.mapInArrow(run, schema)
 
