@@ -3,7 +3,7 @@
 A line ends at a line break or after a sentence, so that a passage is found also where it was joined to other
 text of its line.
 
-1. A seed is the hash of the shortest run of lines from a given line on that has enough words. Seeds are
+1. A seed is the hash of the shortest run of lines from a given line on, or up to one, that has enough words. Seeds are
    rare by nature: a common short line makes none of its own. The document with the smallest id that holds
    a seed is its owner, and every later holder is paired with it, so that a passage in many documents gives
    as many pairs as holders.
@@ -29,15 +29,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import broadcast_if_small
-from docquarry.llm.shingles import exact_words, mixed, powers, windows
-from docquarry.session import materialize
+from docquarry.llm.common import broadcast_if_small, slices
+from docquarry.llm.shingles import EXACT, chunks, mixed, powers, windows, word_hashes
+from docquarry.session import arrow_batch_rows, materialize
 
 #: Words that a common block must have to be deleted.
 MIN_WORDS = 20
 #: Words that a common passage must have to be deleted without regard to lines, and those of the windows that mark it.
 PASSAGE_WORDS = 50
 MARK_WORDS = 20
+_BATCH_ROWS = 1024
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[[33, 46, 63]] = True
 _WORD = re.compile(rb"\S+")
 _SEPARATOR = re.compile(rb"((?<=[.!?])[ \t]+|[ \t]*\r?\n)")
 
@@ -67,29 +70,32 @@ def without_passages(data: bytes, gone: set[int], starts: Sequence[int]) -> tupl
     """
     lines, separators = split_lines(data)
     gone, cut = set(gone), 0
-    spans = [[m.span() for m in _WORD.finditer(line)] for line in lines]
-    first = np.bincount(np.asarray(starts, dtype=np.int64), minlength=sum(map(len, spans)) + 1)
+    if not len(starts):
+        return _without(lines, separators, gone), len(gone)
+    sizes = [len(line.split()) for line in lines]
+    first = np.bincount(np.asarray(starts, dtype=np.int64), minlength=sum(sizes) + 1)
     open_at = np.cumsum(first)
     open_at[PASSAGE_WORDS:] -= open_at[:-PASSAGE_WORDS].copy()
     # Passages that a word is in, and those that go on into it from the word before.
     covered, inside = open_at > 0, open_at > first
     at = 0
-    for i, words in enumerate(spans):
-        lost = covered[at:at + len(words)]
-        if not words:
+    for i, size in enumerate(sizes):
+        lost = covered[at:at + size]
+        if not size:
             if inside[at]:
                 gone.add(i)
         elif lost.all():
             gone.add(i)
         elif lost.any() and i not in gone:
-            line, kept, end = lines[i], b"", 0
+            line, kept, end = lines[i], [], 0
+            words = [m.span() for m in _WORD.finditer(line)]
             for j, (start, stop) in enumerate(words):
                 if not lost[j]:
                     # The blanks before a kept word stay, but for those after a cut at the start of the line.
-                    kept += line[0 if j == 0 else words[j - 1][1] if kept else start:stop]
+                    kept.append(line[0 if j == 0 else words[j - 1][1] if kept else start:stop])
                     end = stop
-            lines[i], cut = kept + (line[end:] if not lost[-1] else b""), cut + 1
-        at += len(words)
+            lines[i], cut = b"".join(kept) + (line[end:] if not lost[-1] else b""), cut + 1
+        at += size
     return _without(lines, separators, gone), len(gone) + cut
 
 
@@ -105,15 +111,18 @@ def runs(sizes: Sequence[int], least: int) -> Iterator[tuple[int, int]]:
         total -= size
 
 
-def seeds_of(hashes: np.ndarray, sizes: Sequence[int], least: int) -> np.ndarray:
-    """Hashes of the runs of :func:`runs`; the n-th is that of the n-th line."""
+def spans_of(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words between ``starts`` and ``stops``, from running sums."""
+    up, down = powers(len(words))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words.view(np.uint64)) * up[:len(words)])])
+    return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)).view(np.int64)
+
+
+def _run_bounds(sizes: Sequence[int], least: int) -> tuple[np.ndarray, np.ndarray]:
     words = np.concatenate([[0], np.cumsum(sizes)])
     stops = np.searchsorted(words, words[:-1] + least)
-    starts = np.flatnonzero(stops <= len(hashes))
-    stops = stops[starts]
-    up, down = powers(len(hashes))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes.view(np.uint64)) * up[:len(hashes)])])
-    return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)).view(np.int64)
+    starts = np.flatnonzero(stops < len(words))
+    return starts, stops[starts]
 
 
 def passage_marks(words: np.ndarray) -> np.ndarray:
@@ -127,43 +136,95 @@ def passage_marks(words: np.ndarray) -> np.ndarray:
     return least.view(np.int64)
 
 
+def numbered_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash of each word, number of its line in its text, words before each text) for runs of texts; lines are numbered as
+    :func:`split_lines` cuts them."""
+    for data, bounds in chunks(column):
+        words, counts, starts = word_hashes(data, bounds, EXACT, with_starts=True)
+        # A separator is a line break, or a run of blanks after a sentence.
+        breaks = np.flatnonzero(data == 10)
+        gaps = np.flatnonzero(((data[1:] == 32) | (data[1:] == 9)) & _STOPS[data[:-1]]) + 1
+        cuts = np.sort(np.concatenate([breaks, np.setdiff1d(gaps, bounds, assume_unique=True)]))
+        before = np.repeat(np.searchsorted(cuts, bounds[:-1]), np.diff(counts))
+        yield words, np.searchsorted(cuts, starts) - before, counts
+
+
+def worded_lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, number of the line) of the words of each text in turn."""
+    for words, number, counts in numbered_words(column):
+        for a, b in zip(counts, counts[1:]):
+            yield words[a:b], number[a:b]
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+
+
+def line_columns(words: np.ndarray, number: np.ndarray, counts: np.ndarray, least: int) -> list[pa.Array]:
+    """The columns of :func:`line_table` for texts whose words lie behind one another, all texts at once."""
+    ends = np.repeat(counts[1:], np.diff(counts))
+    firsts = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (ends[1:] != ends[:-1]))) if len(words) else np.zeros(0, np.int64)
+    bounds = np.searchsorted(firsts, counts)
+    stops = np.append(firsts[1:], len(words))[:len(firsts)]
+    hashes, last = spans_of(words, firsts, stops), np.repeat(bounds[1:], np.diff(bounds))
+    # The shortest run from each line on, and the one up to each line, where the text has enough words.
+    run = np.searchsorted(stops, firsts + least) + 1
+    starts = np.flatnonzero(firsts + least <= ends[firsts]) if len(firsts) else firsts
+    begin = np.searchsorted(firsts, stops - least, side="right") - 1
+    own = np.flatnonzero(stops - least >= np.repeat(counts[:-1], np.diff(bounds))) if len(firsts) else firsts
+    own = own[(run[begin[own]] != own + 1) | (firsts[begin[own]] + least > ends[firsts[begin[own]]])]
+    seeds, tails = spans_of(hashes, starts, run[starts]), spans_of(hashes, begin[own], own + 1)
+    marks = passage_marks(words)
+    at = np.flatnonzero(np.arange(len(marks)) + PASSAGE_WORDS <= ends[:len(marks)])
+    # Neighbours mostly share their mark.
+    at = at[np.append(True, (marks[at[1:]] != marks[at[:-1]]) | (ends[at[1:]] != ends[at[:-1]]))] if len(at) else at
+    return [_lists(hashes, bounds, pa.int64()), _lists((stops - firsts).astype(np.int32), bounds, pa.int32()),
+            _lists(number[firsts].astype(np.int32), bounds, pa.int32()), _lists(seeds, np.searchsorted(starts, bounds), pa.int64()),
+            _lists(tails, np.searchsorted(own, bounds), pa.int64()), _lists(marks[at], np.searchsorted(at, counts), pa.int64())]
+
+
 def _own(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def line_table(docs: DataFrame, least: int, doc: str, text: str) -> DataFrame:
-    """``doc_id``, the hash and number of words of every line, the seed of every line that has one, and the passages' marks."""
+    """``doc_id`` and of each text, from one pass: the numbers of its lines that have words with their hashes and sizes, the ``seeds``
+    of runs from a line on, the ``tails`` of runs up to a line that are none of these, and the ``marks`` of its passages.
+
+    A line's hash is that of its words, so blanks within a line do not count.
+    """
     own = _own(docs, doc, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in slices(batches, 1):
+            at = 0
+            for words, number, counts in numbered_words(batch.column(1)):
+                columns = line_columns(words, number, counts, least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(columns[0])), *columns], names=names)
+                at += len(columns[0])
 
-        for batch in batches:
-            hashes, sizes, seeds = [], [], []
-            marks = [np.unique(passage_marks(words)) for words in exact_words(batch.column(1))]
-            for value in batch.column(1).to_pylist():
-                lines = [line.strip() for line in split_lines(value)[0]]
-                own = [len(line.split()) for line in lines]
-                found = np.array([xxhash.xxh3_64_intdigest(line) for line in lines], dtype=np.uint64).view(np.int64)
-                hashes.append(found)
-                sizes.append(own)
-                seeds.append(seeds_of(found, own, least))
-            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, longs), pa.array(sizes, ints), pa.array(seeds, longs), pa.array(marks, longs)],
-                names=["doc_id", "hashes", "sizes", "seeds", "marks"])
+    names = ["doc_id", "hashes", "sizes", "numbers", "seeds", "tails", "marks"]
+    return own.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>, numbers array<int>, seeds array<long>, tails array<long>, marks array<long>")
 
-    return own.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>, seeds array<long>, marks array<long>")
 
-
-def pairs(lines: DataFrame) -> DataFrame:
-    """``owner`` and ``doc_id`` of documents that share a seed; ids that repeat are one document."""
-    held = lines.select("doc_id", F.explode("seeds").alias("seed"))
+def _sharing(held: DataFrame) -> DataFrame:
     owners = held.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
     owners = broadcast_if_small(materialize(owners.select("seed", "owner")), F.lit(32))
     return held.join(owners, "seed").where("owner < doc_id").select("owner", "doc_id").distinct()
 
 
+def pairs(lines: DataFrame) -> DataFrame:
+    """``owner`` and ``doc_id`` of documents that share a seed; ids that repeat are one document.
+
+    Where the first holder of a seed has only part of a block, the rest may be too short for a seed of its own. So
+    documents in pairs also meet on the runs that end at a line.
+    """
+    met = materialize(_sharing(lines.select("doc_id", F.explode("seeds").alias("seed"))))
+    found = broadcast_if_small(materialize(met.select("doc_id").union(met.select("owner")).distinct()), F.lit(16))
+    tails = lines.select("doc_id", "tails").join(found, "doc_id", "left_semi").select("doc_id", F.explode("tails").alias("seed"))
+    return met.union(_sharing(tails)).distinct()
+
+
 def _ascending(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest part of ``points``, which are sorted by their first number, that also ascends in the second."""
     tails, ends, back = [], [], []
@@ -201,28 +262,31 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_lines(a: Sequence[int], a_seeds: Sequence[int], b: Sequence[int], sizes: Sequence[int], b_seeds: Sequence[int],
-                 least: int) -> set[int]:
-    """Lines of ``b`` in blocks of at least ``least`` words that ``a`` has too."""
-    out: set[int] = set()
+def common_lines(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, last + 1) of blocks of lines of ``b`` with at least ``least`` words that ``a`` has too."""
+    words, out = np.append(0, np.cumsum(sizes)), []
+    covered = np.zeros(len(b) + 1, dtype=np.int64)
 
     def take(first: int, stop: int) -> None:
-        if sum(sizes[first:stop]) >= least:
-            out.update(range(first, stop))
+        if words[stop] - words[first] >= least:
+            out.append((first, stop))
+            covered[first:stop] = 1
 
-    aligned = patience(a, b)
+    x, y = a.tolist(), b.tolist()
+    aligned = patience(x, y)
     first = 0
     for n in range(1, len(aligned) + 1):
         if n == len(aligned) or aligned[n] != (aligned[n - 1][0] + 1, aligned[n - 1][1] + 1):
             take(aligned[first][1], aligned[n - 1][1] + 1)
             first = n
-    place = {seed: i for i, seed in reversed(list(enumerate(a_seeds)))}
-    for seed, (j, stop) in zip(b_seeds, runs(sizes, least)):
+    a_runs, b_runs = _run_bounds(a_sizes, least), _run_bounds(sizes, least)
+    place = dict(zip(spans_of(a, *a_runs)[::-1].tolist(), a_runs[0][::-1].tolist()))
+    for seed, j, stop in zip(spans_of(b, *b_runs).tolist(), *(v.tolist() for v in b_runs)):
         i = place.get(seed)
-        if i is None or out.issuperset(range(j, stop)):
+        if i is None or covered[j:stop].all():
             continue
         n = 0
-        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+        while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
             n += 1
         take(j, j + n)
     return out
@@ -230,7 +294,7 @@ def common_lines(a: Sequence[int], a_seeds: Sequence[int], b: Sequence[int], siz
 
 def _several(lines: DataFrame) -> DataFrame:
     """Ids that stand for several texts."""
-    content = F.xxhash64("hashes")
+    content = F.xxhash64("hashes", "numbers")
     return lines.groupBy("doc_id").agg(F.min(content).alias("lo"), F.max(content).alias("hi")).where("lo < hi").select("doc_id")
 
 
@@ -240,20 +304,26 @@ def repeated_lines(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     Ids that stand for several texts get none, since line numbers of one mean nothing in another.
     """
     met = materialize(pairs(lines))
-    left = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("a"), F.col("seeds").alias("a_seeds"))
-    right = lines.select("doc_id", F.col("hashes").alias("b"), "sizes", F.col("seeds").alias("b_seeds"))
+    left = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("a"), F.col("sizes").alias("a_sizes"))
+    right = lines.select("doc_id", F.col("hashes").alias("b"), "sizes", "numbers")
     # While the pairs are few, they are sent to both scans, and only lines of documents in pairs are shuffled.
     few = broadcast_if_small(met, F.lit(32))
-    sides = right.join(few, "doc_id").join(left.join(few.select("owner"), "owner", "left_semi"), "owner").select("doc_id", "b", "sizes", "b_seeds", "a", "a_seeds")
+    names = ["doc_id", "b", "sizes", "numbers", "a", "a_sizes"]
+    sides = right.join(few, "doc_id").join(left.join(few.select("owner"), "owner", "left_semi"), "owner").select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
-            for row in batch.to_pylist():
-                gone = common_lines(row["a"], row["a_seeds"], row["b"], row["sizes"], row["b_seeds"], least)
-                if gone:
-                    ids.append(row["doc_id"])
-                    found.append(sorted(gone))
+            for n, doc_id in enumerate(batch.column(0).to_pylist()):
+                # One pair at a time, as views of the batch.
+                b, sizes, numbers, a, a_sizes = (batch.column(k)[n].values.to_numpy() for k in range(1, 6))
+                lost = np.zeros(int(numbers[-1]) + 1 if len(numbers) else 0, dtype=bool)
+                for first, stop in common_lines(a, a_sizes, b, sizes, least):
+                    # With the blank lines in the block and before it.
+                    lost[int(numbers[first - 1]) + 1 if first else 0:int(numbers[stop - 1]) + 1] = True
+                if lost.any():
+                    ids.append(doc_id)
+                    found.append(np.flatnonzero(lost).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "lines"])
 
     gone = sides.mapInArrow(run, "doc_id long, lines array<int>")
@@ -274,16 +344,13 @@ def repeated_passages(own: DataFrame, lines: DataFrame, gone: DataFrame) -> Data
     texts = own.join(broadcast_if_small(wanted, 8 * F.size("marks") + 4 * F.coalesce(F.size("gone"), F.lit(0)) + 32), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, starts, found = [], [], []
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), exact_words(batch.column(1)))
-            for doc_id, data, marks, lost, words in rows:
+            rows = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), worded_lines(batch.column(1)))
+            for doc_id, marks, lost, (words, number) in rows:
                 at = np.flatnonzero(np.isin(passage_marks(words), np.array(marks, dtype=np.int64)))
                 if lost:
-                    sizes = [len(line.split()) for line in split_lines(data)[0]]
-                    stays = np.ones(len(sizes), dtype=np.int64)
-                    stays[lost] = 0
-                    left = np.concatenate([[0], np.cumsum(np.repeat(stays, sizes))])
+                    left = np.append(0, np.cumsum(~np.isin(number, lost)))
                     at = at[left[at + PASSAGE_WORDS] > left[at]]
                 if len(at):
                     ids.append(doc_id)
@@ -303,16 +370,17 @@ def repeated_passages(own: DataFrame, lines: DataFrame, gone: DataFrame) -> Data
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` cut and the column ``n_deleted``, the lines that lost words, which replaces any of that name.
 
-    Deleted are blocks of lines, compared without blanks at their ends, with at least ``least`` words that
+    Deleted are blocks of lines, compared word by word without blanks or blank lines, with at least ``least`` words that
     a document with a smaller id holds as well, and all words in passages of ``PASSAGE_WORDS`` words or more that
     one holds, compared word by word. A text is otherwise left as it is, down to its blanks; if no word
     is left it becomes empty. A NULL text stays NULL. Rows without an id are left alone. Rows
     that repeat an id are one document and are not compared with each other; those with several texts are
     left alone too. Ids have to be integers.
     """
-    lines = materialize(line_table(docs, least, doc, text))
-    gone = materialize(repeated_lines(lines, least))
-    passages = repeated_passages(_own(docs, doc, text), lines, gone)
+    with arrow_batch_rows(docs.sparkSession, _BATCH_ROWS):
+        lines = materialize(line_table(docs, least, doc, text))
+        gone = materialize(repeated_lines(lines, least))
+        passages = repeated_passages(_own(docs, doc, text), lines, gone)
     cuts = materialize(gone.join(passages, "doc_id", "full_outer").select(
         F.col("doc_id").alias("_doc"), F.coalesce("lines", F.array().cast("array<int>")).alias("_gone"),
         F.coalesce("starts", F.array().cast("array<int>")).alias("_starts")))
@@ -323,7 +391,8 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS, doc: str = "doc_id"
         found = [(None, 0) if t is None or g is None else without_passages(t.encode(), set(g.tolist()), s) for t, g, s in zip(texts, gone, starts)]
         return pd.DataFrame({"text": pd.Series([None if t is None else t.decode() for t, _ in found], dtype=object), "n": pd.Series([n for _, n in found], dtype="int32")})
 
-    # Only the texts that are cut are sent to Python for it.
+    # Only the texts that are cut are sent to Python for it. A filter on the result would else be pushed below, with a second call.
+    cut = cut.asNondeterministic()
     kept = cut(F.when(F.col("_doc").isNotNull(), F.col(text)), F.col("_gone"), F.col("_starts"))
     columns = [c for c in docs.columns if c != "n_deleted"]
     return marked.withColumn("_cut", kept).select(

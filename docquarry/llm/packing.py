@@ -153,6 +153,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc: str =
                 columns.append(pa.array([p.view("<i4") for p in cut], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        # The worker lives on and may be used for other work.
+        encoder.known.clear()
 
     return own.mapInArrow(run, schema)
 

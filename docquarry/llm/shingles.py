@@ -17,8 +17,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_EXACT_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE_VALUES = _EXACT_VALUES[_LOWER]
+EXACT = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE_VALUES = EXACT[_LOWER]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -57,8 +57,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers_seen.up_to(n)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words before each bound) for texts that lie at ``bounds``."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray = _BYTE_VALUES, with_starts: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash of each word, number of words before each bound) for texts that lie at ``bounds``, and where words start if asked for."""
     blank = _BLANK[data]
     before = np.concatenate([[True], blank[:-1]]) if len(data) else np.zeros(0, dtype=bool)
     inner = bounds[(bounds > 0) & (bounds < len(data))]
@@ -69,7 +69,8 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray = _BYTE
     up, down = powers(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * up[:len(data)])])
     hashes = mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, bounds)
+    before = np.searchsorted(starts, bounds)
+    return (hashes, before, starts) if with_starts else (hashes, before)
 
 
 def _fold(words: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
@@ -80,7 +81,7 @@ def _fold(words: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
     return h
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, bounds of the texts in them) for runs of texts of about a megabyte; NULL is empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
@@ -97,7 +98,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
     A text of fewer words is one shingle, one without words or NULL has none.
     """
-    for data, bounds in _chunks(column):
+    for data, bounds in chunks(column):
         words, counts = word_hashes(data, bounds)
         full = _fold(words, k, np.arange(max(0, len(words) - k + 1)))
         for a, b in zip(counts, counts[1:]):
@@ -107,14 +108,6 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield _fold(words, b - a, np.array([a])) if b > a else np.zeros(0, dtype=np.uint64)
 
 
-def exact_words(column: pa.Array) -> Iterator[np.ndarray]:
-    """Hashes of the words of each text in turn, in order and with their case; NULL has none."""
-    for data, bounds in _chunks(column):
-        words, counts = word_hashes(data, bounds, _EXACT_VALUES)
-        for a, b in zip(counts, counts[1:]):
-            yield words[a:b]
-
-
 def windows(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the ``k`` words from each place on that has as many, from running sums."""
     n = max(0, len(words) - k + 1)

@@ -236,10 +236,63 @@ def test_line_dedup(spark, texts):
         assert out[doc]["n_deleted"] >= len(need)
         if out[doc]["n_deleted"] == 0:
             assert out[doc]["text"] == texts[doc]
-        kept = [line.strip() for line in line_dedup.split_lines(out[doc]["text"].encode())[0]]
-        # Whatever was deleted stands in an earlier document.
-        assert all(line in earlier for line in Counter(lines) - Counter(kept))
-        earlier |= set(lines)
+        # Whatever words are gone stand in an earlier document, in a block of 20 words or a passage of 50.
+        words, kept = texts[doc].encode().split(), out[doc]["text"].encode().split()
+        allowed = np.zeros(len(words), dtype=bool)
+        for i in range(len(words) - line_dedup.MIN_WORDS + 1):
+            if tuple(words[i:i + line_dedup.MIN_WORDS]) in earlier:
+                allowed[i:i + line_dedup.MIN_WORDS] = True
+        assert allowed.sum() >= len(words) - len(kept)
+        if out[doc]["n_deleted"]:
+            # What is left is a part of the text in its order, and every gap in it is of words that are allowed to go.
+            stay = iter(kept)
+            nxt = next(stay, None)
+            for i, w in enumerate(words):
+                if not allowed[i]:
+                    while nxt is not None and nxt != w:
+                        nxt = next(stay, None)
+                    assert nxt == w
+                    nxt = next(stay, None)
+        earlier |= {tuple(words[i:i + line_dedup.MIN_WORDS]) for i in range(len(words))}
+
+
+def test_a_block_that_the_first_holder_has_in_part(spark):
+    first, tail = (" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("s", 25), ("t", 15)))
+    rows = [(1, f"{first}\nown end of one"), (2, f"start two\n{first}\n\n{tail}\nend two"), (3, f"start three\n{first}  \n{tail}\nend three")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: f"start two\n\n{tail}\nend two", 3: "start three\nend three"}
+
+
+def test_seeds_of_many_texts_at_once():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["w", "v. ", "u\n", "tt ", ". \n"]) + " " for _ in range(rng.choice([0, 3, 60, 200]))) for _ in range(40)]
+    (words, number, counts), = line_dedup.numbered_words(pa.array(texts))
+    columns = [c.to_pylist() for c in line_dedup.line_columns(words, number, counts, 20)]
+    for n, (hashes, sizes, numbers, seeds, tails, marks) in enumerate(zip(*columns)):
+        own, at = words[counts[n]:counts[n + 1]], number[counts[n]:counts[n + 1]]
+        lines = [own[at == k] for k in sorted(set(at.tolist()))]
+        assert numbers == sorted(set(at.tolist())) and sizes == [len(x) for x in lines]
+        assert hashes == [int(line_dedup.spans_of(x, np.array([0]), np.array([len(x)]))[0]) for x in lines]
+        ahead = list(line_dedup.runs(sizes, 20))
+
+        def hashed(a, b):
+            return int(line_dedup.spans_of(np.array(hashes[a:b]), np.array([0]), np.array([b - a]))[0])
+
+        assert seeds == [hashed(a, b) for a, b in ahead]
+        behind = [(max(a for a in range(e) if sum(sizes[a:e]) >= 20), e) for e in range(1, len(sizes) + 1) if sum(sizes[:e]) >= 20]
+        assert tails == [hashed(a, b) for a, b in behind if (a, b) not in ahead]
+        assert set(marks) == set(line_dedup.passage_marks(own).tolist())
+
+
+def test_words_know_their_lines():
+    import pyarrow as pa
+
+    odd = ["a b. c\nd", None, "", " x.  \n\n y!\tz \r\n w? ", ". a", "\n\na.\n", "é. ü", "a.b c\x0bd. \x0b e", "x."]
+    for text, (words, number) in zip(odd, line_dedup.worded_lines(pa.array(odd))):
+        lines = line_dedup.split_lines((text or "").encode())[0]
+        assert number.tolist() == [n for n, line in enumerate(lines) for _ in line.split()] and len(words) == len(number)
 
 
 def test_moved_and_repeated_passages(spark):
