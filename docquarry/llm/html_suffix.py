@@ -385,4 +385,4 @@ def extracted(pages: DataFrame, s: Settings = Settings(), url: str = "url", html
                           for page, g, t in zip(htmls, gone, sure)], dtype=object)
 
     text = F.pandas_udf(run, "string")(F.col(html), F.col("_gone"), F.col("_sure"))
-    return met.select(*columns, text.alias("text")).withColumn("n_chars", F.length("text"))
+    return met.select(*columns, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
