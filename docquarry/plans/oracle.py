@@ -386,6 +386,9 @@ near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, v
     "index_sync": """
 SELECT vec_id, label, CASE WHEN label >= 7 THEN 'added' WHEN label = 0 AND embedding <> list_reverse(embedding) THEN 'updated' ELSE 'kept' END AS sync_action
 FROM embeddings""",
+    "synced_index_state": """
+        SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END AS INTEGER) AS label, len(embedding)::INT AS n
+        FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0""",
     "missing_index_rows": "SELECT vec_id, label FROM embeddings WHERE label >= 7",
     "latest_user_events": """
 SELECT user_id, event_id, event_type, value FROM events

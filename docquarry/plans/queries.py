@@ -10,13 +10,13 @@ from collections.abc import Callable
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docquarry import config as cf
 from docquarry.functions import html as hx, text as tx
 from docquarry.functions.models import text_model
 from docquarry.operators import (
-    chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering)
+    bucketed_index, chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering)
 from docquarry.operators.retrieval import VectorTable, dimension_check, similarity_topk, similarity_topk_approx
 from docquarry.plans import answering, evaluation
 from docquarry.plans.answering import Gate, Models
@@ -279,6 +279,29 @@ def index_sync(spark: SparkSession, folder: str) -> DataFrame:
     return index.sync_index(source, outdated, "vec_id").select("vec_id", "label", "sync_action")
 
 
+def synced_index_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors in a stored index after additions, updates, deletions, a repeated batch and changes that come late."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.lit(1).cast("long").alias("version"), "label", "embedding")
+    stored = bucketed_index.BucketedIndex(shared_path(spark), rows.schema, "vec_id", "version")
+    key = F.col("vec_id")
+    gone = key % 11 == 0
+    stored.apply(rows.where(key % 5 != 0).withColumn("deleted", F.lit(False)), 0)
+    changes = (rows.where((key % 5 == 0) | (key % 7 == 0) | gone).withColumn("version", F.lit(2).cast("long")).withColumn("deleted", gone)
+               .withColumn("label", changes_label(key, F.col("label")).cast(rows.schema["label"].dataType)))
+    stored.apply(changes, 1)
+    stored.apply(changes, 1)
+    late = rows.where(gone).withColumn("deleted", F.lit(False))
+    stored.apply(late.unionByName(rows.where(key % 13 == 0).withColumn("version", F.lit(3).cast("long")).withColumn("deleted", F.lit(True))), 2)
+    # A change feed that is found by comparing the source with the index.
+    source = rows.where(~gone & (key % 13 != 0) & (key % 17 != 0)).withColumn("label", changes_label(key, F.col("label")).cast(rows.schema["label"].dataType))
+    stored.apply(stored.differences(source), 3)
+    return stored.snapshot(spark).select("vec_id", "label", F.size("embedding").alias("n"))
+
+
+def changes_label(key: Column, label: Column) -> Column:
+    return F.when(key % 7 == 0, label + 100).otherwise(label)
+
+
 def missing_index_rows(spark: SparkSession, folder: str) -> DataFrame:
     source = table(spark, folder, "embeddings").select("vec_id", "label")
     return index.missing_from_index(source, source.where("label < 7"), "vec_id")
@@ -699,7 +722,7 @@ QUERIES: dict[str, Query] = {
         chunk_sweep, document_token_counts, json_fields, turn_prompts, parsed_labels, page_file_names, escaped_turns,
         version_checks, source_table_names,
         document_embeddings, nearest_vectors, nearest_neighbour, nearest_above_score, nearest_vectors_tiled,
-        nearest_vectors_approx, index_sync, missing_index_rows, latest_user_events, dimension_counts,
+        nearest_vectors_approx, index_sync, synced_index_state, missing_index_rows, latest_user_events, dimension_counts,
         last_questions, last_user_questions, dialog_history, rendered_history, transcripts, gate_labels,
         rewritten_queries, appended_turns, resolved_sources, source_link_lists,
         cloze_eval_set,
