@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import broadcast_if_small, same_keys
+from docquarry.llm.common import broadcast_if_small, same_keys, slices
 from docquarry.llm.components import connected
 from docquarry.llm.shingles import mixed, shingle_sets
 from docquarry.session import materialize
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, p: NearDup, doc: str = "doc_id", text: str = "
     own = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, k1, k2, bands = [], [], [], []
             for s in shingle_sets(batch.column(1), p.words):
                 n.append(len(s))
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: NearDup, doc: str, text: str) -
     own = own.select("text", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = list(shingle_sets(batch.column(0), p.words))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([signature(s, p.length).tobytes() for s in found], pa.binary()),
