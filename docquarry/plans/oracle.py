@@ -389,6 +389,8 @@ FROM embeddings""",
     "synced_index_state": """
         SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END AS INTEGER) AS label, len(embedding)::INT AS n
         FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0""",
+    "stored_index_search": _with(
+        VECTORS + "," + nearest(cf.RETRIEVAL_K, "vec_id % 50 = 0 AND vec_id_hit % 11 <> 0"), "SELECT vec_id, vec_id_hit, rank, score FROM near"),
     "missing_index_rows": "SELECT vec_id, label FROM embeddings WHERE label >= 7",
     "latest_user_events": """
 SELECT user_id, event_id, event_type, value FROM events

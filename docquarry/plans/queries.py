@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 import json
+from math import ceil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -16,7 +17,7 @@ from docquarry import config as cf
 from docquarry.functions import html as hx, text as tx
 from docquarry.functions.models import text_model
 from docquarry.operators import (
-    bucketed_index, chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering)
+    bucketed_index, cell_index, chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering)
 from docquarry.operators.retrieval import VectorTable, dimension_check, similarity_topk, similarity_topk_approx
 from docquarry.plans import answering, evaluation
 from docquarry.plans.answering import Gate, Models
@@ -30,6 +31,8 @@ SWEEP = ((100, 10), (200, 20), (350, 10), (350, 50))
 # Subject area of the test conversations: common words of one of their four languages.
 GATE = Gate(terms=("the", "and", "that", "with", "for", "from", "was", "this", "are", "have"), min_hits=2)
 CELLS, PROBES = 16, 4
+# Rows a cell is made for, small enough to have many cells on the test data, and the share of them that is searched.
+CELL_ROWS, PROBED_SHARE = 8, 0.4
 # Small enough to have several tiles on the test data.
 TILE_ROWS = 125
 JOINER = "\n"
@@ -392,6 +395,39 @@ def _page_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return cited, known.withColumn("link", F.concat(F.lit("https://library.example/by name/"), "file_name"))
 
 
+def _cells_in_step(spark: SparkSession, folder: str) -> cell_index.CellIndex:
+    """An index of every vector, of which some came, changed or left after it was built."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    stored = cell_index.CellIndex(shared_path(spark), "vec_id", "embedding", DIM, rows.schema["vec_id"].dataType, cell_rows=CELL_ROWS)
+    key = F.col("vec_id")
+    turned = F.when(key % 7 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    stored.build(rows.where(key % 5 != 0).withColumn("embedding", turned))
+    changes = rows.where((key % 5 == 0) | (key % 7 == 0)).withColumn("deleted", F.lit(False))
+    for _ in range(2):
+        stored.apply(changes, 1)
+    stored.apply(rows.where(key % 11 == 0).withColumn("deleted", F.lit(True)), 2)
+    return stored
+
+
+def _asked_vectors(spark: SparkSession, folder: str) -> VectorTable:
+    return VectorTable(table(spark, folder, "embeddings").where("vec_id % 50 = 0"), ("vec_id",))
+
+
+def stored_index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A search of all cells of a stored index that was kept in step: the exact result."""
+    stored = _cells_in_step(spark, folder)
+    return stored.search(_asked_vectors(spark, folder), cf.RETRIEVAL_K, stored.centres(spark).count())
+
+
+def stored_index_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of a search of a share of the cells, against the exact search."""
+    stored = _cells_in_step(spark, folder)
+    asked = _asked_vectors(spark, folder)
+    exact = similarity_topk(asked, VectorTable(table(spark, folder, "embeddings").where("vec_id % 11 <> 0"), ("vec_id",)), cf.RETRIEVAL_K, DIM)
+    found = stored.search(asked, cf.RETRIEVAL_K, ceil(PROBED_SHARE * stored.centres(spark).count()))
+    return cell_index.recall(found, exact, "vec_id", "vec_id_hit")
+
+
 def resolved_sources(spark: SparkSession, folder: str) -> DataFrame:
     return links.resolve_sources(*_page_links(spark, folder), key="page_id")
 
@@ -722,7 +758,7 @@ QUERIES: dict[str, Query] = {
         chunk_sweep, document_token_counts, json_fields, turn_prompts, parsed_labels, page_file_names, escaped_turns,
         version_checks, source_table_names,
         document_embeddings, nearest_vectors, nearest_neighbour, nearest_above_score, nearest_vectors_tiled,
-        nearest_vectors_approx, index_sync, synced_index_state, missing_index_rows, latest_user_events, dimension_counts,
+        nearest_vectors_approx, index_sync, synced_index_state, stored_index_search, stored_index_recall, missing_index_rows, latest_user_events, dimension_counts,
         last_questions, last_user_questions, dialog_history, rendered_history, transcripts, gate_labels,
         rewritten_queries, appended_turns, resolved_sources, source_link_lists,
         cloze_eval_set,
