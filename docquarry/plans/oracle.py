@@ -440,6 +440,14 @@ long AS (UNPIVOT answer_table ON {', '.join(ANSWER_METRICS)} INTO NAME metric VA
 SELECT metric, count(*) AS n, round(avg(score), 6) AS mean, round(var_pop(score), 6) AS variance,
   round(quantile_cont(score, 0.9), 6) AS p90 FROM long GROUP BY metric"""),
     "component_eval_table": _with(COMPONENT_TABLE, "SELECT * FROM component_table"),
+    "judged_components": _with(COMPONENT_TABLE, "SELECT *, 0 AS n_failed FROM component_table"),
+    "regenerated_relevancy": _with(
+        PAIRS + "," + embedded("pair_vec", "pairs", QA_KEYS, "question") + """,
+asked_anew AS (SELECT conv_id, turn, i, i || ' ' || expected_answer AS made FROM pairs, range(1, 4) AS r(i) WHERE trim(expected_answer) <> ''),"""
+        + embedded("made_vec", "asked_anew", QA_KEYS + ", i", "made") + f""",
+compared AS (SELECT conv_id, turn, avg({cosine_value('q', 'm')}) AS mean, count(*)::INTEGER AS n
+       FROM pair_vec q JOIN made_vec m USING (conv_id, turn) GROUP BY ALL)""",
+        "SELECT conv_id, turn, coalesce(round(mean, 6), 0.0::DOUBLE) AS answer_relevancy, coalesce(n, 0) AS n_questions, 0 AS n_failed FROM pairs LEFT JOIN compared USING (conv_id, turn)"),
     "evaluate_rag": _with(COMPONENT_TABLE, "SELECT " + ", ".join(
         f"round(avg({m}), 6) AS {m}" for m in _MEANS) + " FROM component_table"),
     "quality_distribution": "SELECT quality, count(*) AS n FROM labels GROUP BY quality",

@@ -17,7 +17,7 @@ from docquarry import config as cf
 from docquarry.functions import html as hx, text as tx
 from docquarry.functions.models import text_model
 from docquarry.operators import (
-    bucketed_index, cell_index, chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering)
+    bucketed_index, cell_index, chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering, verdicts)
 from docquarry.operators.retrieval import VectorTable, dimension_check, similarity_topk, similarity_topk_approx
 from docquarry.plans import answering, evaluation
 from docquarry.plans.answering import Gate, Models
@@ -498,6 +498,34 @@ def evaluate_rag(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.evaluate_rag(_eval_rows(spark, folder))
 
 
+def overlap_judge(pairs: list[tuple[str, str]]) -> list[str]:
+    """Stand-in for a judge: yes if the evidence has at least half of the statement's distinct words."""
+    import regex
+
+    def distinct(text: str) -> set[str]:
+        return set(regex.findall(r"[\p{L}\p{N}]+", text.lower()))
+
+    split = [(distinct(s), distinct(e)) for s, e in pairs]
+    return ["Yes." if s and len(s & e) >= cm.SUPPORT * len(s) else "No." for s, e in split]
+
+
+def numbered_question(answers: list[tuple[str, str]]) -> list[str]:
+    """Stand-in for a model that asks several questions about an answer."""
+    return [f"{number} {answer}" for answer, number in answers]
+
+
+def judged_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Component metrics from verdicts by statement."""
+    metrics, _ = verdicts.judged_component_metrics(_eval_rows(spark, folder), ["conv_id", "turn"], overlap_judge)
+    return metrics.select("conv_id", "turn", *cm.COMPONENT_METRICS, F.col("n_failed").cast("int").alias("n_failed"))
+
+
+def regenerated_relevancy(spark: SparkSession, folder: str) -> DataFrame:
+    """Answer relevancy of the given replies over questions that are asked anew from them."""
+    rows = questions(spark, folder).select("conv_id", "turn", "question", F.col("expected_answer").alias("answer"))
+    return verdicts.regenerated_relevancy(rows, ["conv_id", "turn"], numbered_question)
+
+
 def quality_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return mt.score_distribution(table(spark, folder, "labels"), "quality")
 
@@ -763,7 +791,7 @@ QUERIES: dict[str, Query] = {
         rewritten_queries, appended_turns, resolved_sources, source_link_lists,
         cloze_eval_set,
         document_readability, document_toxicity, harmfulness, turn_professionalism, predicted_answers, rag_eval_rows,
-        answer_eval_table, answer_eval_summary, component_eval_table, evaluate_rag, quality_distribution,
+        answer_eval_table, answer_eval_summary, component_eval_table, evaluate_rag, judged_components, regenerated_relevancy, quality_distribution,
         token_histogram, toxicity_scatter, toxicity_quality, toxicity_correlation, label_context_precision,
         label_mate_similarity,
         latest_versions, run_ranking, missing_responses, log_completeness, replayed_questions,
