@@ -51,14 +51,38 @@ def ranked_within(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
 BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, width: Column, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcasting if its rows, of ``width`` bytes each, are below the bound.
+def fits(df: DataFrame, width: Column, bound: int | None = None) -> bool:
+    """Whether the rows of ``df``, of ``width`` bytes each, are within the bound for sending to all executors.
 
-    Beyond it the join shuffles both sides and gives the same rows. ``df`` should be a written
-    table, since it is read twice.
+    ``df`` should be a written table, since it is read for this.
     """
     size = df.select(F.sum(width.cast("long")).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if size <= bound else df
+    return size <= (BROADCAST_BYTES if bound is None else bound)
+
+
+def broadcast_if_small(df: DataFrame, width: Column, bound: int | None = None) -> DataFrame:
+    """``df`` marked for broadcasting if it :func:`fits`.
+
+    Beyond the bound the join shuffles both sides and gives the same rows.
+    """
+    return F.broadcast(df) if fits(df, width, bound) else df
+
+
+#: Parts that the rows of a frequent key are dealt to when the table they look up is too large to send.
+SALTS = 16
+
+
+def lookup_join(rows: DataFrame, found: DataFrame, key: str, width: Column) -> DataFrame:
+    """``rows`` joined with the written table ``found`` on ``key``, which is not NULL and may be frequent in ``rows``.
+
+    ``found`` is sent to the executors if it :func:`fits`. Otherwise it is shuffled, each row ``SALTS`` times, and
+    the rows of one key go to as many partitions.
+    """
+    if fits(found, width):
+        return rows.join(F.broadcast(found), key)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
 #: Bytes of text that a task works on at a time; a longer text is a slice of its own.

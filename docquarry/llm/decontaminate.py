@@ -16,7 +16,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docquarry.functions.text import stage
-from docquarry.llm.common import broadcast_if_small, same_keys
+from docquarry.llm.common import fits, lookup_join, same_keys
 from docquarry.session import materialize
 
 WINDOW = 10
@@ -50,12 +50,17 @@ def item_windows(items: DataFrame, item: str, text: str, size: int) -> DataFrame
 
 
 def _rarest(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``token`` and ``offset`` of the word of each window that is rarest in ``docs``."""
+    """``token`` and ``offset`` of the word of each window that is rarest in ``docs``.
+
+    Words of documents are counted where they are met, before any shuffle, whether the vocabulary is sent or not.
+    """
     placed = windows.select("window", "n", F.posexplode(F.split("window", " ")).alias("offset", "token"))
     vocabulary = materialize(placed.select("token").distinct())
-    counted = (docs.select(F.explode_outer("_words").alias("token"))
-               .join(broadcast_if_small(vocabulary, F.octet_length("token") + 16), "token")
-               .groupBy("token").count())
+    met = docs.select(F.explode_outer("_words").alias("token"))
+    if fits(vocabulary, F.octet_length("token") + 16):
+        counted = met.join(F.broadcast(vocabulary), "token").groupBy("token").count()
+    else:
+        counted = met.groupBy("token").count().join(vocabulary, "token")
     rank = F.struct(F.coalesce("count", F.lit(0)), "token", "offset")
     first = placed.join(counted, "token", "left").groupBy("window", "n").agg(F.min(rank).alias("_first"))
     return first.select("window", "n", "_first.token", "_first.offset")
@@ -65,23 +70,45 @@ def occurrences(docs: DataFrame, windows: DataFrame, doc: str, text: str) -> Dat
     """Where windows occur: ``doc_id``, ``_hash`` (of the text), ``window``, ``start``, ``n``.
 
     For every row of ``docs`` there is one more row, whose ``window`` is empty and whose ``start``
-    is the number of words. It comes from the same pass.
+    is the number of words. While the windows can be sent to the executors, it comes from the same pass.
+    Beyond that only positions of words are shuffled, and the words of a document once.
     """
     split = stage(docs.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")),
                   {"_words": words(F.col("_text"))}).drop("_text")
-    tokens = _rarest(windows, split).select("token", "offset", "n", "window", F.split("window", " ").alias("_window"))
+    tokens = materialize(_rarest(windows, split).select("token", "offset", "n", "window"))
+    width = 2 * F.octet_length("window") + 128
+    start = F.col("_at") - F.col("offset")
+    within = (start >= 0) & (start + F.col("n") <= F.col("_size"))
+    if not fits(tokens, width):
+        return _shuffled(split, tokens, start, within, width)
     end = docs.sparkSession.range(1).select(
         F.lit(END).alias("token"), F.lit(0).alias("offset"), F.lit(0).alias("n"), F.lit("").alias("window"),
         F.array().cast("array<string>").alias("_window"))
-    tokens = broadcast_if_small(materialize(tokens.unionByName(end)), 2 * F.octet_length("window") + 128)
-    placed = split.select("doc_id", "_hash", "_words", F.posexplode_outer(F.concat("_words", F.array(F.lit(END)))).alias("_at", "token"))
-    start = F.col("_at") - F.col("offset")
-    within = (start >= 0) & (start + F.col("n") <= F.size("_words"))
-    found = placed.join(tokens, "token").where(
+    sent = tokens.withColumn("_window", F.split("window", " ")).unionByName(end)
+    placed = split.select("doc_id", "_hash", "_words", F.size("_words").alias("_size"),
+                          F.posexplode_outer(F.concat("_words", F.array(F.lit(END)))).alias("_at", "token"))
+    found = placed.join(F.broadcast(sent), "token").where(
         F.when(within, F.slice("_words", start + 1, F.col("n")) == F.col("_window")).otherwise(F.lit(False)))
     return found.select("doc_id", "_hash", "window", start.alias("start"), "n")
 
 
+def _shuffled(split: DataFrame, tokens: DataFrame, start: Column, within: Column, width: Column) -> DataFrame:
+    """The same rows for a table of windows too large to send.
+
+    Places of words meet the windows of their word, spread over salts; those that fit by length and position are
+    verified after a join with the words of their document, which repeated rows have once.
+    """
+    keys = ["doc_id", "_hash"]
+    placed = split.select(*keys, F.size("_words").alias("_size"), F.posexplode("_words").alias("_at", "token"))
+    fitting = lookup_join(placed, tokens, "token", width).where(within).select(
+        *keys, "window", start.alias("start"), "n").distinct()
+    texts = split.groupBy(*keys).agg(F.any_value("_words").alias("_words"))
+    sure = fitting.join(texts, same_keys(fitting, texts, keys)).where(
+        F.slice("_words", F.col("start") + 1, F.col("n")) == F.split("window", " "))
+    ends = split.select(*keys, F.lit("").alias("window"), F.size("_words").alias("start"), F.lit(0).alias("n"))
+    return sure.select(*[fitting[k] for k in keys], "window", "start", "n").unionByName(ends)
+
+
 def _covered(spans: Column) -> Column:
     """Number of positions that sorted (start, n) spans cover."""
     def add(seen: Column, span: Column) -> Column:
@@ -109,8 +136,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, doc:
     longest = hits.groupBy(*keys, "start").agg(F.max("n").alias("n"))
     spans = longest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("_spans"))
     words_hit = spans.select(*keys, _covered(F.col("_spans")).cast("long").alias("n_hit"))
-    names = broadcast_if_small(own.select("window", "item"), F.octet_length("window") + F.octet_length("item") + 32)
-    met = hits.select(*keys, "window").distinct().join(names, "window").select(*keys, "item").distinct()
+    width = F.octet_length("window") + F.octet_length("item") + 32
+    met = lookup_join(hits.select(*keys, "window").distinct(), own.select("window", "item"), "window", width).select(*keys, "item").distinct()
     listed = met.groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("_items"))
     items_hit = listed.select(*keys, F.size("_items").cast("long").alias("n_items"), F.array_join("_items", ",").alias("_joined"))
     both = words_hit.join(items_hit, same_keys(words_hit, items_hit, keys)).select(
