@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+import time
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+OBSERVED = "log_rows"
 
 
 def latest_version(runs: DataFrame, name: str, version: str) -> DataFrame:
@@ -30,3 +34,33 @@ def log_completeness(requests: DataFrame, log: DataFrame, key: Sequence[str]) ->
         F.count(F.lit(1)).alias("n_requests"),
         F.count("_seen").alias("n_answered"),
     ).withColumn("complete", F.col("n_requests") == F.col("n_answered"))
+
+
+def observed(stream: DataFrame) -> DataFrame:
+    """``stream`` with a count of its rows that each micro-batch reports; see :func:`wait_for_rows`."""
+    return stream.observe(OBSERVED, F.count(F.lit(1)).alias("n"))
+
+
+def wait_for_rows(query: StreamingQuery, expected: int, seconds: float, poll: float = 0.2) -> int:
+    """Rows the running ``query`` has reported once they are ``expected``, it has ended or ``seconds`` are over.
+
+    Only reported counts are read, not the log. Progress is taken by batch, so a batch seen twice counts once. Spark
+    keeps as many reports as ``spark.sql.streaming.numRecentProgressUpdates`` says; poll more often than these pass.
+    """
+    stop = time.monotonic() + seconds
+    seen: dict[int, int] = {}
+    while True:
+        running = query.isActive
+        for progress in query.recentProgress:
+            row = progress.observedMetrics.get(OBSERVED)
+            if row is not None:
+                seen[progress.batchId] = max(seen.get(progress.batchId, 0), row["n"] or 0)
+        total = sum(seen.values())
+        if total >= expected or not running or time.monotonic() >= stop:
+            return total
+        time.sleep(poll)
+
+
+def missing_keys(requests: DataFrame, log: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of requests without a row in the log; a key with a NULL is always missing."""
+    return requests.select(*key).distinct().join(log.select(*key), list(key), "left_anti")

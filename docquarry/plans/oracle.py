@@ -524,4 +524,19 @@ FROM (SELECT *, (length(question) + length(expected_answer)) % 5 + 1 AS points F
     "unusable_vectors": """
 SELECT q.vec_id, c.vec_id AS hit, q.label <= 2 AS unusable FROM embeddings q JOIN embeddings c ON c.label > 2
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.vec_id) = 1""",
+    "stored_eval_replies": _with(windows(cf.EVALSET_CHUNK_SIZE, cf.EVALSET_CHUNK_OVERLAP) + """,
+spoken AS (SELECT DISTINCT content FROM chunks JOIN documents USING (doc_id) WHERE lang = 'en')""", """
+SELECT doc_id, chunk_no, CASE WHEN length(content) % 7 <> 0 THEN left(content, 20) END AS question,
+  CASE WHEN length(content) % 7 <> 0 THEN left(content, 20) || '!' END AS answer,
+  CASE WHEN length(content) % 7 = 0 THEN 'ValueError: unlucky length' END AS error,
+  CASE WHEN length(content) % 7 <> 0 AND content IN (SELECT content FROM spoken) THEN 1 ELSE 2 END::INTEGER AS reply_batch FROM chunks"""),
+    "numbered_appends": _with(CHUNKS, """
+SELECT c.doc_id, chunk_no, row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, c.doc_id, chunk_no) AS id
+FROM chunks c JOIN documents d ON c.doc_id = d.doc_id"""),
+    "awaited_log": """
+SELECT conv_id, turn, (SELECT count(*) FROM conversations WHERE role = 'assistant') AS n_log
+FROM conversations u WHERE role = 'user' AND NOT EXISTS (
+  SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')""",
+    "stream_head": "SELECT least(50, count(*)) AS n, least(50, count(*)) AS n_known FROM documents",
+    "rebuilt_labels": "SELECT doc_id, quality, toxic, true AS gone FROM labels",
 }

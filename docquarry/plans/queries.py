@@ -17,11 +17,12 @@ from docquarry import config as cf
 from docquarry.functions import html as hx, text as tx
 from docquarry.functions.models import text_model
 from docquarry.operators import (
-    bucketed_index, cell_index, chunking, component_metrics as cm, dialogs, evalset, index, links, metrics as mt, monitoring, numbering, verdicts)
+    bucketed_index, cell_index, chunking, component_metrics as cm, dialogs, evalset, identity, index, links, metrics as mt, monitoring, numbering,
+    replies, verdicts)
 from docquarry.operators.retrieval import VectorTable, dimension_check, similarity_topk, similarity_topk_approx
 from docquarry.plans import answering, evaluation
 from docquarry.plans.answering import Gate, Models
-from docquarry.session import ensure_parallelism, materialize, shared_path
+from docquarry.session import ensure_parallelism, materialize, remove_folder, shared_path
 from docquarry.sources import files, pages as pg, tables
 from docquarry.streaming import index_sync as index_sync_stream, ingest
 
@@ -752,6 +753,85 @@ def guarded_eval_set(spark: SparkSession, folder: str) -> DataFrame:
         bad.select("url", "chunk_no", "question", "answer", "error"))
 
 
+def no_model(rows: list) -> list:
+    """A model that must not be called."""
+    raise RuntimeError("no prompt should be sent")
+
+
+def stored_eval_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """An evaluation set made of stored replies: one language first, then all documents, then the last batch again
+    by models that would fail on every prompt."""
+    own = materialize(chunks(spark, folder, cf.EVALSET_CHUNK_SIZE, cf.EVALSET_CHUNK_OVERLAP).join(
+        documents(spark, folder).select("doc_id", "lang"), "doc_id"))
+    path = shared_path(spark)
+    replies.stored_eval_set(own.where("lang = 'en'"), "content", path, first_words, shouted, 1)
+    replies.stored_eval_set(own, "content", path, first_words, shouted, 2)
+    again = replies.stored_eval_set(own, "content", path, no_model, no_model, 2)
+    return again.select("doc_id", "chunk_no", "question", "answer", "error", "reply_batch")
+
+
+def numbered_appends(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks appended in three batches, the second of them twice, numbered without a gap."""
+    own = materialize(chunks(spark, folder).join(documents(spark, folder).select("doc_id", "lang"), "doc_id").select("lang", "doc_id", "chunk_no"))
+    kept = identity.NumberedTable(shared_path(spark), own.schema, ("doc_id", "chunk_no"))
+    second = own.where("lang = 'fr'")
+    for batch, rows in ((0, own.where("lang = 'en'")), (1, second), (1, second), (2, own.where("coalesce(lang, '') NOT IN ('en', 'fr')"))):
+        kept.append(rows, batch)
+    return kept.rows(spark).select("doc_id", "chunk_no", "id")
+
+
+def awaited_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions without a reply, after a wait for a log of replies that fills in two micro-batches."""
+    turns = conversations(spark, folder)
+    key = ["conv_id", "turn"]
+    asked = turns.where("role = 'user'").select(*key)
+    answered = materialize(turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn")))
+    source, log = shared_path(spark), shared_path(spark)
+    answered.where("turn < 2").coalesce(1).write.parquet(source)
+    answered.where("turn >= 2").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(answered.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (monitoring.observed(stream).writeStream.trigger(availableNow=True).option("checkpointLocation", shared_path(spark))
+             .format("parquet").start(log))
+    try:
+        seen = monitoring.wait_for_rows(query, answered.count(), 600)
+    finally:
+        query.stop()
+    return monitoring.missing_keys(asked, spark.read.schema(answered.schema).parquet(log), key).withColumn("n_log", F.lit(seen).cast("long"))
+
+
+def stream_head(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream that stops after fifty rows: how many came, and how many of these are documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    target = shared_path(spark)
+    ingest.drain_to_path(ingest.stream_parquet(spark, folder, docs.schema, "documents.parquet").limit(50), target, shared_path(spark))
+    came = spark.read.schema(docs.schema).parquet(target)
+    known = came.select("doc_id").distinct().join(docs, "doc_id", "left_semi")
+    return came.agg(F.count("*").alias("n")).crossJoin(F.broadcast(known.agg(F.count("*").alias("n_known"))))
+
+
+def rebuilt_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels streamed into a table, reset with their checkpoint, and streamed in anew; each step drained twice."""
+    labels = table(spark, folder, "labels")
+    database, checkpoint = f"reset_{uuid.uuid4().hex}", shared_path(spark)
+    name = f"{database}.labels"
+    before = spark.catalog.currentDatabase()
+    stream = ingest.stream_parquet(spark, folder, labels.schema, "labels.parquet")
+    gone = True
+    try:
+        for build in range(2):
+            tables.use_namespace(spark, database)
+            ingest.drain_to_table(stream, name, checkpoint)
+            ingest.drain_to_table(stream, name, checkpoint)
+            if build == 0:
+                spark.catalog.setCurrentDatabase(before)
+                tables.drop_database(spark, database)
+                gone = remove_folder(spark, checkpoint) and not tables.table_exists(spark, name)
+        return materialize(spark.table(name).select("doc_id", "quality", "toxic", F.lit(gone).alias("gone")))
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        tables.drop_database(spark, database)
+
+
 def judged_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of the given replies by judges and by a rubric of the caller."""
     rubric = mt.RubricMetric("tone", "d", {1: "low", 5: "high"}, mt.informality_score, prompt_length, template="{question}{answer}")
@@ -797,6 +877,6 @@ QUERIES: dict[str, Query] = {
         latest_versions, run_ranking, missing_responses, log_completeness, replayed_questions,
         streamed_chunks, streamed_index, streamed_eval_set,
         csv_eval_set, csv_without_id, stored_labels, streamed_files, fetch_log, threaded_model_turns, guarded_eval_set, judged_answers,
-        unusable_vectors,
+        unusable_vectors, stored_eval_replies, numbered_appends, awaited_log, stream_head, rebuilt_labels,
     )
 }

@@ -61,6 +61,18 @@ def remove_folder(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def committed_batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the folders ``batch=n`` that a finished write has left in ``folder``, in order."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    root = paths.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [entry.getPath() for entry in files.listStatus(root)]
+    return sorted(int(p.getName().removeprefix("batch=")) for p in found
+                  if p.getName().startswith("batch=") and files.exists(paths.Path(p, "_SUCCESS")))
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; frames built on it end there."""
     remove_folder(spark, _application_folder(spark))

@@ -10,6 +10,8 @@ from docquarry.plans.queries import QUERIES as REGISTERED
 
 QUERIES = {name: query for name, query in driver.queries().items() if name in REGISTERED}
 ORACLE = {name: sql for name, sql in driver.oracle_sql().items() if name in ORACLE_SQL}
+#: What a trained index finds cannot be written in SQL; it is held against the exact search below.
+WITHOUT_SQL = {"stored_index_recall"}
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +20,20 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE) == set(REGISTERED)
+    assert set(QUERIES) == set(REGISTERED) and set(ORACLE) == set(REGISTERED) - WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_same_rows(spark, duck, name):
     assert differences(QUERIES[name](spark, SF_SMALL), duck.sql(ORACLE[name])) == ""
 
 
+def test_recall_of_the_stored_index(spark, duck):
+    found = QUERIES["stored_index_recall"](spark, SF_SMALL).first()
+    assert found["n_exact"] == duck.sql(f"SELECT count(*) FROM ({ORACLE['stored_index_search']})").fetchall()[0][0]
+    assert found["recall"] >= 0.9
+
+
 def test_entry(spark):
     rows = driver.entry(spark)
     assert rows.columns == ["conv_id", "label", "result", "sources"]
