@@ -32,6 +32,9 @@ _BLOCK_CELLS = 1_000_000
 _PAIRS = 200_000
 _BATCH = 10_000
 _MANY_QUERIES = 128
+# Pairs of tiles per core, and bytes of a hit while a task holds it.
+_PAIRS_PER_CORE = 8
+_HIT_BYTES = 32
 
 
 @dataclass(frozen=True)
@@ -284,14 +287,23 @@ def similarity_topk(queries: VectorTable, corpus: VectorTable, k: int, dim: int,
     key_bytes = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in queries.key)
     counted = queries.df.agg(F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("bytes")).first()
     n_queries = counted["n"]
-    if n_queries * (dim * 8 + 32 * k) + (counted["bytes"] or 0) <= broadcast_bytes:
+    if n_queries * (dim * 8 + _HIT_BYTES * k) + (counted["bytes"] or 0) <= broadcast_bytes:
         local = _broadcast_topk(q.toArrow(), c, schema, search)
     else:
-        tile_rows = tile_rows or _default_tile_rows(dim)
-        local = _tiled_topk(q, c, schema, search, ceil(n_queries / tile_rows), ceil(corpus.df.count() / tile_rows))
+        cores = queries.df.sparkSession.sparkContext.defaultParallelism
+        n_corpus = corpus.df.count()
+        q_tiles = tile_count(n_queries, tile_rows or _BATCH, max(1, TILE_BYTES // (4 * dim + _HIT_BYTES * min(k, max(1, n_corpus)))), cores)
+        local = _tiled_topk(q, c, schema, search, q_tiles, tile_count(n_corpus, tile_rows or _BATCH, _default_tile_rows(dim), cores))
     return _finish(local, queries, corpus, k)
 
 
+def tile_count(rows: int, least: int, most: int, cores: int) -> int:
+    """Into how many tiles a side is cut. Its rows go to every tile of the other side, so there are only as many as
+    a tile of ``most`` rows and pairs of tiles for all cores ask for, and no tile is made for fewer than ``least`` rows."""
+    spread = ceil((_PAIRS_PER_CORE * cores) ** 0.5)
+    return max(1, ceil(rows / most), min(ceil(rows / least), spread))
+
+
 def _broadcast_topk(head: pa.Table, c: DataFrame, schema: T.StructType, search: _Search) -> DataFrame:
     shared = c.sparkSession.sparkContext.broadcast(head)
     arrow = _arrow_schema(schema)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from docquarry.operators import retrieval
 from docquarry.operators.retrieval import (
-    VectorTable, dimension_check, pick_centroids, similarity_topk, similarity_topk_approx)
+    VectorTable, dimension_check, pick_centroids, similarity_topk, similarity_topk_approx, tile_count)
 
 DIM = 4
 
@@ -178,3 +179,20 @@ def test_a_wrong_dimension_is_an_error(spark):
     table = VectorTable(spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>"), ("id",))
     with pytest.raises(ValueError, match="no vector has dimension 3"):
         similarity_topk(table, table, 1, 3)
+
+
+def test_tiles_are_bounded_by_memory_and_cores_not_by_small_tiles():
+    # Each side is copied to every tile of the other one: sixty times the rows must not be copied sixty times as often.
+    assert tile_count(2_000, 125, 262_144, 8) == tile_count(600_000, 125, 262_144, 8) == 8
+    assert tile_count(10, 125, 262_144, 8) == 1 and tile_count(0, 125, 262_144, 8) == 1 and tile_count(300, 125, 262_144, 8) == 3
+    assert tile_count(10_000_000, 125, 100_000, 8) == 100
+
+
+def test_tiles_hold_no_more_hits_than_their_bytes(spark, monkeypatch):
+    queries, corpus = random_vectors(60, "q", 5), random_vectors(90, "c", 6)
+    q, c = sides(spark, queries, corpus)
+    seen, tiled = [], retrieval._tiled_topk
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 16 * 1024)
+    monkeypatch.setattr(retrieval, "_tiled_topk", lambda *a: seen.append(a[4:]) or tiled(*a))
+    assert rows(similarity_topk(q, c, 40, DIM, broadcast_bytes=0)) == brute_force(queries, corpus, 40)
+    assert seen == [(5, 1)]
