@@ -198,8 +198,14 @@ class CellIndex:
         return similarity_topk(queries, centres, n_probe, self.dim).select(*queries.key, "cell")
 
     def search(self, queries: VectorTable, k: int, n_probe: int, *, exclude_same: bool = False, tile_rows: int | None = None) -> DataFrame:
-        """As :func:`~docquarry.operators.retrieval.similarity_topk`, among the rows of each query's ``n_probe`` nearest cells."""
+        """As :func:`~docquarry.operators.retrieval.similarity_topk`, among the rows of each query's ``n_probe`` nearest cells.
+
+        All cells need no probes.
+        """
         spark = queries.df.sparkSession
+        n_cells = self.centres(spark).count()
+        if n_probe >= n_cells:
+            return similarity_topk(queries, VectorTable(self.rows(spark), (self.key,), self.vector), k, self.dim, exclude_same=exclude_same, tile_rows=tile_rows)
         tile_rows = tile_rows or _default_tile_rows(self.dim)
         probes = materialize(self.probes(queries, n_probe))
         listed = [r["cell"] for r in probes.select("cell").distinct().limit(LISTED_CELLS + 1).collect()]

@@ -141,3 +141,13 @@ def test_empty_tables(spark, tmp_path):
     assert stored.search(asked, 3, 4).count() == 0
     assert stored.apply(table(spark, np.eye(DIM)).withColumn("deleted", F.lit(False)), 1)
     assert stored.search(asked, 1, 4).count() == DIM and stored.search(VectorTable(none, ("id",), "v"), 1, 4).count() == 0
+
+
+def test_all_cells_are_searched_without_probes(spark, tmp_path, monkeypatch):
+    rows = table(spark, clustered(300, 10, 6))
+    stored = index(tmp_path, cell_rows=5)
+    stored.build(rows)
+    asked = VectorTable(rows.where("id % 3 = 0"), ("id",), "v")
+    monkeypatch.setattr(CellIndex, "probes", lambda *a: pytest.fail("a row per query and cell"))
+    exact = similarity_topk(asked, VectorTable(rows, ("id",), "v"), 3, DIM)
+    assert hits(stored.search(asked, 3, stored.centres(spark).count())) == hits(exact)
