@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from docquarry.operators.retrieval import (
     BROADCAST_BYTES, VectorTable, _cogrouped, _default_tile_rows, _finish, _key_names, _local_schema, _matrix, _norms, _Search, _unit,
-    dimension_check, similarity_topk, with_nearest_cells)
+    dimension_check, reached_topk, similarity_topk, with_nearest_cells)
 from docquarry.session import materialize
 
 #: Rows of the sample per centre, centres that are trained on one sample, and bytes of a sample.
@@ -32,6 +32,8 @@ ROUNDS = 10
 SPLITS = 4
 #: Beyond this many probed cells the join with the probes alone selects the files.
 LISTED_CELLS = 10_000
+#: From this share of the cells, and beyond the broadcast bound for the probes, one scan serves all queries.
+SCANNED_SHARE = 0.1
 _CENTRES = "cell string, centre array<double>"
 
 
@@ -200,12 +202,15 @@ class CellIndex:
     def search(self, queries: VectorTable, k: int, n_probe: int, *, exclude_same: bool = False, tile_rows: int | None = None) -> DataFrame:
         """As :func:`~docquarry.operators.retrieval.similarity_topk`, among the rows of each query's ``n_probe`` nearest cells.
 
-        All cells need no probes.
+        All cells need no probes. A large share of them for many queries is read in one scan, in which no probe is a row.
         """
         spark = queries.df.sparkSession
         n_cells = self.centres(spark).count()
         if n_probe >= n_cells:
             return similarity_topk(queries, VectorTable(self.rows(spark), (self.key,), self.vector), k, self.dim, exclude_same=exclude_same, tile_rows=tile_rows)
+        if n_probe >= SCANNED_SHARE * n_cells and self._scanned(queries, k, n_probe, n_cells):
+            return reached_topk(queries, VectorTable(self.rows(spark), (self.key,), self.vector), self.centres(spark), n_probe, k, self.dim,
+                                exclude_same=exclude_same)
         tile_rows = tile_rows or _default_tile_rows(self.dim)
         probes = materialize(self.probes(queries, n_probe))
         listed = [r["cell"] for r in probes.select("cell").distinct().limit(LISTED_CELLS + 1).collect()]
@@ -228,6 +233,13 @@ class CellIndex:
         local = _cogrouped(q_side.drop("_qn", "_cn"), c_side.drop("_qn", "_cn"), ["cell", "_qt", "_ct"], schema, search)
         return _finish(local, queries, corpus, k)
 
+    def _scanned(self, queries: VectorTable, k: int, n_probe: int, n_cells: int) -> bool:
+        """Whether probes with their vectors are too many to be sent, and queries and centres are not."""
+        key_bytes = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in queries.key)
+        n, held = queries.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(key_bytes), F.lit(0))).first()
+        sent = n * (self.dim * 8 + 32 * k) + held
+        return n * n_probe * (self.dim * 4 + 64) > BROADCAST_BYTES >= max(sent, n_cells * (self.dim * 8 + 64))
+
 
 def recall(found: DataFrame, exact: DataFrame, query: str, hit: str) -> DataFrame:
     """One row: ``n_exact`` hits of the exact search, ``n_found`` of them found, and the ``recall``."""

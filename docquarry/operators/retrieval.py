@@ -94,6 +94,20 @@ def _scaled_cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return _scaled(q @ c.T, np.outer(_norms(q), _norms(c)))
 
 
+def centre_ranks(m: np.ndarray, centres: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Whole numbers that order the centres by their nearness to each row, equal scores by position; of those ``at`` some positions or all."""
+    at = np.arange(len(centres)) if at is None else at
+    return at - _scaled_cosines(m, centres[at]) * len(centres)
+
+
+@dataclass(frozen=True)
+class Reach:
+    """The centres that each query looks at: those of a rank, as of :func:`centre_ranks`, up to its limit."""
+
+    limits: np.ndarray
+    centres: np.ndarray
+
+
 def _place(ordered: np.ndarray) -> np.ndarray:
     """Position of each element within its run of equal elements."""
     return np.arange(len(ordered)) - np.searchsorted(ordered, ordered)
@@ -128,35 +142,44 @@ def _first_copies(c: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Running:
-    """The best k corpus rows per query among all batches compared so far."""
+    """The best k corpus rows per query among all batches compared so far.
 
-    def __init__(self, keys: pa.Table, vectors: np.ndarray, search: _Search):
+    With a ``reach`` a query is compared only with rows whose centre it looks at.
+    """
+
+    def __init__(self, keys: pa.Table, vectors: np.ndarray, search: _Search, reach: Reach | None = None):
         usable = _finite(vectors)
         keys, vectors = keys.filter(pa.array(usable)), vectors[usable]
         self.keys, self.q, self.search = keys, vectors, search
+        self.reach = None if reach is None else Reach(reach.limits[usable], reach.centres)
         self.norms = _norms(vectors)
         self.unit = _unit(vectors, self.norms) * np.float32(_SCORE_UNIT)
         # Score of the k-th hit; a query with fewer hits accepts anything.
         self.bar = np.full(len(vectors), -np.inf)
         self.hits: pa.Table | None = None
 
-    def add(self, c_keys: pa.Table, c: np.ndarray) -> None:
+    def add(self, c_keys: pa.Table, c: np.ndarray, cells: np.ndarray | None = None) -> None:
+        """Compare with a batch; with a reach, ``cells`` are the positions of its rows' centres."""
         usable = _finite(c)
         c_keys, c = c_keys.filter(pa.array(usable)), c[usable]
         if not len(c) or not len(self.q):
             return
         # In key order, so that positions break ties.
         order = pc.sort_indices(c_keys, sort_keys=[(n, "ascending") for n in c_keys.column_names]).to_numpy()
+        if cells is not None:
+            cells = cells[usable]
         if len(self.q) >= _MANY_QUERIES:
-            order = order[_first_copies(c[order], self._wanted)]
+            # Copies in different cells do not stand for one another.
+            order = order[_first_copies(c[order] if cells is None else np.column_stack([c[order], cells[order]]), self._wanted)]
         c_keys, c = c_keys.take(pa.array(order)), c[order]
+        held = None if cells is None else np.unique(cells[order], return_inverse=True)
         norms = _norms(c)
         unit = _unit(c, norms)
         step = max(1, _BLOCK_CELLS // max(1, len(c)))
         found = [] if self.hits is None else [self.hits]
         rows, cols, n = [], [], 0
         for at in range(0, len(self.q), step):
-            r, j = self._preselect(at, min(at + step, len(self.q)), unit)
+            r, j = self._preselect(at, min(at + step, len(self.q)), unit, held)
             rows.append(r)
             cols.append(j)
             n += len(r)
@@ -170,9 +193,12 @@ class _Running:
         """One hit more than k is needed if the row itself may be among them."""
         return self.search.k + self.search.exclude_same
 
-    def _preselect(self, lo: int, hi: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that may be among the best, with some that are not."""
+    def _preselect(self, lo: int, hi: int, unit: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be among the best, with some that are not. ``held`` are the cells of the batch and each row's place among them."""
         near = self.unit[lo:hi] @ unit.T
+        if held is not None:
+            within = centre_ranks(self.q[lo:hi], self.reach.centres, held[0]) <= self.reach.limits[lo:hi, None]
+            near[~within[:, held[1]]] = -np.inf
         bar = self.bar[lo:hi].copy()
         open_rows = np.flatnonzero(np.isneginf(bar))
         n = near.shape[1]
@@ -180,7 +206,8 @@ class _Running:
             bar[open_rows] = np.partition(near[open_rows], n - self._wanted, axis=1)[:, n - self._wanted]
         if self.search.floor_units is not None:
             bar = np.maximum(bar, self.search.floor_units)
-        found = np.flatnonzero(near >= (bar - self.search.margin).astype(np.float32)[:, None])
+        likely = near >= (bar - self.search.margin).astype(np.float32)[:, None]
+        found = np.flatnonzero(likely if held is None else likely & (near > -np.inf))
         rows, cols = np.divmod(found, n)
         return lo + rows, cols
 
@@ -304,17 +331,20 @@ def tile_count(rows: int, least: int, most: int, cores: int) -> int:
     return max(1, ceil(rows / most), min(ceil(rows / least), spread))
 
 
-def _broadcast_topk(head: pa.Table, c: DataFrame, schema: T.StructType, search: _Search) -> DataFrame:
-    shared = c.sparkSession.sparkContext.broadcast(head)
+def _broadcast_topk(head: pa.Table, c: DataFrame, schema: T.StructType, search: _Search, reach: Reach | None = None,
+                    cell_names: pa.Array | None = None) -> DataFrame:
+    """With a ``reach``, the corpus rows have the name of their ``cell``, one of ``cell_names``, which lie as its centres do."""
+    shared = c.sparkSession.sparkContext.broadcast((head, reach, cell_names))
     arrow = _arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        running = _Running(queries.select(search.q_names), _matrix(queries["qvec"], search.dim), search)
+        queries, reach, names = shared.value
+        running = _Running(queries.select(search.q_names), _matrix(queries["qvec"], search.dim), search, reach)
         for batch in batches:
             if len(batch) and len(queries):
                 table = pa.Table.from_batches([batch])
-                running.add(table.select(search.c_names), _matrix(table["cvec"], search.dim))
+                cells = None if reach is None else pc.index_in(table["cell"].combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+                running.add(table.select(search.c_names), _matrix(table["cvec"], search.dim), cells)
         if running.hits is not None and len(running.hits):
             yield from _typed(running.result(), arrow).to_batches()
 
@@ -347,6 +377,43 @@ def _cogrouped(q_side: DataFrame, c_side: DataFrame, on: list[str], schema: T.St
     return q_side.groupBy(*on).cogroup(c_side.groupBy(*on)).applyInArrow(compare, schema)
 
 
+def reached_topk(queries: VectorTable, corpus: VectorTable, centres: DataFrame, n_probe: int, k: int, dim: int, *,
+                 exclude_same: bool = False) -> DataFrame:
+    """As :func:`similarity_topk`, among the corpus rows in each query's ``n_probe`` nearest cells, in one scan.
+
+    The corpus has a column ``cell``, ``centres`` have ``cell`` and ``centre``. No pair of query and cell becomes a row: with a
+    query goes the rank of its last cell, and a task compares a query with those of its rows whose cell is within. Queries and
+    centres must fit the broadcast bound.
+    """
+    named = centres.orderBy("cell").toArrow()
+    matrix, names = _matrix(named["centre"], dim), named["cell"].combine_chunks()
+    q, c = queries.vectors(dim, "q"), corpus.vectors(dim, "c")
+    search = _Search(k, dim, exclude_same, None, _key_names(q, "qvec"), _key_names(c, "cvec"))
+    head = _with_limits(q, matrix, n_probe, dim).toArrow()
+    reach = Reach(head["_limit"].to_numpy(), matrix)
+    # The cell is read beside the vector, which cannot be staged anew here: it is a stored column.
+    keyed = corpus.df.select(*[F.col(name).alias(f"c{i}") for i, name in enumerate(corpus.key)], F.col(corpus.vector).alias("cvec"), "cell")
+    local = _broadcast_topk(head, keyed.where(F.size("cvec") == dim), _local_schema(q, c), search, reach, names)
+    return _finish(local, queries, corpus, k)
+
+
+def _with_limits(q: DataFrame, centres: np.ndarray, n: int, dim: int) -> DataFrame:
+    """Add ``_limit``, the rank of the n-th nearest centre of each query."""
+    shared = q.sparkSession.sparkContext.broadcast(centres)
+
+    def limit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        step = max(1, _BLOCK_CELLS // len(cells))
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                ranks = centre_ranks(np.nan_to_num(_matrix(batch["qvec"], dim)), cells)
+                yield batch.append_column("_limit", pa.array(np.partition(ranks, n - 1, axis=1)[:, n - 1]))
+
+    spread = q.repartition(q.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(limit, T.StructType([*q.schema.fields, T.StructField("_limit", T.LongType())]))
+
+
 def pick_centroids(corpus: VectorTable, n: int, dim: int) -> np.ndarray:
     """``n`` corpus vectors as cell centres, chosen by the hash of their key: a distributed top-n."""
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in corpus.key]))
@@ -363,12 +430,13 @@ def with_nearest_cells(df: DataFrame, vector: str, centroids: np.ndarray, n: int
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
+        norms = _norms(cells)
         step = max(1, _BLOCK_CELLS // max(1, len(cells)))
         for whole in batches:
             for at in range(0, len(whole), step):
                 batch = whole.slice(at, step)
                 m = np.nan_to_num(_matrix(batch.column(batch.schema.get_field_index(vector)), dim))
-                scaled = _scaled_cosines(m, cells)
+                scaled = _scaled(m @ cells.T, np.outer(_norms(m), norms))
                 # Unique ranks: equal scores count by cell number.
                 ranks = -scaled * len(cells) + np.arange(len(cells))
                 order = np.argpartition(ranks, n - 1, axis=1)[:, :n]

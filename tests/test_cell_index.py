@@ -151,3 +151,21 @@ def test_all_cells_are_searched_without_probes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(CellIndex, "probes", lambda *a: pytest.fail("a row per query and cell"))
     exact = similarity_topk(asked, VectorTable(rows, ("id",), "v"), 3, DIM)
     assert hits(stored.search(asked, 3, stored.centres(spark).count())) == hits(exact)
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_a_scan_of_many_probes_finds_what_the_probes_give(spark, tmp_path, monkeypatch, same):
+    points = [*clustered(600, 12, 7), *np.repeat(clustered(4, 4, 8), 20, axis=0), [0.0] * DIM]
+    rows = table(spark, points)
+    stored = index(tmp_path, cell_rows=10)
+    stored.build(rows)
+    stored.apply(table(spark, points[100:140], 100).withColumn("deleted", F.col("id") % 2 == 0), 1)
+    odd = spark.createDataFrame([(-1, [float("nan")] * DIM), (-2, None), (-3, [1.0])], rows.schema)
+    asked = VectorTable(rows.where("id % 3 = 0 OR id >= 600").unionByName(odd), ("id",), "v")
+    n = stored.centres(spark).count()
+    for share in (0.15, 0.4):
+        probed = hits(stored.search(asked, 4, int(n * share), exclude_same=same))
+        with monkeypatch.context() as patch:
+            patch.setattr(cell_index, "BROADCAST_BYTES", 80_000)
+            patch.setattr(CellIndex, "probes", lambda *a: pytest.fail("a row per query and cell"))
+            assert hits(stored.search(asked, 4, int(n * share), exclude_same=same)) == probed
