@@ -7,13 +7,16 @@ from bisect import bisect_left
 from itertools import accumulate
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docquarry.functions.text import BLANK_RUN, BLANKS, SENTENCE, words
 
 LengthFn = Callable[[list[str]], Sequence[int]]
 
+#: Texts of an Arrow batch, and their chunks, that are Python strings at a time.
+_TEXTS = 64
+
 _FULL_STOP = re.compile(r" ?\.")
 _SENTENCE = re.compile(SENTENCE)
 _BLANKS = re.compile(BLANK_RUN)
@@ -52,15 +55,17 @@ def pack_sentences(text: str, size: int, overlap: int, length_fn: LengthFn = _wh
 
 
 def sentence_chunker(size: int, overlap: int, length_fn: LengthFn = _whitespace_lengths, split_long: bool = False):
-    """Pandas UDF text -> ``array<string>``. A packing decision depends on all earlier ones, which
+    """Arrow UDF text -> ``array<string>``. A packing decision depends on all earlier ones, which
     built-in functions can only express as a far slower fold."""
 
-    @F.pandas_udf("array<string>")
-    def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def packed(text: str | None) -> list[str] | None:
+        return None if text is None else pack_sentences(text, size, overlap, length_fn, split_long)
+
+    @F.arrow_udf("array<string>")
+    def chunk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(
-                lambda t: None if t is None else pack_sentences(t, size, overlap, length_fn, split_long)
-            )
+            for at in range(0, len(batch), _TEXTS):
+                yield pa.array([packed(t) for t in batch.slice(at, _TEXTS).to_pylist()], pa.list_(pa.string()))
 
     return chunk
 

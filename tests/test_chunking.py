@@ -72,3 +72,12 @@ def test_windows_carry_keys_only_past_the_explode(spark):
     plan = chunking.chunk_tokens(df, "t", 2, 1, ["k"])._jdf.queryExecution().executedPlan().toString()
     generate = next(line for line in plan.splitlines() if "Generate" in line)
     assert "u#" not in generate and generate.count("split(") == 0
+
+
+def test_few_texts_of_a_batch_are_held_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts = [None if i % 7 == 0 else f"One {i}. Two {i}." for i in range(1000)]
+    parts = list(chunking.sentence_chunker(2, 0).func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(len(p) for p in parts) <= 64
+    assert [c for p in parts for c in p.to_pylist()] == [None if i % 7 == 0 else [f"One {i}.", f"Two {i}."] for i in range(1000)]
