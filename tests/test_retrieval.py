@@ -196,3 +196,18 @@ def test_tiles_hold_no_more_hits_than_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_tiled_topk", lambda *a: seen.append(a[4:]) or tiled(*a))
     assert rows(similarity_topk(q, c, 40, DIM, broadcast_bytes=0)) == brute_force(queries, corpus, 40)
     assert seen == [(5, 1)]
+
+
+def test_norms_and_unit_vectors_hold_no_second_matrix():
+    import tracemalloc
+
+    m = np.random.default_rng(0).normal(size=(60_000, 64))
+    m[7] = 0
+    tracemalloc.start()
+    norms = retrieval._norms(m)
+    assert tracemalloc.get_traced_memory()[1] < m.nbytes / 2
+    unit = retrieval._unit(m, norms)
+    assert tracemalloc.get_traced_memory()[1] < m.nbytes
+    tracemalloc.stop()
+    assert np.array_equal(norms, np.sqrt((m * m).sum(axis=1))) and unit.dtype == np.float32 and not unit[7].any()
+    assert np.array_equal(unit[8], (m[8] / norms[8]).astype(np.float32)) and retrieval._norms(m[:0]).shape == (0,)
