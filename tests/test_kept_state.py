@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from docquarry.operators import monitoring
+from docquarry.config import NO_ANSWER, NO_QUESTION
+from docquarry.operators import monitoring, replies
 from docquarry.operators.identity import NumberedTable
 from docquarry.operators.replies import StoredReplies, stored_eval_set
+from docquarry.plans import queries
 from docquarry.session import committed_batches, shared_path
 
 
@@ -89,6 +91,59 @@ def upper_pairs(pairs):
     return [question.upper() for _, question in pairs]
 
 
+def test_texts_are_not_written_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(replies, "materialize", lambda df, write=replies.materialize: written.append(df.columns) or write(df))
+    path = shared_path(spark)
+    rows = texts(spark, "x", "x", None, "", "bad y", "z").withColumn("_extra", F.lit(1))
+    stored_eval_set(rows.where("id < 5"), "text", path, guarded_asker, upper_pairs, 1)
+    made = stored_eval_set(rows, "text", path, asker, upper_pairs, 2)
+    assert written and not any("text" in columns or "prompt" in columns for columns in written)
+    assert made.columns == ["id", "text", "_extra", "question", "answer", "error", "reply_batch"]
+    assert {r["id"]: (r["question"], r["answer"], r["error"], r["reply_batch"]) for r in made.collect()} == {
+        0: ("x?", "X?", None, 1), 1: ("x?", "X?", None, 1), 2: ("?", "?", None, 1), 3: ("?", "?", None, 1),
+        4: ("bad y?", "BAD Y?", None, 2), 5: ("z?", "Z?", None, 2)}
+    more = stored_eval_set(texts(spark, "z", "new"), "text", path, unwanted, unwanted, 2)
+    assert {r["id"]: (r["question"], r["answer"]) for r in more.collect()} == {0: ("z?", "Z?"), 1: (NO_QUESTION, NO_ANSWER)}
+
+
+def guarded_asker(prompts):
+    if any("bad" in p for p in prompts):
+        raise ValueError("bad prompt")
+    return asker(prompts)
+
+
+def test_many_prompts_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(replies, "_FEW", 10)
+    monkeypatch.setattr(replies, "_TASK_BYTES", 1000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "often").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(
+            F.concat(F.lit("p"), F.floor(F.col("id") / 6))).alias("text"))
+        store, prompt = StoredReplies(shared_path(spark), "m"), [F.col("text")]
+        store.fill(rows.where("id < 300"), prompt, upper, 1)
+        new = store.unseen(rows, prompt)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" in plan
+        assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "LeftSemi" in x]
+        sent = [r["prompt"]["p0"] for r in new.collect()]
+        assert sorted(sent) == sorted(f"p{i}" for i in range(50, 1000))
+        out = store.replied(rows, prompt, upper, 2)
+        assert out.count() == 6000 and out.where("NOT reply <=> upper(text)").count() == 0 and store.stored(spark).count() == 1001
+        assert store._rows(spark).count() == 1001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_chunks_get_every_language_of_their_key(spark, tmp_path):
+    docs = [(1, "a b c d", "en"), (2, "e f", "fr"), (2, "g", "en"), (2, "g", None), (None, "h", "en"), (3, "i", None), (4, " ", "en"), (5, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.spoken_chunks(spark, str(tmp_path), 2, 0)
+    want = queries.chunks(spark, str(tmp_path), 2, 0).join(queries.documents(spark, str(tmp_path)).select("doc_id", "lang"), "doc_id").select(*got.columns)
+    assert got.count() == want.count() == 12 and got.exceptAll(want).count() == 0
+
+
 WORDS = T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.IntegerType())])
 
 
