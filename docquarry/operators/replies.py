@@ -201,13 +201,16 @@ def stored_eval_set(chunks: DataFrame, content: str, path: str, question_fn: Mod
     # A failed question is NULL, and so is the digest of what would be sent after it.
     key = _digest([F.lit(ANSWER_TEMPLATE), _hex("_digest"), F.col("question")])
     follows = asked.select(F.col("_digest").alias("_of"), key.alias("_digest"), "question", "_error", "_asked")
+    sent = follows.where("_digest IS NOT NULL")
     if batch not in answers.batches(spark):
-        new = answers._unreplied(follows.where("_digest IS NOT NULL").select("_digest", "_of", "question"))
+        new = answers._unreplied(sent.select("_digest", "_of", "question"))
         new = materialize(new.select(F.col("_of").alias("_digest"), F.col("_digest").alias("_follow"), "question"))
         texts = _one_each(keyed.select("_digest", F.col(content).alias("_text")), "_text", counts, new)
         follow = render_prompt(ANSWER_TEMPLATE, {"context": "_text", "question": "question"})
         answers._send(texts.select(_hex("_follow").alias("digest"), _struct([follow, F.col("question")]).alias("prompt")), 2, answer_fn, batch, threads)
-    done = follows.join(answers._latest(spark, follows.select("_digest")), "_digest", "left")
+    # Rows without a digest take no part in the join, where they would all be in one task.
+    done = sent.join(answers._latest(spark, sent.select("_digest")), "_digest", "left").unionByName(
+        follows.where("_digest IS NULL"), allowMissingColumns=True)
     failed = F.coalesce("_error", "error")
     kept = stage(done, {
         "answer": F.when(failed.isNull(), read_response("reply", "answer", NO_ANSWER)),

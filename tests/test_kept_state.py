@@ -99,6 +99,12 @@ def test_texts_are_not_written_again(spark, monkeypatch):
     stored_eval_set(rows.where("id < 5"), "text", path, guarded_asker, upper_pairs, 1)
     made = stored_eval_set(rows, "text", path, asker, upper_pairs, 2)
     assert written and not any("text" in columns or "prompt" in columns for columns in written)
+    first = stored_eval_set(rows.where("id < 5"), "text", path, unwanted, unwanted, 1)
+    assert {r["id"]: (r["question"], r["answer"], r["error"], r["reply_batch"]) for r in first.where("id > 2").collect()} == {
+        3: ("?", "?", None, 1), 4: ("bad y?", "BAD Y?", None, 2)}
+    failed = stored_eval_set(texts(spark, "bad", "fine"), "text", path, guarded_asker, upper_pairs, 3)
+    assert {(r["question"], r["answer"], r["error"], r["reply_batch"]) for r in failed.collect()} == {
+        (None, None, "ValueError: bad prompt", 3), ("fine?", "FINE?", None, 3)}
     assert made.columns == ["id", "text", "_extra", "question", "answer", "error", "reply_batch"]
     assert {r["id"]: (r["question"], r["answer"], r["error"], r["reply_batch"]) for r in made.collect()} == {
         0: ("x?", "X?", None, 1), 1: ("x?", "X?", None, 1), 2: ("?", "?", None, 1), 3: ("?", "?", None, 1),
