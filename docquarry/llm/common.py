@@ -68,6 +68,20 @@ def broadcast_if_small(df: DataFrame, width: Column, bound: int | None = None) -
     return F.broadcast(df) if fits(df, width, bound) else df
 
 
+#: Spark plans by the size of files, in which rows of numbers are far smaller than in the table that the driver builds to send them.
+SENT_BYTES = 8 << 20
+
+
+def outgrows(df: DataFrame, width: Column) -> bool:
+    """Whether the rows of the written table ``df`` are beyond what the driver is to hold of one table."""
+    return not fits(df, width, min(SENT_BYTES, BROADCAST_BYTES))
+
+
+def never_sent(df: DataFrame) -> DataFrame:
+    """``df``, whose joins shuffle both sides however small Spark takes it to be."""
+    return df.hint("shuffle_merge")
+
+
 #: Parts that the rows of a frequent key are dealt to when the table they look up is too large to send.
 SALTS = 16
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import broadcast_if_small, same_keys, slices
+from docquarry.llm.common import never_sent, outgrows, same_keys, slices
 from docquarry.llm.components import connected
 from docquarry.llm.shingles import mixed, shingle_sets
 from docquarry.session import materialize
@@ -130,7 +130,7 @@ def tiles(nodes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, p: NearDup, doc: str, text: str) -> DataFrame:
     """The columns of ``wanted``, each row with the signature and full shingle set of its node."""
     own = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).cast("binary").alias("text")).join(
-        broadcast_if_small(wanted, F.lit(48)), "node")
+        never_sent(wanted) if outgrows(wanted, F.lit(48)) else F.broadcast(wanted), "node")
     names, kinds = wanted.columns, ", ".join(f"{name} {kind}" for name, kind in wanted.dtypes)
     own = own.select("text", *names)
 
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), doc: str = "doc_id"
     linkable = prints.where("n > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n"]
     classes = materialize(linkable.groupBy(*key).agg(F.min("doc_id").alias("node")))
+    classes = never_sent(classes) if outgrows(classes, F.lit(64)) else classes
     reps = linkable.withColumnRenamed("doc_id", "node").join(classes, [*key, "node"]).select("node", "bands")
     placed = clusters(reps)
     sizes = classes.groupBy("node").agg(F.max("n").alias("n"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import common, decontaminate, langid, line_dedup, near_dup
+from docquarry.llm.components import connected
 from docquarry.session import materialize
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,3 +87,15 @@ def test_language(spark, nothing_sent):
     nothing_sent()
     alone = langid.learn(docs)
     assert alone.dictionaries == sent.dictionaries and alone.narrow == sent.narrow
+
+
+def test_tables_that_the_driver_must_not_hold(spark, monkeypatch):
+    """However small Spark takes their files to be."""
+    monkeypatch.setattr(common, "SENT_BYTES", 0, raising=False)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    wanted = materialize(docs.selectExpr("doc_id AS node", "-1L AS unit", "0 AS left", "0 AS right", "false AS side"))
+    chain = connected(spark.range(50).selectExpr("id AS a", "id + 1 AS b"))
+    for df in (near_dup._sets(docs, wanted, near_dup.NearDup(), "doc_id", "text"), chain):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r["component"] for r in chain.collect()} == {0} and chain.count() == 51
