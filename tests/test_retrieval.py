@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,32 @@ def test_norms_and_unit_vectors_hold_no_second_matrix():
     tracemalloc.stop()
     assert np.array_equal(norms, np.sqrt((m * m).sum(axis=1))) and unit.dtype == np.float32 and not unit[7].any()
     assert np.array_equal(unit[8], (m[8] / norms[8]).astype(np.float32)) and retrieval._norms(m[:0]).shape == (0,)
+
+
+def test_first_bar_comes_from_few_columns_and_only_touched_hits_are_ranked(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, c = rng.integers(-2, 3, (300, 8)).astype(float), rng.integers(-2, 3, (9000, 8)).astype(float)
+    c[-1] = 2 * q[7]
+    search = retrieval._Search(3, 8, False, None, ("q0",), ("c0",))
+    running = retrieval._Running(pa.table({"q0": pa.array(range(300))}), q, search)
+    wide, ranked = [], []
+    partition, place = np.partition, retrieval._place
+    monkeypatch.setattr(retrieval.np, "partition", lambda a, *more, **named: wide.append(a.shape[1]) or partition(a, *more, **named))
+    for first, last in ((0, 8000), (8000, 8999), (8999, 9000)):
+        ranked.clear()
+        monkeypatch.setattr(retrieval, "_place", lambda ordered: ranked.append(len(ordered)) or place(ordered))
+        running.add(pa.table({"c0": pa.array(range(first, last))}), c[first:last])
+        monkeypatch.setattr(retrieval, "_place", place)
+    assert max(wide) < 8000 and ranked[-1] < 300
+    found = running.result().sort_by([("q0", "ascending"), ("scaled", "descending"), ("c0", "ascending")])
+    scaled = retrieval._scaled_cosines(q, c)
+    order = np.argsort(-scaled * len(c) + np.arange(len(c)), axis=1)[:, :3]
+    assert found["c0"].to_pylist() == order.ravel().tolist()
+    assert found["scaled"].to_pylist() == np.take_along_axis(scaled, order, 1).ravel().tolist()
+
+
+@pytest.mark.parametrize("n", [0, 5, 8, 8001])
+def test_marked_positions(n):
+    flags = np.random.default_rng(n).random(n) < 0.01
+    flags[-1:] = True
+    assert retrieval._marked(flags).tolist() == np.flatnonzero(flags).tolist()
